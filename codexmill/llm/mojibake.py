@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexmill.llm.common import code_points, pair_bucket, table
+from codexmill.llm.lookalike import CYRILLIC
 
 #: Pair statistics live in a table of fixed size: 2**BITS buckets of 4 bytes, however large the corpus is.
 BITS = 21
@@ -42,9 +43,9 @@ INVERSES = {
     "mac_roman": ("utf-8", "latin", "gb18030"),
     "gb18030": ("utf-8", "big5"),
     "big5": ("gb18030", "utf-8"),
-    "cp1251": ("utf-8", "koi8_r", "cp866", "mac_cyrillic"),
-    "koi8_r": ("utf-8", "cp1251", "cp866"),
-    "cp866": ("utf-8", "cp1251", "koi8_r"),
+    "cp1251": ("utf-8", "koi8_r", "cp866", "mac_cyrillic", "latin"),
+    "koi8_r": ("utf-8", "cp1251", "cp866", "latin"),
+    "cp866": ("utf-8", "cp1251", "koi8_r", "latin"),
     "mac_cyrillic": ("utf-8", "cp1251", "koi8_r"),
     "cp1250": ("utf-8", "latin"),
     "utf-8": ("gb18030",),
@@ -233,6 +234,12 @@ def _plain(new: str, old: str) -> bool:
 _SIGNS = {"So", "Sm", "Sc", "Sk", "Co", "Cn", "Cf", "No"}
 
 
+def _proper(span: str) -> bool:
+    """Whether most Cyrillic letters of a span look like no Latin letter."""
+    own = [c for c in span if c > "\x7f" and c.isalpha()]
+    return sum(c not in CYRILLIC for c in own) * 2 > len(own)
+
+
 def _means(texts: list[str], model: PairModel) -> np.ndarray:
     """Mean pair score of each text (each begins and ends with its neighbour in the document)."""
     joined = code_points("".join(texts))
@@ -278,6 +285,8 @@ def inverse(text: str, runs: list[tuple[int, int]], model: PairModel) -> list[tu
             ok = [k for k, g in enumerate(got) if g is not None and not _CONTROL.search(g) and g != text[slice(*spans[k])] and _plain(g, text[slice(*spans[k])])]
             if right in _SCRIPT:
                 ok = [k for k in ok if len(_SCRIPT[right].findall(got[k])) >= 2]
+            if right == "latin" and wrong in _SCRIPT:  # letters that look like Latin ones prove nothing
+                ok = [k for k in ok if _proper(text[slice(*spans[k])])]
             if not ok:
                 continue
             new = _means([(text[spans[k][0] - 1] if spans[k][0] else " ") + got[k] + (text[spans[k][1]] if spans[k][1] < len(text) else " ") for k in ok], model)
