@@ -14,6 +14,7 @@ misread at once; headers and page numbers have no further kind; repeated rows of
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -42,6 +43,7 @@ HAN_CONFUSED = {
     "力": "刀", "刀": "力", "乌": "鸟", "鸟": "乌", "贝": "见", "见": "贝", "间": "问", "问": "间", "令": "今", "今": "令", "午": "牛", "牛": "午", "各": "名", "名": "各", "往": "住", "住": "往", "睛": "晴", "晴": "睛", "人": "入", "大": "太", "日": "曰", "目": "日", "末": "未", "候": "侯", "候": "侯",
     "沒": "没", "没": "设", "设": "没", "拔": "拨", "拨": "拔", "免": "兔", "兔": "免", "风": "凤", "凤": "风", "折": "拆", "拆": "折", "戍": "戌", "戊": "戌", "夫": "天", "无": "天", "天": "夫", "申": "由", "甲": "由", "田": "由", "由": "田", "士": "土", "厂": "广", "广": "厂", "几": "儿", "儿": "几", "旦": "但", "的": "旳", "旳": "的", "說": "说", "説": "说", "门": "问", "闩": "门", "治": "冶", "冶": "治", "亨": "享", "享": "亨", "卷": "券", "券": "卷", "辛": "幸", "幸": "辛", "史": "吏", "吏": "史", "了": "子", "子": "了", "孑": "子", "冫": "氵", "古": "占", "占": "古", "右": "石", "石": "右",
 }
+_NO_CYRILLIC = {c: None for c in range(0x400, 0x500)}
 HYPHENS = "-\xad¬‐"
 _WORD = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*(?:['’][^\W_]+)*|[@$]|(?<!\S)[@$][^\W_]+")
 _TOKEN = re.compile(r"[^\s.,;:!?“”«»„‘…()\[\]—–\-¬\xad‐，。？！：；、\x0c\"]+")
@@ -56,6 +58,7 @@ _FOLD = str.maketrans("0158@cfb69iI", "olsbaethhgll")
 def normal(line: str) -> str:
     """Normal form of a possible header: page number off, misreadings and case folded, letters only."""
     s = _FRAME.sub("", line.strip("\x0c").rstrip())
+    s = re.sub(r"第.{1,4}(?=[章回节卷])|(?<!\w)\d+(?!\w)", "", s)
     s = s.casefold().replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ii", "u").replace("ri", "n").translate(_FOLD)
     return re.sub(r"[\W\d_]+", "", s)
 
@@ -167,11 +170,11 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
 
 
-def _bucket(word: str) -> int:
-    h = 0xCBF29CE484222325
-    for c in word.encode("utf-8", "surrogatepass"):
-        h = ((h ^ c) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return (h ^ (h >> 29)) & ((1 << WORD_BITS) - 1)
+def _buckets(word: str) -> tuple[int, int]:
+    """The word's two counters; its frequency is the smaller one, so that two words seldom share it."""
+    h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    half = 1 << (WORD_BITS - 1)
+    return h % half, half + (h >> 32) % half
 
 
 def _words_of(text: str) -> set[str]:
@@ -200,7 +203,7 @@ def vocabulary(rows: DataFrame) -> np.ndarray:
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
-        cache: dict[str, int] = {}
+        cache: dict[str, tuple[int, int]] = {}
         for b in batches:
             for text in b["text"]:
                 for w in _words_of(text):
@@ -208,8 +211,9 @@ def vocabulary(rows: DataFrame) -> np.ndarray:
                     if k is None:
                         if len(cache) > 300_000:
                             cache.clear()
-                        k = cache[w] = _bucket(w)
-                    counts[k] += 1
+                        k = cache[w] = _buckets(w)
+                    counts[k[0]] += 1
+                    counts[k[1]] += 1
         yield pd.DataFrame({"k": np.fromiter(counts.keys(), np.int32, len(counts)), "n": np.fromiter(counts.values(), np.int64, len(counts))})
 
     got = rows.mapInPandas(part, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
@@ -231,12 +235,16 @@ class Reader:
         if got is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            got = self.cache[word] = int(self.words[_bucket(word)])
+            i, j = _buckets(word)
+            got = self.cache[word] = int(min(self.words[i], self.words[j]))
         return got
 
     def _readings(self, w: str) -> Iterator[str]:
         """What a word may have been before one misreading (or the same one several times)."""
+        cyrillic = bool(re.search("[а-яА-Я]", w))
         for seen, printed in CONFUSED.items():
+            if not cyrillic:
+                printed = printed.translate(_NO_CYRILLIC)
             i = w.find(seen)
             while i >= 0:
                 for p in printed:
@@ -260,7 +268,7 @@ class Reader:
             d = max(self.df(v), 0) + 3 * (own[v.casefold()] if own[v.casefold()] > again else 0)
             if d > best:
                 best, who = d, v
-        if best < 4 and len(w) > 4 or odd and best < 2:
+        if odd and best < 2:
             for v in first:
                 for u in self._readings(v):
                     d = self.df(u) + 3 * (own[u.casefold()] if own[u.casefold()] > again else 0)
