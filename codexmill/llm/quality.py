@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from codexmill.llm.common import table
 from codexmill.llm.rules import case_expression
-from codexmill.llm.sitelines import _NUMBER, HEADING, MIN_RECORDS, MIN_SHARE, LineKeys, _hash, fold, name_filter
+from codexmill.llm.sitelines import _NUMBER, _TOKEN, HEADING, MIN_RECORDS, MIN_SHARE, LineKeys, _hash, fold, name_filter
 from codexmill.session import materialise
 
 # Characters and forms that the statistics look for.
-_WORDS = re.compile(r"\b[^\W\d_]+(?:[-'’][^\W\d_]+)*\b")
 _HAN = re.compile(r"[㐀-鿿]")
 _BULLET = re.compile(r"(?:[-*+•·▪◦‣○●□■※☆★]|[(（\[]?(?:\d{1,4}|[ivxIVX]{1,5}|[a-zA-Z]|[一二三四五六七八九十]{1,3})[.)）\]、．])\s*\S")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}/\S*|\S+@\S+\.\w+")
@@ -39,51 +38,64 @@ _VOWEL = re.compile(r"[aeiouyäöüàáâèéêëíîïóôœùúûæøåõãì
 LINE = ("chars", "letters", "digits", "symbols", "words", "word_chars", "common", "han", "han_common", "end_chars", "end_lines", "list_chars", "table_chars", "link_chars", "code_chars", "keyed_chars", "dull_chars", "novowel", "head_chars", "head_lines")
 
 
+class _Class(dict):
+    """A number for each token, remembered."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        got = self[w] = int(self.of(w))
+        return got
+
+
 class LineStats:
     """Statistics of lines against a bounded list of common words (the fixed table common_words)."""
 
     def __init__(self, common: list[str]):
-        self.common = {w for w in common if not _HAN.search(w)}.__contains__
+        latin = {w.casefold() for w in common if not _HAN.search(w)}
         han = sorted((w for w in common if _HAN.search(w)), key=len, reverse=True)
         self.han = re.compile("|".join(map(re.escape, han)) or r"(?!)")
-        self.seen: dict[str, int] = {}
-
-    def of(self, line: str) -> tuple[int, ...]:
+        self.common = _Class(latin.__contains__).__getitem__
+        self.letters = _Class(lambda w: sum(c.isalpha() for c in w)).__getitem__
+        self.digits = _Class(lambda w: sum(c.isdigit() for c in w)).__getitem__
+        self.word = _Class(str.isalpha).__getitem__
+        self.novowel = _Class(lambda w: len(w) > 3 and w.isalpha() and not _VOWEL.search(w)).__getitem__
+
+    def of(self, line: str, tokens: list[str]) -> tuple[int, ...]:
+        """Of a line and the tokens of its folded form."""
         s = line.strip()
         n = len(s)
-        low = s.lower()
-        words = _WORDS.findall(low)
-        letters = sum(map(len, words))
-        digits = sum(map(s.count, "0123456789")) if any(c in s for c in "0123456789") else 0
-        spaces = s.count(" ") + s.count("\t") + s.count("　") + s.count("\xa0")
-        plain = sum(map(s.count, ".,;:!?'\"-，。！？、；：“”‘’«»—…（）()")) if n else 0
+        letters, digits, words = sum(map(self.letters, tokens)), sum(map(self.digits, tokens)), sum(map(self.word, tokens))
+        common = sum(map(self.common, tokens))
+        spaces = s.count(" ") + s.count("\t") + s.count("\u3000") + s.count("\xa0")
+        plain = sum(map(s.count, ".,;:!?'\"-")) + (0 if s.isascii() else sum(map(s.count, "，。！？、；：“”‘’«»—…（）")))
         symbols = max(n - letters - digits - spaces - plain, 0)
-        if s.isascii():
-            han = han_common = 0
-        else:
-            han = len(_HAN.findall(s))
-            han_common = len(self.han.findall(s)) if han else 0
-        common = sum(map(self.common, words))
-        listed = n if _BULLET.match(s) or _LEADER.search(s) else 0
-        end = n if _END.search(s) else 0
+        chars: list[str] = [] if s.isascii() else _HAN.findall(s)
+        han = len(chars)
+        han_common = len(self.han.findall(s)) if han else 0
+        listed = n if _BULLET.match(s) or (("..." in s or "…" in s or "·" in s or "--" in s or "__" in s) and _LEADER.search(s)) else 0
+        end = n if _END.search(s, max(0, n - 16)) else 0
         if not end and not listed:  # something may follow the last sentence
             inner = [m.end() for m in _INNER_END.finditer(s, max(0, n - 60))]
             end = inner[-1] if inner else 0
         dull = 0
         if han > 11:
-            h = _HAN.findall(s)
-            dull = n if len(set(zip(h, h[1:]))) * 3 < len(h) else 0
-        elif len(words) > 7:
-            dull = n if len(set(words)) * 3 < len(words) else 0
-        novowel = 0 if han else sum(1 for w in words if len(w) > 3 and not _VOWEL.search(w)) if common == 0 and words else 0
-        cells = n if _CELL.search(s) else 0
+            dull = n if len(set(zip(chars, chars[1:]))) * 3 < han else 0
+        elif words > 7:
+            dull = n if len(set(tokens)) * 3 < len(tokens) else 0
+        novowel = 0 if common or han else sum(map(self.novowel, tokens))
+        cells = n if ("|" in s or "\t" in s or "   " in s) and _CELL.search(s) else 0
         link = sum(map(len, _LINK.findall(s))) if ("." in s and "/" in s) or "@" in s else 0
-        code = sum(map(len, _CODE.findall(s))) if digits else 0
-        keyed = n if not end and _KEYED.match(s) else 0
+        code = sum(map(len, _CODE.findall(s))) if digits * 10 > n else 0
+        keyed = n if not end and n < 125 and (":" in s or "：" in s) and _KEYED.match(s) else 0
         if letters * 10 < n * 3:
             end = 0  # signs and numbers are no sentence
-        head = n if n < 120 and not end and not _LEADER.search(s) and HEADING.match(_NUMBER.sub("#", fold(s))) else 0
-        return n, letters, digits, symbols, len(words), letters, common, han, han_common, end, 1 if end else 0, listed, cells, link, code, keyed, dull, novowel, head, 1 if head else 0
+        head = n if n < 120 and not end and not listed and HEADING.match(_NUMBER.sub("#", fold(s))) else 0
+        return n, letters, digits, symbols, words, letters, common, han, han_common, end, 1 if end else 0, listed, cells, link, code, keyed, dull, novowel, head, 1 if head else 0
 
 
 def line_table(docs: DataFrame, names, common: list[str]) -> DataFrame:
@@ -99,12 +111,13 @@ def line_table(docs: DataFrame, names, common: list[str]) -> DataFrame:
                 for no, line in enumerate(t.split("\n"), 1):
                     if not line or line.isspace():
                         continue
-                    k = keys.key(line) if sites[i] is not None else None
+                    parts = _TOKEN.split(fold(line))
+                    k = keys.key_of(parts) if sites[i] is not None else None
                     at.append(i)
                     nos.append(no)
                     ks.append(None if k is None else _hash(k))
                     own.append(hash(line.strip()) & 0x7FFFFFFF)
-                    cols.append(stats.of(line))
+                    cols.append(stats.of(line, parts[1::2]))
             take = pa.array(at, pa.int32())
             data = [pa.array(c, pa.int32()) for c in zip(*cols)] if cols else [pa.array([], pa.int32())] * len(LINE)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(nos, pa.int32()), pa.array(ks, pa.binary()), pa.array(own, pa.int32()), *data], ["doc_id", "source", "line_no", "key", "line", *LINE])

@@ -38,8 +38,8 @@ HEADING = re.compile(
     r"|^(?:prologue?|epilogue?|épilogue|prólogo|epílogo|prolog|epilog|пролог|эпилог|foreword|preface|vorwort|nachwort|avant-propos|预告|楔子|序章|序言|引子|前言|尾声|后记|番外|终章)\b"
 )
 _NUMBER = re.compile(r"\d+")
-_SPACE = re.compile(r"\s+")
-_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
+_FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) == "Cf") + "]")
+_TOKEN = re.compile(r"(\w+)")
 _WORD = re.compile(r"[^\W\d_]+")
 _DATE = re.compile(r"#(?:\s*[-./年月]\s*#)+日?")
 _NAMES = re.compile(r"@(?:[\s\-'’.·]*@)*")
@@ -71,38 +71,63 @@ def name_filter(*authors: DataFrame) -> np.ndarray:
 def fold(line: str) -> str:
     """Case, width, invisible characters and spacing out of the way."""
     if not line.isascii():
-        line = unicodedata.normalize("NFKC", line)
-        line = "".join(c for c in line if unicodedata.category(c) != "Cf")
-    return _SPACE.sub(" ", line.casefold()).strip()
+        if not unicodedata.is_normalized("NFKC", line):
+            line = unicodedata.normalize("NFKC", line)
+        line = _FORMAT.sub("", line)
+    return " ".join(line.casefold().split())
+
+
+class _Tokens(dict):
+    """What becomes of each token of a folded line: numbers and names give way to # and @."""
+
+    def __init__(self, bits: np.ndarray):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 400_000:
+            self.clear()
+        s = w
+        if any(c.isdigit() for c in w):
+            s = _NUMBER.sub("#", w)
+        elif len(w) > 1 and self.bits[name_hash(w)] and _WORD.fullmatch(w):
+            s = "@"
+        self[w] = s
+        return s
 
 
 class LineKeys:
     """Keys of lines, with a memory of the words that are names."""
 
     def __init__(self, names: np.ndarray):
-        self.bits = np.unpackbits(names).view(bool)
-        self.known: dict[str, bool] = {}
-
-    def _name(self, m: re.Match) -> str:
-        w = m.group()
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[w] = bool(len(w) > 1 and self.bits[name_hash(w)])
-        return "@" if got else w
+        self.token = _Tokens(np.unpackbits(names).view(bool)).__getitem__
 
     def key(self, line: str) -> str | None:
         """The line's normal form; None for a blank line, a heading or a line without letters."""
-        s = _ENDS.sub("", fold(line))
-        if not s:
+        return self.key_of(_TOKEN.split(fold(line)))
+
+    def key_of(self, parts: list[str]) -> str | None:
+        """The same of a folded line that is split at its words (odd places)."""
+        out = parts.copy()
+        out[1::2] = map(self.token, parts[1::2])
+        s = _strip("".join(out))
+        if not s or not _WORD.search(s.replace("@", "")):
             return None
-        s = _NUMBER.sub("#", s)
-        if HEADING.match(s) or not _WORD.search(s):
+        if HEADING.match(s):
             return None
-        s = _DATE.sub("#", s)
-        s = _NAMES.sub("@", _WORD.sub(self._name, s))
-        return s if _WORD.search(s) else None
+        if "#" in s:
+            s = _DATE.sub("#", s)
+        return _NAMES.sub("@", s) if "@" in s else s
+
+
+def _strip(s: str) -> str:
+    """The line without punctuation and signs at its ends (numbers and names stay)."""
+    i, j = 0, len(s)
+    while i < j and not (s[i].isalnum() or s[i] in "#@"):
+        i += 1
+    while j > i and not (s[j - 1].isalnum() or s[j - 1] in "#@"):
+        j -= 1
+    return s[i:j]
 
 
 def _hash(text: str) -> bytes:
