@@ -91,6 +91,8 @@ def observe(text: str, title: str | None) -> tuple[list[int], list[tuple[int, in
     for k in range(len(at)):  # what stands next to a page number stands at the edge too
         if (k and numbers[k - 1] is not None and edge[k - 1]) or (k + 1 < len(at) and numbers[k + 1] is not None and edge[k + 1]):
             edge[k] = 1
+    again, at_edge = Counter(forms), {f for f, e in zip(forms, edge) if e}
+    edge = [1 if again[f] > 1 and f in at_edge and len(f) > 5 else e for f, e in zip(forms, edge)]
     seen = Counter(f for f, e in zip(forms, edge) if e and len(f) > 3)
     known = Counter(n for n in numbers if n is not None)
     out = []
