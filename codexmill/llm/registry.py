@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> DuckDB text).
-MODULES = ("mojibake", "lookalike", "tokenize", "chunking", "sitelines", "mixing", "quality", "scans")
+MODULES = ("mojibake", "lookalike", "tokenize", "chunking", "sitelines", "mixing", "quality", "scans", "markup")
 
 
 def _merged(attr: str) -> dict:
