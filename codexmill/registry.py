@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> DuckDB text).
-MODULES = ()
+MODULES = ("plans.catalog", "plans.text")
 
 
 def _merged(attr: str) -> dict:
