@@ -77,8 +77,9 @@ def strip_tags(c: Column) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """32-bit FNV-1a hash of a text's UTF-8 bytes, as a long."""
-    codes = F.transform(F.split(F.hex(F.encode(c, "UTF-8")), "(?<=\\G..)"), lambda h: F.conv(h, 16, 10).cast("long"))
-    return F.aggregate(F.when(F.length(c) > 0, codes).otherwise(F.array().cast("array<bigint>")), F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619) % 4294967296)
+    codes = F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda i: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    codes = F.when(F.length(c) > 0, codes).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619) % 4294967296)
 
 
 def chapter_id(idx: Column) -> Column:

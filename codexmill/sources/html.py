@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # Tags that end a paragraph and those whose content goes.
 BLOCK = {"p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr", "table", "blockquote", "section", "article", "hr", "center", "mbp:pagebreak", "pre", "dt", "dd", "dl", "td"}
 DROP = {"script", "style", "head", "title"}
-_TAG = re.compile(r"<(/?)\s*([!?]?[\w:]*)[^>]*?(/?)>")
+_TAG = re.compile(r"<(/?)\s*([!?]?[\w:]*)[^<>]*?(/?)>")
 _SPACE = re.compile(r"[ \t\r\n]+")
 
 
