@@ -7,7 +7,7 @@ look-ups. Pieces have at most chunk_chars code points; piece k + 1 begins overla
 
 Defined results: a null limit or overlap takes the default option's; an overlap is held below half of the limit; a
 limit below 2 counts as 2; chapters without a text (null or missing book) have no pieces; plain duplicate rows
-collapse, and of several rows for one idx the earliest offset holds; offsets beyond the text end at its end.
+collapse, and of several rows for one idx the earliest offset holds; a repeated book row repeats its pieces; offsets beyond the text end at its end.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def sizes(spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "export_options")
     default = o.where("folder_id is null").agg(F.first("chunk_chars").alias("d_chunk"), F.first("overlap_chars").alias("d_over"))
     own = o.where("folder_id is not null").groupBy("folder_id").agg(F.first("chunk_chars").alias("chunk_chars"), F.first("overlap_chars").alias("overlap_chars"))
-    books = table(spark, sf_dir, "epub_books").where("flat_text is not null").select("book_id", F.length("flat_text").cast("long").alias("n"))
+    books = table(spark, sf_dir, "epub_books").where("flat_text is not null").groupBy("book_id").agg(F.max(F.length("flat_text")).cast("long").alias("n"))
     ch = table(spark, sf_dir, "chapters").groupBy("book_id", "idx").agg(F.min("char_offset").alias("start"))
     nxt = F.lead("start").over(Window.partitionBy("book_id").orderBy("idx"))
     rows = ch.join(books, "book_id").withColumn("stop", F.coalesce(nxt, F.col("n")))
@@ -93,7 +93,7 @@ def pieces(spark, sf_dir: str) -> DataFrame:
     """(book_id, idx, piece, char_offset, text) of the oversized chapters; only their books' texts are moved."""
     big = sizes(spark, sf_dir).where("stop - start > chunk")
     spans = big.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("idx", "start", "stop", "chunk", "overlap"))).alias("spans"))
-    rows = table(spark, sf_dir, "epub_books").select("book_id", "flat_text").join(spans, "book_id")
+    rows = table(spark, sf_dir, "epub_books").where("flat_text is not null").select("book_id", "flat_text").join(spans, "book_id")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -114,7 +114,7 @@ def pieces(spark, sf_dir: str) -> DataFrame:
 
 def p5_found(spark, sf_dir):
     """(book_id, idx) of the chapters that had to be cut: those with a second piece, however the offsets lie."""
-    return pieces(spark, sf_dir).where("piece = 1").select("book_id", "idx")
+    return pieces(spark, sf_dir).where("piece = 1").select("book_id", "idx").distinct()
 
 
 def p5_pieces(spark, sf_dir):
