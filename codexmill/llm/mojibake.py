@@ -12,6 +12,7 @@ repeated rows give repeated results; other columns are not read.
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ BITS = 21
 N_CHARS = 0x110000
 #: A pair in less than this share of the documents is improbable (log2 of the share times its mutual information).
 RARE = -3.3
+#: The same for passages amid text of a rarer language, whose own pairs are improbable as well.
+VERY_RARE = -7.0
 #: Bits by which a restored run's mean pair score must exceed the garbled run's.
 MARGIN = 1.0
 #: Bits that a span must gain in all; UTF-8 sequences prove much by being valid.
@@ -72,28 +75,29 @@ def _byte_maps() -> dict[str, dict[int, int]]:
 
 
 BYTE_OF = _byte_maps()
-_DECODE = {name: {b: ch for ch, b in sorted(m.items(), key=lambda x: (x[0] < 160, x[0]), reverse=True)} for name, m in BYTE_OF.items()}
+_TABLE = {name: "".join(map(chr, range(128))) + "".join({v: chr(k) for k, v in sorted(m.items(), key=lambda x: (x[0] < 160, x[0]), reverse=True)}[v] for v in range(128, 256)) for name, m in BYTE_OF.items()}
+_CHARMAP = {name: codecs.charmap_build(t) for name, t in _TABLE.items()}
 
 
 def encode(text: str, codec: str) -> bytes | None:
     """The bytes that the codec reads as this text, or None."""
-    m = BYTE_OF.get(codec)
-    if m is not None:
-        try:
-            return text.translate(m).encode("latin-1")
-        except UnicodeEncodeError:
-            return None
     try:
+        if codec in _CHARMAP:
+            return codecs.charmap_encode(text, "strict", _CHARMAP[codec])[0]
         return text.encode(codec, "surrogatepass" if codec.startswith("utf") else "strict")
+    except UnicodeEncodeError:
+        if codec != "latin":
+            return None
+    try:  # C1 controls of latin-1 and what cp1252 has in their place, mixed
+        return text.translate(BYTE_OF["latin"]).encode("latin-1")
     except UnicodeEncodeError:
         return None
 
 
 def decode(data: bytes, codec: str) -> str | None:
     """The text of these bytes, or None where they are not valid."""
-    m = _DECODE.get(codec)
-    if m is not None:
-        return data.decode("latin-1").translate(m)
+    if codec in _TABLE:
+        return codecs.charmap_decode(data, "strict", _TABLE[codec])[0]
     try:
         if codec == "utf-8 twice":
             again = encode(data.decode("utf-8"), "latin")
@@ -207,6 +211,17 @@ def improbable_runs(text: str, model: PairModel) -> list[tuple[int, int]]:
     return out
 
 
+def strict_runs(text: str, model: PairModel) -> list[tuple[int, int]]:
+    """Spans whose pairs are very improbable, exactly: a garbled passage inside a sentence, without its neighbours."""
+    s = model.scores(code_points(f" {text} "))
+    s = np.where(np.isnan(s), -0.8, np.clip(VERY_RARE - s, -6.0, 6.0))
+    out = []
+    for i, j in segments(s):
+        if j - i > 2:
+            out.append((i, j - 1))
+    return out
+
+
 def _same_side(a: str, b: str) -> bool:
     return (ord(a) >= 0x2E80) == (ord(b) >= 0x2E80)
 
@@ -223,6 +238,7 @@ def _usable(codec: str):
 _SPANS = {c: _usable(c) for c in INVERSES}
 _NON_ASCII = re.compile("[^\x00-\x7f]")
 _SCRIPT = {"gb18030": re.compile("[\u4e00-\u9fff]"), "big5": re.compile("[\u4e00-\u9fff]"), "cp1251": re.compile("[\u0410-\u044f]"), "koi8_r": re.compile("[\u0410-\u044f]"), "cp866": re.compile("[\u0410-\u044f]"), "mac_cyrillic": re.compile("[\u0410-\u044f]")}
+_CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f]")
 
 
@@ -265,40 +281,68 @@ def _parts(text: str, i: int, j: int) -> list[tuple[int, int]]:
     return list(dict.fromkeys(out))
 
 
+_KNOWN: dict[tuple[str, str], tuple] = {}
+
+
+def readings(span: str, wrong: str) -> tuple[tuple[str, str], ...]:
+    """(codec, text) of what a span may have been before it was read with the codec `wrong`; short spans are remembered."""
+    got = _KNOWN.get((wrong, span))
+    if got is not None:
+        return got
+    out = []
+    data = encode(span, wrong)
+    if data is not None:
+        for right in INVERSES[wrong]:
+            new = decode(data, right)
+            if new is None or new == span or _CONTROL.search(new) or not _plain(new, span):
+                continue
+            if right in _SCRIPT and len(_SCRIPT[right].findall(new)) < 2:
+                continue
+            if right == "latin" and wrong in _SCRIPT and not _proper(span):
+                continue  # letters that look like Latin ones prove nothing
+            out.append((right, new))
+    got = tuple(out)
+    if len(span) <= 48:
+        if len(_KNOWN) > 200_000:
+            _KNOWN.clear()
+        _KNOWN[wrong, span] = got
+    return got
+
+
 def inverse(text: str, runs: list[tuple[int, int]], model: PairModel) -> list[tuple[float, int, int, str]]:
     """Accepted inverse mappings (gain, i, j, restored) of spans inside the runs, the best ones, not overlapping."""
     found: list[tuple[float, int, int, str]] = []
-    for wrong, rights in INVERSES.items():
-        spans, data = [], []
+    parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for wrong in INVERSES:
+        spans, tried = [], []
         for i, j in runs:
             for m in _SPANS[wrong].finditer(text, i, j):
-                for span in _parts(text, *m.span()):
-                    d = encode(text[slice(*span)], wrong)
-                    if d is not None:
+                p = parts.get(m.span())
+                if p is None:
+                    p = parts[m.span()] = _parts(text, *m.span())
+                for span in p:
+                    got = readings(text[slice(*span)], wrong)
+                    if got:
+                        tried += [(len(spans), right, new) for right, new in got]
                         spans.append(span)
-                        data.append(d)
-        if not spans:
+        if not tried:
             continue
-        old = _means([(text[i - 1] if i else " ") + text[i:j] + (text[j] if j < len(text) else " ") for i, j in spans], model)
-        for right in rights:
-            got = [decode(d, right) for d in data]
-            ok = [k for k, g in enumerate(got) if g is not None and not _CONTROL.search(g) and g != text[slice(*spans[k])] and _plain(g, text[slice(*spans[k])])]
-            if right in _SCRIPT:
-                ok = [k for k in ok if len(_SCRIPT[right].findall(got[k])) >= 2]
-            if right == "latin" and wrong in _SCRIPT:  # letters that look like Latin ones prove nothing
-                ok = [k for k in ok if _proper(text[slice(*spans[k])])]
-            if not ok:
+        around = [((text[i - 1] if i else " "), (text[j] if j < len(text) else " ")) for i, j in spans]
+        old = _means([a + text[i:j] + b for (i, j), (a, b) in zip(spans, around)], model)
+        new = _means([around[k][0] + t + around[k][1] for k, _, t in tried], model)
+        for (k, right, t), mean in zip(tried, new.tolist()):
+            gain = mean - old[k]
+            if gain <= 0:
                 continue
-            new = _means([(text[spans[k][0] - 1] if spans[k][0] else " ") + got[k] + (text[spans[k][1]] if spans[k][1] < len(text) else " ") for k in ok], model)
-            for k, mean in zip(ok, new.tolist()):
-                i, j = spans[k]
-                n = len(_NON_ASCII.findall(text, i, j))
-                need = MARGIN + (1.0 if n <= 3 and not right.startswith("utf-8") else 0.0) - (1.0 if right.startswith("utf-8") else 0.0) + got[k].count("\ufffd") * 4.0 / n
-                least = LEAST_UTF8 if right.startswith("utf-8") else LEAST
-                if wrong in _SCRIPT and right in _SCRIPT and "gb" not in wrong + right and "big5" not in wrong + right:
-                    need, least = need + 2.0, 20.0  # both readings are Cyrillic
-                if mean - old[k] > need and (mean - old[k]) * n > least:
-                    found.append(((mean - old[k]) * n, i, j, got[k]))
+            i, j = spans[k]
+            n = len(_NON_ASCII.findall(text, i, j))
+            utf8 = right.startswith("utf-8")
+            need = MARGIN + (1.0 if n <= 3 and not utf8 else 0.0) - (1.0 if utf8 else 0.0) + t.count("\ufffd") * 4.0 / n
+            least = LEAST_UTF8 if utf8 else LEAST
+            if wrong in _CYRILLIC and right in _CYRILLIC:
+                need, least = need + 2.0, 20.0  # both readings are Cyrillic
+            if gain > need and gain * n > least:
+                found.append((gain * n, i, j, t))
     found.sort(key=lambda x: (-x[0], x[1]))
     out: list[tuple[float, int, int, str]] = []
     taken = np.zeros(len(text) + 1, dtype=bool)
@@ -321,7 +365,7 @@ def repair(text: str | None, model: PairModel) -> tuple[str | None, bool, int]:
     found, n = False, 0
     for _ in range(3):  # text may have been read wrongly more than once
         runs = improbable_runs(text, model)
-        good = inverse(text, runs, model)
+        good = inverse(text, list(dict.fromkeys(runs + strict_runs(text, model))), model)
         if not good:
             break
         found, n = True, n + len(good)
