@@ -36,7 +36,7 @@ VERY_RARE = -7.0
 #: Bits by which a restored run's mean pair score must exceed the garbled run's.
 MARGIN = 1.0
 #: Bits that a span must gain in all; UTF-8 sequences prove much by being valid.
-LEAST, LEAST_UTF8 = 8.0, 2.0
+LEAST, LEAST_UTF8 = 4.5, 2.0
 
 # Codecs a text may have been read with by mistake, each with those it may have been written in.
 INVERSES = {
@@ -290,7 +290,8 @@ def readings(span: str, wrong: str) -> tuple[tuple[str, str], ...]:
     if got is not None:
         return got
     out = []
-    data = encode(span, wrong)
+    # bytes that were no UTF-8 but taken for it give two-byte sequences only
+    data = None if wrong == "utf-8" and any(c >= "\u0800" or c in "\xa0\xad" for c in span) else encode(span, wrong)
     if data is not None:
         for right in INVERSES[wrong]:
             new = decode(data, right)
