@@ -45,10 +45,15 @@ class Rules:
     replace: list[tuple[str, str]] = field(default_factory=list)
 
 
+#: Patterns whose match is decided by a shorter one (one character in front of a domain's dot is enough).
+DECIDES = {PROMO[0]: r"(?i)(https?://|www\.)[\w.\-/?=&%#]", PROMO[1]: PROMO[1].replace(r"[\w\-]+", r"[\w\-]")}
+
+
 def any_match(c: Column, patterns: list[str]) -> Column:
+    """Whether any pattern is found."""
     out = F.lit(False)
     for p in patterns:
-        out = out | c.rlike(p)
+        out = out | c.rlike(DECIDES.get(p, p))
     return out
 
 
@@ -88,28 +93,30 @@ def drop_titles(rows: DataFrame, key: str) -> DataFrame:
 
 
 def drop_edges(rows: DataFrame, key: str) -> DataFrame:
-    """Marks short first and last paragraphs that come back in a third of the book's chapters (3 at least)."""
-    live = rows.where("dropped is null")
+    """Marks short first and last paragraphs that come back in a third of the book's chapters (3 at least).
+
+    Rows that are marked already stay in place but count nowhere."""
+    live = F.col("dropped").isNull()
+    no = F.when(live, F.col("line_no"))
     w = Window.partitionBy(key, "chapter")
-    live = live.withColumns({"is_first": F.col("line_no") == F.min("line_no").over(w), "is_last": F.col("line_no") == F.max("line_no").over(w), "k": T.edge_key(F.col("text"))})
+    out = rows.withColumns({"is_first": live & (F.col("line_no") == F.min(no).over(w)), "is_last": live & (F.col("line_no") == F.max(no).over(w)), "k": T.edge_key(F.col("text"))})
     by_key, book = Window.partitionBy(key, "k"), Window.partitionBy(key)
-    live = live.withColumns({"fc": F.sum(F.col("is_first").cast("int")).over(by_key), "lc": F.sum(F.col("is_last").cast("int")).over(by_key), "nch": F.sum(F.col("is_first").cast("int")).over(book)})
+    out = out.withColumns({"fc": F.sum(F.col("is_first").cast("int")).over(by_key), "lc": F.sum(F.col("is_last").cast("int")).over(by_key), "nch": F.sum(F.col("is_first").cast("int")).over(book)})
     least = F.greatest(F.lit(EDGE_CHAPTERS), F.floor(F.col("nch") / 3))
-    hit = (F.col("nch") >= EDGE_CHAPTERS) & (F.length("text") <= EDGE_LINE) & ((F.col("is_first") & (F.col("fc") >= least)) | (F.col("is_last") & (F.col("lc") >= least)))
-    live = live.withColumn("dropped", F.when(hit, "edge")).select(rows.columns)
-    return rows.where("dropped is not null").unionByName(live)
+    hit = live & (F.col("nch") >= EDGE_CHAPTERS) & (F.length("text") <= EDGE_LINE) & ((F.col("is_first") & (F.col("fc") >= least)) | (F.col("is_last") & (F.col("lc") >= least)))
+    return out.withColumn("dropped", F.when(hit, "edge").otherwise(F.col("dropped"))).select(rows.columns)
 
 
 def drop_notes(rows: DataFrame, key: str, rules: Rules) -> DataFrame:
     """Marks authors' notes: in the tail of a chapter with all that follows, elsewhere alone."""
-    live = rows.where("dropped is null")
+    live = F.col("dropped").isNull()
+    one = live.cast("int")
     w = Window.partitionBy(key, "chapter").orderBy("line_no")
-    whole = Window.partitionBy(key, "chapter")
-    live = live.withColumns({"m": any_match(F.col("text"), rules.notes), "p": F.row_number().over(w) - 1, "n": F.count("*").over(whole)})
+    so_far, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key, "chapter")
+    out = rows.withColumns({"m": live & any_match(F.col("text"), rules.notes), "p": F.sum(one).over(so_far) - 1, "n": F.sum(one).over(whole)})
     tail = F.col("m") & (F.col("p") >= F.col("n") - F.greatest(F.lit(3), F.floor(F.col("n") / 5)))
-    live = live.withColumn("hit", F.col("m") | F.max(tail).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    live = live.withColumn("dropped", F.when(F.col("hit"), "note")).select(rows.columns)
-    return rows.where("dropped is not null").unionByName(live)
+    out = out.withColumn("hit", live & (F.col("m") | F.max(tail).over(so_far)))
+    return out.withColumn("dropped", F.when(F.col("hit"), "note").otherwise(F.col("dropped"))).select(rows.columns)
 
 
 def clean_promo(rows: DataFrame, rules: Rules) -> DataFrame:

@@ -8,11 +8,11 @@ from codexmill.functions import text as T
 from codexmill.operators import chapters as C
 from codexmill.operators import format as M
 from codexmill.operators.clean import lines
-from codexmill.session import table
+from codexmill.session import table, texts
 
 
 def _texts(spark, d):
-    return table(spark, d, "epub_books").select("book_id", F.col("flat_text").alias("text"))
+    return texts(spark, d, "epub_books").select("book_id", F.col("flat_text").alias("text"))
 
 
 def rule_matches(spark, d):
@@ -63,18 +63,18 @@ def chapter_numbers(spark, d):
 
 def conventions(spark, d):
     """AGG-11, AGG-12."""
-    return M.conventions(lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
+    return M.conventions(lines(texts(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
 
 
 def formatted_texts(spark, d):
     """STRF-01..06, WIN-16."""
-    t = table(spark, d, "documents").select("doc_id", "text", "title", "author")
+    t = texts(spark, d, "documents").select("doc_id", "text", "title", "author")
     return M.format_texts(t.select("doc_id", "text"), "doc_id", "text", t.select("doc_id", "title", "author")).select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
 
 
 def detected_metadata(spark, d):
     """STRF-08, STRF-09: author lines of the documents, resolved against a file name."""
-    t = table(spark, d, "documents")
+    t = texts(spark, d, "documents")
     found = M.detect_metadata(lines(t.select("doc_id", "text"), "doc_id", "text"), "doc_id")
     files = t.select("doc_id", F.concat(F.coalesce("title", F.lit("untitled")), F.lit(" - "), F.coalesce("author", F.lit("")), F.lit(".txt")).alias("file"))
     return M.resolve_metadata(found, files, "doc_id")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from codexmill.functions import text as T
 from codexmill.operators import clean as K
 from codexmill.operators import search as S
-from codexmill.session import table
+from codexmill.session import table, texts
 
 NEEDLE = "The River"
 
 
 def _texts(spark, d):
-    return table(spark, d, "epub_books").select("book_id", F.col("flat_text").alias("text"))
+    return texts(spark, d, "epub_books").select("book_id", F.col("flat_text").alias("text"))
 
 
 def _chapters(spark, d):
@@ -59,7 +59,7 @@ def author_notes(spark, d):
 
 def promo_clean_stats(spark, d):
     """STRF-19, AGG-05, FN-01: every document without promotional lines, and what was removed."""
-    p = K.paragraphs(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    p = K.paragraphs(texts(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
     rows = K.clean_promo(p.withColumns({"chars": F.length("text"), "dropped": F.lit(None).cast("string")}), K.Rules())
     live = F.col("dropped").isNull()
     return rows.groupBy("doc_id").agg(F.sum("chars").alias("chars_in"), F.coalesce(F.sum(F.when(live, F.length("text"))), F.lit(0)).alias("chars_out"), F.count_if(~live).alias("dropped"), F.sum("rewritten").alias("rewritten"))
