@@ -22,8 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import code_points, pair_bucket, table
+from codexmill.llm.common import code_points, pair_bucket
 from codexmill.llm.lookalike import CYRILLIC
+from codexmill.session import texts
 
 #: Pair statistics live in a table of fixed size: 2**BITS buckets of 4 bytes, however large the corpus is.
 BITS = 21
@@ -398,12 +399,12 @@ def detect(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def p1_found(spark, sf_dir):
     """book_id of each book with a wrongly decoded passage."""
-    return detect(table(spark, sf_dir, "epub_books"), "book_id", "flat_text").where("garbled").select("book_id")
+    return detect(texts(spark, sf_dir, "epub_books"), "book_id", "flat_text").where("garbled").select("book_id")
 
 
 def p1_restored(spark, sf_dir):
     """Affected books with their text as far as it can be restored."""
-    return detect(table(spark, sf_dir, "epub_books"), "book_id", "flat_text").where("garbled").select("book_id", "restored", "n_runs")
+    return detect(texts(spark, sf_dir, "epub_books"), "book_id", "flat_text").where("garbled").select("book_id", "restored", "n_runs")
 
 
 QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored}

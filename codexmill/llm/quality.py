@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexmill.session import texts
 from codexmill.llm.common import table
 from codexmill.llm.rules import case_expression
 from codexmill.llm.sitelines import _NUMBER, _TOKEN, HEADING, MIN_RECORDS, MIN_SHARE, LineKeys, _hash, fold, name_filter
@@ -128,7 +129,7 @@ def line_table(docs: DataFrame, names, common: list[str]) -> DataFrame:
 
 def stats(spark, sf_dir: str) -> DataFrame:
     """One row for each document: the statistics of its own lines."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "author", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "source", "author", "text")
     names = spark.sparkContext.broadcast(name_filter(docs.select("author"), table(spark, sf_dir, "books").select("author")))
     common = [r.word for r in table(spark, sf_dir, "common_words").select("word").distinct().toLocalIterator() if r.word]
     rows = materialise(line_table(docs, names, common), "line-stats")

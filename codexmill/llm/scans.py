@@ -23,8 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from codexmill.session import texts
 
-from codexmill.llm.common import table
 
 #: Word frequencies are kept in a table of fixed size: 2**WORD_BITS counters.
 WORD_BITS = 22
@@ -391,7 +391,7 @@ def paragraphs(text: str, body: list[tuple[int, str]]) -> str:
 
 
 def _rows(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pdf_texts").where("text is not null and book_id is not null").groupBy("book_id").agg(F.max_by(F.struct("title", "text"), F.length("text")).alias("r")).select("book_id", "r.title", "r.text")
+    return texts(spark, sf_dir, "pdf_texts").where("text is not null and book_id is not null").select("book_id", "title", "text")
 
 
 def _model(spark, rows: DataFrame):
@@ -410,7 +410,7 @@ def p4_found(spark, sf_dir):
             out = [(book, i + 1, kind) for book, title, text in zip(b["book_id"], b["title"], b["text"]) for i, kind in reader.label(text, title)[0]]
             yield pd.DataFrame(out, columns=["book_id", "line_no", "kind"])
 
-    return rows.mapInPandas(part, "book_id long, line_no long, kind string")
+    return rows.mapInPandas(part, "book_id long, line_no long, kind string").distinct()
 
 
 def p4_paragraphs(spark, sf_dir):

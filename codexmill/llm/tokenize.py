@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from codexmill.session import texts
 
-from codexmill.llm.common import table
 
 #: Folder of the public vocabularies; a parameter of every function here.
 TOKENIZERS = os.environ.get("CODEXMILL_TOKENIZERS", "/opt/tokenizers")
@@ -165,7 +165,7 @@ def encode_column(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k"
 
 def p7_ids(spark, sf_dir):
     """doc_id and ids of every document by byte_bpe_50k."""
-    return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_column(texts(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 QUERIES = {"p7_ids": p7_ids}
