@@ -122,13 +122,15 @@ def drop_notes(rows: DataFrame, key: str, rules: Rules) -> DataFrame:
 def clean_promo(rows: DataFrame, rules: Rules) -> DataFrame:
     """Marks short promotional paragraphs; cuts the matches out of long ones."""
     t = F.col("text")
-    hit = any_match(t, rules.promo) & F.col("dropped").isNull()
     cut = t
     for p in rules.promo:
         cut = F.regexp_replace(cut, p, "")
-    cut = T.spaces_export(cut)
-    gone = hit & ((F.length(t) <= PROMO_LINE) | (cut == ""))
-    return rows.select(*[c for c in rows.columns if c not in ("text", "dropped", "rewritten")], F.when(hit & ~gone, cut).otherwise(t).alias("text"), F.when(gone, "promo").otherwise(F.col("dropped")).alias("dropped"), F.when(hit & ~gone, F.lit(1)).otherwise(F.lit(0)).alias("rewritten"))
+    # each step is a column of its own, so that patterns run once a row and cuts only where one matches
+    out = rows.withColumn("_hit", F.col("dropped").isNull() & any_match(t, rules.promo))
+    out = out.withColumn("_cut", F.when(F.col("_hit") & (F.length(t) > PROMO_LINE), T.spaces_export(cut)))
+    hit, long = F.col("_hit"), F.coalesce(F.col("_cut"), F.lit("")) != ""
+    keep = [c for c in rows.columns if c not in ("text", "dropped", "rewritten")]
+    return out.select(*keep, F.when(hit & long, F.col("_cut")).otherwise(t).alias("text"), F.when(hit & ~long, "promo").otherwise(F.col("dropped")).alias("dropped"), F.when(hit & long, F.lit(1)).otherwise(F.lit(0)).alias("rewritten"))
 
 
 def normalise(rows: DataFrame, rules: Rules) -> DataFrame:
