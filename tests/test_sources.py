@@ -155,3 +155,27 @@ def test_core_does_not_import_llm():
         for f in files:
             if f.endswith(".py"):
                 assert not re.search(r"^\s*(from|import)\s+codexmill\.llm", open(os.path.join(folder_, f), encoding="utf-8").read(), re.M)
+
+
+def test_library(spark, tmp_path):
+    from codexmill.operators import library as L
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([("a, b，a c", " Reading ", "T\n\n p1 \n\np2", "T")], "s string, st string, x string, t string")
+    r = row.select(L.split_tags(F.col("s")).alias("tags"), L.valid_status(F.col("st")).alias("st"), L.render(F.col("x"), F.col("t")).alias("ps"), L.percent(F.lit(1), F.lit(3)).alias("p"), L.removed_percent(F.lit(8), F.lit(7)).alias("q")).first()
+    assert r.tags == ["a", "b", "c"] and r.st == "reading" and r.ps == ["p1", "p2"] and r.p == 33 and r.q == 12.5
+    books = spark.createDataFrame([(1, "unread", False), (2, "reading", True)], "id long, reading_status string, favorite boolean")
+    tags = spark.createDataFrame([(1, "x"), (2, "y")], "book_id long, name string")
+    ids = spark.createDataFrame([(1,), (9,)], "book_id long")
+    b, t, f = L.batch("tag", books, tags, ids, names=["x", "z"])
+    assert sorted(map(tuple, t.collect())) == [(1, "x"), (1, "z"), (2, "y")] and [x.id for x in f.collect()] == [9]
+    assert L.batch("favorite", books, tags, ids, favorite=True)[0].where("favorite").count() == 2
+    with pytest.raises(ValueError):
+        L.batch("status", books, tags, ids, status="lost")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "book_id long, title string")
+    L.replace_children(rows, str(tmp_path / "c"))
+    L.replace_children(rows.where("book_id = 2").withColumn("title", F.lit("new")), str(tmp_path / "c"))
+    assert sorted((x.book_id, x.title) for x in spark.read.parquet(str(tmp_path / "c")).collect()) == [(1, "a"), (2, "new")]
+    L.register(spark)
+    assert spark.sql("select codex_fold('ＡＢ') f, codex_flatten('<p>x') h").first()[0] == "ab"
+    assert spark.sql("select * from codex_lines('a\nbc')").count() == 2
