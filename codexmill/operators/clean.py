@@ -61,6 +61,7 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no from 0, line, offset): every line with its offset in code points."""
     parts = F.split(F.col(text), "\n", -1)
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(parts).alias("line_no", "line"))
+    rows = rows.withColumn("line_no", F.col("line_no").cast("long"))
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)))
 
@@ -77,7 +78,7 @@ def in_chapters(paras: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
 
     An as-of lookup by union and window over the book's rows, in one shuffle."""
     p = paras.select(key, "offset", F.lit(1).alias("kind"), "line_no", "text", F.lit(None).cast("long").alias("idx"), F.lit(None).cast("string").alias("title"))
-    c = chapters.select(key, F.col("char_offset").alias("offset"), F.lit(0).alias("kind"), F.lit(-1).alias("line_no"), F.lit(None).cast("string").alias("text"), "idx", "title")
+    c = chapters.select(key, F.col("char_offset").alias("offset"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("line_no"), F.lit(None).cast("string").alias("text"), "idx", "title")
     w = Window.partitionBy(key).orderBy("offset", "kind", "line_no", "idx").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(key)
     got = p.unionByName(c).withColumns({"at": F.last(F.when(F.col("kind") == 0, F.struct("idx", "title")), True).over(w), "first": F.min(F.when(F.col("kind") == 0, F.struct("idx", "title"))).over(whole)})

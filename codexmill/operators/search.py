@@ -58,6 +58,6 @@ def page(found: DataFrame, key: str, start: int, limit: int) -> DataFrame:
     limit = min(max(limit, LIMIT[0]), LIMIT[1])
     totals = found.groupBy(key).agg(F.count("*").alias("total"))
     w = Window.partitionBy(key).orderBy("offset")
-    rows = found.where(F.col("offset") >= start).withColumns({"n": F.row_number().over(w), "next_from": F.lead("offset").over(w)}).where(F.col("n") <= limit)
+    rows = found.where(F.col("offset") >= start).withColumns({"n": F.row_number().over(w).cast("long"), "next_from": F.lead("offset").over(w)}).where(F.col("n") <= limit)
     rows = rows.withColumn("next_from", F.max(F.when(F.col("n") == limit, F.col("next_from"))).over(Window.partitionBy(key)))
     return rows.join(totals, key).select(key, "offset", "n", "total", "next_from")

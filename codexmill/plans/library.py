@@ -97,12 +97,12 @@ _T = "t as (select distinct id book_id, trim(x) as name from (select id, categor
 _P = "p as (select * from (select *, row_number() over (partition by user_id, book_id order by updated_at desc, char_offset desc, chapter_idx desc, chapter_offset desc) rn from user_progress) where rn = 1)"
 SQL = {
     "bookmarks": f"with {_B} select user_id, book_id, m.char_offset, updated_at created_at, case when chapter_idx = 1 then 'start' end note from (select distinct * from user_progress) m join b on b.id = m.book_id where m.char_offset between 0 and coalesce(b.char_count, 0)",
-    "typed_tags": f"with {_B} select id, case when category is null or category in (format, '') then concat_ws('|', format, reading_status) else concat_ws('|', category, format, reading_status) end tags from b",
+    "typed_tags": f"with {_B} select id, case when category is null or trim(category) in (format, '') then concat_ws('|', format, reading_status) else concat_ws('|', trim(category), format, reading_status) end tags from b",
     "statuses": "select distinct id, scanned_at, path, case when id % 3 = 2 then null else reading_status end status from books",
     "positions_percent": f"with {_B}, {_P} select p.user_id, p.book_id, (case when b.char_count is null or b.char_count <= 0 then 0 else round(greatest(0, least(1, p.char_offset / b.char_count)) * 100) end)::int \"percent\" from p join b on b.id = p.book_id",
     "batch_status": f"with {_B} select id, case when favorite then 'paused' else reading_status end what from b union all select -id, 'not found' from b where id % 50 = 0",
     "batch_delete": f"with {_B}, {_T} select id, '' as name from b where folder_id <> 2 union all select t.book_id, t.name from t join b on b.id = t.book_id where b.folder_id <> 2",
-    "rendered_chapters": f"with ch as (select distinct book_id, idx, title, char_offset from chapters), r as (select ch.book_id, idx, title, substring(flat_text, char_offset + 1, greatest(coalesce(lead(char_offset) over (partition by ch.book_id order by idx), length(flat_text)) - char_offset, 0)) s from ch join epub_books e on e.book_id = ch.book_id), p as (select book_id, idx, title, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x, '{_W}')), lambda x: x <> '') ps from r), q as (select book_id, idx, case when len(ps) > 0 and ps[1] = trim(title, '{_W}') then ps[2:] else ps end ps from p) select book_id, idx, len(ps)::int n, sha256(array_to_string(ps, chr(10))) h from q",
+    "rendered_chapters": f"with ch as (select distinct book_id, idx, title, char_offset from chapters), r as (select ch.book_id, idx, ch.title, substring(flat_text, char_offset + 1, greatest(coalesce(lead(char_offset) over (partition by ch.book_id order by idx), length(flat_text)) - char_offset, 0)) s from ch join epub_books e on e.book_id = ch.book_id), p as (select book_id, idx, title, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x, '{_W}')), lambda x: x <> '') ps from r), q as (select book_id, idx, case when len(ps) > 0 and ps[1] = trim(title, '{_W}') then ps[2:] else ps end ps from p) select book_id, idx, len(ps)::int n, sha256(array_to_string(ps, chr(10))) h from q",
     "titles_collated": f"with {_B} select id, title from b",
     "touched_folders": "select id, path, added_at, case when id = 2 then 1800000000 else last_scan_at end last_scan_at from library_folders",
     "single_chapter_books": f"select book_id, trim(min(title), '{_W}') in ('正文', '全文', '未分章') as generic from (select distinct * from chapters) group by 1 having count(*) = 1",

@@ -26,7 +26,7 @@ def _paras(spark, d):
 
 def lines_with_offsets(spark, d):
     """WIN-01."""
-    return K.lines(_texts(spark, d), "book_id", "text").select("book_id", "line_no", "offset", F.length("line").alias("n"))
+    return K.lines(_texts(spark, d), "book_id", "text").select("book_id", "line_no", "offset", F.length("line").cast("long").alias("n"))
 
 
 def paragraphs_with_offsets(spark, d):
@@ -36,7 +36,7 @@ def paragraphs_with_offsets(spark, d):
 
 def paragraphs_in_chapters(spark, d):
     """JOI-11."""
-    return _paras(spark, d).select("book_id", "line_no", "chapter", F.length("text").alias("n"))
+    return _paras(spark, d).select("book_id", "line_no", "chapter", F.length("text").cast("long").alias("n"))
 
 
 def title_lines(spark, d):
@@ -109,13 +109,13 @@ def chapter_ranges(spark, d):
 
 def chapter_slices(spark, d):
     """JOI-13."""
-    return K.slices(_texts(spark, d), _chapters(spark, d), "book_id").select("book_id", "idx", F.length("slice").alias("n"), F.sha2("slice", 256).alias("h"))
+    return K.slices(_texts(spark, d), _chapters(spark, d), "book_id").select("book_id", "idx", F.length("slice").cast("long").alias("n"), F.sha2("slice", 256).alias("h"))
 
 
 def byte_offsets(spark, d):
     """FN-07: offsets of chapters in bytes of UTF-8."""
     j = _texts(spark, d).join(_chapters(spark, d), "book_id")
-    return j.select("book_id", "idx", T.byte_offset(F.col("text"), F.col("char_offset").cast("int")).alias("byte_offset"))
+    return j.select("book_id", "idx", T.byte_offset(F.col("text"), F.col("char_offset").cast("int")).cast("long").alias("byte_offset"))
 
 
 def search_hits(spark, d):
@@ -150,7 +150,7 @@ def joined_offsets(spark, d):
 def lost_characters(spark, d):
     """FIL-14, SRC-08: books whose text has replacement characters, by the byte-based gate."""
     n = F.length("text") - F.length(F.replace(F.col("text"), F.lit("�"), F.lit("")))
-    return _texts(spark, d).select("book_id", n.alias("lost"), (n * 100 > F.octet_length("text")).alias("rejected")).where("lost > 0")
+    return _texts(spark, d).select("book_id", n.cast("long").alias("lost"), (n * 100 > F.octet_length("text")).alias("rejected")).where("lost > 0")
 
 
 _N = [lines_with_offsets, paragraphs_with_offsets, paragraphs_in_chapters, title_lines, edge_lines, author_notes, promo_clean_stats, clean_stats, normalised_paragraphs, corpus_records, corpus_anonymous, corpus_jsonl, packed_chunks, chapter_ranges, chapter_slices, byte_offsets, search_hits, hit_chapters, search_snippets, search_page, joined_offsets, lost_characters]
