@@ -142,14 +142,14 @@ def count_pairs(texts: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray, int
     p, c = got[got.kind == 0], got[got.kind == 1]
     pairs[p.k.to_numpy()] = p.n
     chars[c.k.to_numpy()] = c.n
-    return pairs, chars, int(got.n[got.kind == 2].sum())
+    return pairs.astype(np.float32), chars.astype(np.float32), int(got.n[got.kind == 2].sum())
 
 
 class PairModel:
     """Scores pairs: log2 of the pair's contribution p(xy) * log2(p(xy) / p(x)p(y)) to the mutual information."""
 
     def __init__(self, pairs: np.ndarray, chars: np.ndarray, docs: int):
-        self.pairs, self.docs = pairs.astype(np.float32), max(docs, 1)
+        self.pairs, self.docs = pairs.astype(np.float32, copy=False), max(docs, 1)
         self.chars = np.log2(np.maximum(chars, 0.5)).astype(np.float32)
 
     def scores(self, a: np.ndarray) -> np.ndarray:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from codexmill.session import texts
 from codexmill.llm.common import table
+from codexmill.llm import rules
 from codexmill.llm.rules import case_expression
 from codexmill.llm.sitelines import _NUMBER, _TOKEN, HEADING, MIN_RECORDS, MIN_SHARE, LineKeys, _hash, fold, name_filter
 from codexmill.session import materialise
@@ -171,6 +172,15 @@ def stats(spark, sf_dir: str) -> DataFrame:
     return rest
 
 
+def fit(spark, sf_dir: str, sample: int = rules.SAMPLE) -> list:
+    """The rule list induced on a bounded sample of labelled documents (by a hash of doc_id): how rules.RULES came about."""
+    rows = stats(spark, sf_dir).where("chars > 0").orderBy(F.xxhash64("doc_id")).limit(sample).toPandas()
+    label = rules.seed_labels(rows)
+    known = rows[label.notna()].copy()
+    known["other"] = label[label.notna()].astype(bool)
+    return rules.induce(known)
+
+
 def classify(rows: DataFrame) -> DataFrame:
     """Statistics with `kind`: prose or other, by the exported rule list."""
     return rows.withColumn("kind", F.expr(case_expression()))

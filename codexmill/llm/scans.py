@@ -38,6 +38,7 @@ CONFUSED = {
     "ri": "n", "cl": "d", "ii": "u", "rn": "m", "vv": "w", "li": "h", "nn": "m", "a": "а", "o": "о", "e": "е", "p": "р", "y": "у", "x": "х", "C": "С",
 }
 CONFUSED["c"] += "сé"
+MERGED = {"m": "rn", "d": "cl", "w": "vv"}
 HAN_CONFUSED = {
     "丼": "井", "入": "人", "太": "大", "犬": "大", "八": "人", "己": "已", "巳": "已", "已": "己", "末": "未", "未": "末", "土": "士", "士": "土", "曰": "日", "囗": "口", "千": "干", "干": "千", "夭": "天", "本": "木", "木": "本", "玉": "王", "王": "玉", "自": "白", "白": "自",
     "力": "刀", "刀": "力", "乌": "鸟", "鸟": "乌", "贝": "见", "见": "贝", "间": "问", "问": "间", "令": "今", "今": "令", "午": "牛", "牛": "午", "各": "名", "名": "各", "往": "住", "住": "往", "睛": "晴", "晴": "睛", "人": "入", "大": "太", "日": "曰", "目": "日", "末": "未", "候": "侯", "候": "侯",
@@ -252,6 +253,11 @@ class Reader:
                 for p in printed:
                     yield w[:i] + p + w[i + len(seen) :]
                 i = w.find(seen, i + 1)
+        for seen, printed in MERGED.items():
+            i = w.find(seen)
+            while i >= 0:
+                yield w[:i] + printed + w[i + 1 :]
+                i = w.find(seen, i + 1)
 
     def misread(self, w: str, own: Counter) -> str | None:
         """The word that w was misread from, or None."""
