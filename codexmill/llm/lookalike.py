@@ -141,14 +141,18 @@ def keys(df: DataFrame, key: str, text: str, field: str) -> DataFrame:
 def alike(rows: DataFrame) -> DataFrame:
     """Pairs of different books whose texts look the same but are not the same string, the smaller id first.
 
-    Only keys with at least two different strings go on; the equi-join on (field, look) never meets other groups."""
+    Only forms with at least two different strings go on. The strings of one form are paired first and then expanded
+    to their books, so that copies of one string, however many, never meet each other."""
     rows = rows.dropDuplicates(["field", "book_id", "look", "raw"])
     hot = rows.groupBy("field", "look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "look")
     kept = rows.join(hot, ["field", "look"], "left_semi")
-    a = kept.select("field", "look", F.col("book_id").alias("book_id_a"), F.col("raw").alias("raw_a"))
-    b = kept.select("field", "look", F.col("book_id").alias("book_id_b"), F.col("raw").alias("raw_b"))
-    on = (a.field == b.field) & (a.look == b.look) & (a.book_id_a < b.book_id_b) & (a.raw_a != b.raw_b)
-    return a.join(b, on).select(a.field, "book_id_a", "book_id_b").distinct()
+    strings = kept.select("field", "look", "raw").distinct()
+    a, b = strings.withColumnRenamed("raw", "raw_a"), strings.withColumnRenamed("raw", "raw_b")
+    pairs = a.join(b, ["field", "look"]).where("raw_a < raw_b").select("field", "raw_a", "raw_b")
+    x = kept.select("field", F.col("raw").alias("raw_a"), F.col("book_id").alias("x"))
+    y = kept.select("field", F.col("raw").alias("raw_b"), F.col("book_id").alias("y"))
+    out = pairs.join(x, ["field", "raw_a"]).join(y, ["field", "raw_b"]).where("x <> y")
+    return out.select("field", F.least("x", "y").alias("book_id_a"), F.greatest("x", "y").alias("book_id_b")).distinct()
 
 
 def p3_found(spark, sf_dir):
