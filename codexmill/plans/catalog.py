@@ -297,4 +297,5 @@ SQL = {
     "relocate_sources": f"with {_B}, f as (select size_bytes, file_mtime, file_hash, min(source_path) found from books where source_path is not null and file_hash is not null group by 1, 2, 3) select b.id, coalesce(b.source_path, f.found) as source from b left join f using (size_bytes, file_mtime, file_hash) where b.file_hash is not null",
     "public_books": f"with {_B} select id, regexp_extract(path, '([^/\\\\]+)$', 1) as name from b",
     "head_hashes": "select book_id, sha256(flat_text) hash, 'document-' || substring(sha256(flat_text), 1, 12) as name, 'corpus-' || substring(sha256(flat_text), 1, 12) || '.reader-v1.jsonl' file from epub_books",
+    "default_cover": f"with {_B}, h as (select id, title, list_reduce(list_prepend(2166136261::bigint, list_transform(range(0, length(hex(title)) // 2), lambda i: ('0x' || substring(hex(title), i * 2 + 1, 2))::bigint)), lambda a, c: (xor(a, c) * 16777619) % 4294967296) f from b) select id, f % 8 colour, upper(substring(trim(title), 1, 1)) \"label\" from h",
 }

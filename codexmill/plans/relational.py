@@ -38,7 +38,7 @@ def events_hourly(spark, d):
     """STR-05: the windowed stream run over the stored events until none is left (memory sink, complete counts)."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    q = stream.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    q = stream.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
     run = q.writeStream.outputMode("complete").format("memory").queryName("events_hourly").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table("events_hourly")
@@ -61,4 +61,5 @@ SQL = {
     "customers_without_orders": "select c_custkey from customer where c_custkey not in (select o_custkey from orders)",
     "customers_with_urgent_orders": "select c_custkey, c_mktsegment from customer where c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
     "positions_stream": "select user_id, book_id, char_offset, updated_at from (select *, row_number() over (partition by user_id, book_id order by updated_at desc, char_offset desc) rn from user_progress) where rn = 1",
+    "events_hourly": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00:00') as start, event_type, count(*) n from events group by 1, 2",
 }

@@ -89,4 +89,6 @@ _ROWS = " union all ".join(f"select book_id, line_no, off, '{n}' as rule, regexp
 SQL = {
     "rule_matches": f"with l as (select book_id, generate_subscripts(string_split(flat_text, chr(10)), 1) - 1 line_no, unnest(string_split(flat_text, chr(10))) line from epub_books), o as (select *, coalesce(sum(length(line) + 1) over (partition by book_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint b from l), s as (select book_id, line_no, b + length(line) - length(ltrim(line, '{_W}')) off, trim(line, '{_W}') t from o where length(trim(line, '{_W}')) between 1 and 120), r as ({_ROWS}) select book_id, line_no, off as \"offset\", rule, title from r",
     "chapter_levels": "with c as (select book_id, char_offset o, min(greatest(least(level, 2), 0)) r from (select distinct * from chapters) group by 1, 2), n as (select *, row_number() over (partition by book_id order by o) idx from c), x as (select *, coalesce(max(case when r = 0 then idx end) over w, -1) l0, coalesce(max(case when r = 1 then idx end) over w, -1) l1 from n window w as (partition by book_id order by o rows between unbounded preceding and 1 preceding)) select book_id, idx, (case r when 0 then 0 when 1 then (l0 >= 0)::int else (l0 >= 0)::int + (l1 > l0)::int end) as level, o as \"offset\" from x",
+    "conventions": "with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) no, unnest(string_split(text, chr(10))) line from documents), c as (select *, rtrim(line, chr(13)) c from l), d as (select *, coalesce(lag(c) over (partition by doc_id order by no), '') pv, (c <> '')::int f, regexp_matches(c, '^[ \\t\\x{3000}\\x{a0}]')::int ind from c), e as (select *, sum(f) over (partition by doc_id order by no rows unbounded preceding) nth, f * (pv = '')::int st from d), i as (select doc_id, case when sum(st) > 1 then sum(st * ind) * 2 > sum(st) else sum(ind) * 2 > count(*) end indented from e where f = 1 and nth <= 100 group by 1), t as (select *, row_number() over (partition by doc_id order by no) k from (select doc_id, no, rtrim(line, chr(13) || ' ' || chr(9) || '　') c from l) where c <> ''), u as (select doc_id, avg((contains('。！？…」』”’）.!?)', right(c, 1)))::int) > 0.5 terminated from t where k <= 50 group by 1) select coalesce(i.doc_id, u.doc_id) doc_id, coalesce(indented, false) indented, coalesce(terminated, false) terminated from i full join u on u.doc_id = i.doc_id",
+    "contents_runs": f"with ch as (select distinct book_id, idx, title, level, char_offset o from chapters), r as (select ch.*, coalesce(lead(o) over (partition by ch.book_id order by idx), length(flat_text)) b, flat_text from ch join epub_books e on e.book_id = ch.book_id), h as (select *, case when contains(substring(flat_text, o + 1, b - o), chr(10)) then length(regexp_replace(regexp_extract(substring(flat_text, o + 1, b - o), '(?s)^[^\\n]*\\n(.*)$', 1), '[{''.join(f'{chr(92)}x{{{ord(c):x}}}' for c in T.WHITE)}]', '', 'g')) else 0 end <= 40 hollow from r), i as (select *, count(*) over (partition by book_id) n, sum(hollow::int) over (partition by book_id) nh, row_number() over (partition by book_id order by idx) - row_number() over (partition by book_id, hollow order by idx) g from h), j as (select *, count(*) over (partition by book_id, hollow, g) rn, lead(level) over (partition by book_id, hollow, g order by idx) nl from i), k as (select *, max(case when level < nl then idx end) over (partition by book_id, hollow, g) wider from j) select book_id, idx, hollow, case when not (hollow and rn >= 4 and n >= 4 and nh <= n * 0.8) then 'keep' when idx = wider then 'divider' else 'drop' end fate from k",
 }
