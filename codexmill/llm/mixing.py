@@ -15,11 +15,12 @@ negative weight counts as 0; a null max_repeats as 1; sources without documents
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexmill.llm.common import table
 from codexmill.llm.tokenize import encode_column
+from codexmill.operators.skew import running_sum
 from codexmill.session import materialise
 
 PHI = 0.6180339887498949
@@ -31,18 +32,6 @@ RANGES = 1024
 SLOTS = 1 << 14
 
 
-def _running(df: DataFrame, key: str, part: str, order: list[str], value: Column) -> DataFrame:
-    """df with `before`: the sum of value over the rows of the same key that come before, by (part, order).
-
-    Two levels: sums of the parts (few rows for each key), then a window inside one part."""
-    sums = df.groupBy(key, part).agg(F.sum(value).alias("part_sum"))
-    w = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(key, part, F.coalesce(F.sum("part_sum").over(w), F.lit(0)).alias("part_before"))
-    inside = Window.partitionBy(key, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("in_before", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return df.join(sums, [key, part]).withColumn("before", F.col("part_before") + F.col("in_before")).drop("part_before", "in_before")
-
-
 def schedule(spark, blocks: DataFrame, mix: DataFrame, total: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(slots, plan): slot, source and rank of every slot; per source its tokens, blocks and quota."""
     plan = mix.join(blocks.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "source", "left").select(
@@ -64,7 +53,7 @@ def schedule(spark, blocks: DataFrame, mix: DataFrame, total: int | None = None,
     bounds = F.broadcast(spark.createDataFrame(p[["source", "lo", "hi", "n_blocks", "repeats"]]))
     slots = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * PHI % 1.0).alias("u"), F.floor(F.col("id") / SLOTS).alias("range"))
     slots = slots.join(bounds, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).drop("u", "lo", "hi")
-    slots = _running(slots, "source", "range", ["slot"], F.lit(1)).select("slot", "source", F.col("before").alias("rank"), "n_blocks", "repeats")
+    slots = running_sum(slots, "source", "range", ["slot"], F.lit(1)).select("slot", "source", F.col("before").alias("rank"), "n_blocks", "repeats")
     return slots.where("rank < n_blocks * repeats"), plan
 
 
@@ -76,7 +65,7 @@ def mix(docs: DataFrame, source_mix: DataFrame, total: int | None = None, block:
     counted = encode_column(listed.select(F.struct("doc_id", "source").alias("k"), "text"), "k", "text", tokenizer, ids=False)
     h = F.xxhash64(F.lit(seed), "doc_id")
     sized = materialise(counted.where("n_tokens > 0").select("k.doc_id", "k.source", "n_tokens", h.alias("h"), F.shiftrightunsigned(h, 64 - RANGES.bit_length() + 1).alias("range")), "token-counts")
-    placed = _running(sized, "source", "range", ["h", "doc_id"], F.col("n_tokens")).select("doc_id", "source", "n_tokens", "before")
+    placed = running_sum(sized, "source", "range", ["h", "doc_id"], F.col("n_tokens")).select("doc_id", "source", "n_tokens", "before")
     blocks = sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).withColumn("n", F.ceil(F.col("t") / block))
     placed = placed.join(F.broadcast(blocks), "source").select("doc_id", "source", "n_tokens", F.expr("(before * n) div t").alias("block"))
     slots, plan = schedule(spark, sized, source_mix, total, block)
