@@ -38,13 +38,15 @@ CONFUSED = {
     "ri": "n", "cl": "d", "ii": "u", "rn": "m", "vv": "w", "li": "h", "nn": "m", "a": "а", "o": "о", "e": "е", "p": "р", "y": "у", "x": "х", "C": "С",
 }
 CONFUSED["c"] += "сé"
-MERGED = {"m": "rn", "d": "cl", "w": "vv"}
+MERGED = {"m": ["rn"], "d": ["cl"], "w": ["vv"]}
+_WITH_CYRILLIC = [(a, list(b)) for a, b in CONFUSED.items()] + list(MERGED.items())
+_WITHOUT = [(a, [c for c in b if not "\u0400" <= c < "\u0500"]) for a, b in _WITH_CYRILLIC]
+_HAS_CYRILLIC = re.compile("[а-яА-Я]").search
 HAN_CONFUSED = {
     "丼": "井", "入": "人", "太": "大", "犬": "大", "八": "人", "己": "已", "巳": "已", "已": "己", "末": "未", "未": "末", "土": "士", "士": "土", "曰": "日", "囗": "口", "千": "干", "干": "千", "夭": "天", "本": "木", "木": "本", "玉": "王", "王": "玉", "自": "白", "白": "自",
     "力": "刀", "刀": "力", "乌": "鸟", "鸟": "乌", "贝": "见", "见": "贝", "间": "问", "问": "间", "令": "今", "今": "令", "午": "牛", "牛": "午", "各": "名", "名": "各", "往": "住", "住": "往", "睛": "晴", "晴": "睛", "人": "入", "大": "太", "日": "曰", "目": "日", "末": "未", "候": "侯", "候": "侯",
     "沒": "没", "没": "设", "设": "没", "拔": "拨", "拨": "拔", "免": "兔", "兔": "免", "风": "凤", "凤": "风", "折": "拆", "拆": "折", "戍": "戌", "戊": "戌", "夫": "天", "无": "天", "天": "夫", "申": "由", "甲": "由", "田": "由", "由": "田", "士": "土", "厂": "广", "广": "厂", "几": "儿", "儿": "几", "旦": "但", "的": "旳", "旳": "的", "說": "说", "説": "说", "门": "问", "闩": "门", "治": "冶", "冶": "治", "亨": "享", "享": "亨", "卷": "券", "券": "卷", "辛": "幸", "幸": "辛", "史": "吏", "吏": "史", "了": "子", "子": "了", "孑": "子", "冫": "氵", "古": "占", "占": "古", "右": "石", "石": "右",
 }
-_NO_CYRILLIC = {c: None for c in range(0x400, 0x500)}
 HYPHENS = "-\xad¬‐"
 _WORD = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*(?:['’][^\W_]+)*|[@$]|(?<!\S)[@$][^\W_]+")
 _TOKEN = re.compile(r"[^\s.,;:!?“”«»„‘…()\[\]—–\-¬\xad‐，。？！：；、\x0c\"]+")
@@ -231,6 +233,7 @@ class Reader:
     def __init__(self, move: np.ndarray, emit: np.ndarray, words: np.ndarray):
         self.move, self.emit, self.words = move, emit, words
         self.cache: dict[str, int] = {}
+        self.known: dict[str, tuple] = {}
 
     def df(self, word: str) -> int:
         word = word.casefold()
@@ -244,20 +247,21 @@ class Reader:
 
     def _readings(self, w: str) -> Iterator[str]:
         """What a word may have been before one misreading (or the same one several times)."""
-        cyrillic = bool(re.search("[а-яА-Я]", w))
-        for seen, printed in CONFUSED.items():
-            if not cyrillic:
-                printed = printed.translate(_NO_CYRILLIC)
+        for seen, printed in _WITH_CYRILLIC if _HAS_CYRILLIC(w) else _WITHOUT:
             i = w.find(seen)
             while i >= 0:
                 for p in printed:
                     yield w[:i] + p + w[i + len(seen) :]
                 i = w.find(seen, i + 1)
-        for seen, printed in MERGED.items():
-            i = w.find(seen)
-            while i >= 0:
-                yield w[:i] + printed + w[i + 1 :]
-                i = w.find(seen, i + 1)
+
+    def readings(self, w: str) -> tuple[tuple[str, int], ...]:
+        """The readings of a word that some text has, with their frequencies; remembered."""
+        got = self.known.get(w)
+        if got is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[w] = tuple((v, n) for v in self._readings(w) if (n := self.df(v)))
+        return got
 
     def misread(self, w: str, own: Counter) -> str | None:
         """The word that w was misread from, or None."""
@@ -271,13 +275,13 @@ class Reader:
         odd = any(c in "0123456789@$" for c in w)
         again = own[w.casefold()]
         best, who = 0, None
-        first = list(self._readings(w))
-        for v in first:
-            d = max(self.df(v), 0) + 3 * (own[v.casefold()] if own[v.casefold()] > again else 0)
+        for v, d in self.readings(w):
+            mine = own[v.casefold()]
+            d += 3 * mine if mine > again else 0
             if d > best:
                 best, who = d, v
         if odd and best < 2:
-            for v in first:
+            for v in self._readings(w):
                 for u in self._readings(v):
                     d = self.df(u) + 3 * (own[u.casefold()] if own[u.casefold()] > again else 0)
                     if d > best:
