@@ -254,3 +254,33 @@ def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
     _write(spark, SF, str(tmp_path), spoil)
     for name in FOUND:
         assert registry.queries()[name](spark, str(tmp_path)).count() >= 0, name
+
+
+LONG = {
+    "lines": "“Qui donc” l'été Ã© 第一章 <b>x</b> **b** ''w'' $5 $$ a_b [[l|m]] `c` \\textbf{z} — tail-\n" * 900,
+    "blanks": " " * 80_000,
+    "one letter": "a" * 80_000,
+    "one sign": "的" * 80_000,
+    "open marks": "''x {{a <p $$x *a **b " * 4_000,
+    "escaped": "&lt;p " * 12_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_very_long_texts(model, name):
+    import time
+
+    t = LONG[name]
+    began = time.time()
+    markup.clean(t, markup.scan(t))
+    markup.tree(t, markup.scan(t))
+    mojibake.repair(t, model)
+    assert lookalike.rebuild([t], lookalike.mapping())
+    assert scans.Reader(*scans.initial(), np.zeros(1 << scans.WORD_BITS, dtype=np.int32)).label(t, "x") is not None
+    assert chunking.cuts(chunking.code_points(t), 500, 50)[-1] == len(t)
+    keys = sitelines.LineKeys(np.zeros((1 << sitelines.NAME_BITS) // 8, dtype=np.uint8))
+    stats = quality.LineStats(["the"])
+    for line in t.split("\n"):
+        keys.key(line)
+        stats.of(line, line.split())
+    assert time.time() - began < 60
