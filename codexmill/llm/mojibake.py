@@ -173,6 +173,7 @@ def segments(score: np.ndarray) -> list[tuple[int, int]]:
     ends = np.concatenate([cut, [len(score)]])
     sums = np.add.reduceat(score, starts)
     stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    lower: list[int] = []  # of each segment on the stack, the last one below it whose sum before is smaller
     total = 0.0
     for i, j, s in zip(starts.tolist(), ends.tolist(), sums.tolist()):
         if s <= 0:
@@ -183,12 +184,13 @@ def segments(score: np.ndarray) -> list[tuple[int, int]]:
         while True:
             k = len(stack) - 1
             while k >= 0 and stack[k][2] >= cur[2]:
-                k -= 1
+                k = lower[k]
             if k < 0 or stack[k][3] >= cur[3]:
                 stack.append(cur)
+                lower.append(k)
                 break
             cur = (stack[k][0], cur[1], stack[k][2], cur[3])
-            del stack[k:]
+            del stack[k:], lower[k:]
     return [(a, b) for a, b, _, _ in stack]
 
 
@@ -243,12 +245,26 @@ _CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f]")
 
 
-def _plain(new: str, old: str) -> bool:
-    """Whether a restored span consists of letters, digits and punctuation (signs only where the span had them)."""
-    return all(c in old or unicodedata.category(c) not in _SIGNS for c in set(new)) and any(not c.isspace() and unicodedata.category(c) != "Cf" for c in old if c > "\x7f")
+class _Of(dict):
+    """A property of each character, remembered."""
+
+    def __init__(self, test):
+        super().__init__()
+        self.test = test
+
+    def __missing__(self, c: str) -> bool:
+        got = self[c] = bool(self.test(c))
+        return got
 
 
 _SIGNS = {"So", "Sm", "Sc", "Sk", "Co", "Cn", "Cf", "No"}
+_SIGN = _Of(lambda c: unicodedata.category(c) in _SIGNS).__getitem__
+_SEEN = _Of(lambda c: c > "\x7f" and not c.isspace() and unicodedata.category(c) != "Cf").__getitem__
+
+
+def _plain(new: str, old: str) -> bool:
+    """Whether a restored span consists of letters, digits and punctuation (signs only where the span had them)."""
+    return any(map(_SEEN, old)) and not any(map(_SIGN, set(new).difference(old)))
 
 
 def _proper(span: str) -> bool:
