@@ -314,6 +314,8 @@ def readings(span: str, wrong: str) -> tuple[tuple[str, str], ...]:
             new = decode(data, right)
             if new is None or new == span or _CONTROL.search(new) or not _plain(new, span):
                 continue
+            if "\xad" in span and right not in ("utf-8", "utf-8 twice", "gb18030"):
+                continue  # a soft hyphen rather than a byte
             if right in _SCRIPT and len(_SCRIPT[right].findall(new)) < 2:
                 continue
             if right == "latin" and wrong in _SCRIPT and not _proper(span):
@@ -359,6 +361,8 @@ def inverse(text: str, runs: list[tuple[int, int]], model: PairModel) -> list[tu
             least = LEAST_UTF8 if utf8 else LEAST
             if wrong in _CYRILLIC and right in _CYRILLIC:
                 need, least = need + 2.0, 20.0  # both readings are Cyrillic
+            elif wrong in ("gb18030", "big5"):
+                least = 6.0 if utf8 else 20.0  # rare names are improbable as well
             if gain > need and gain * n > least:
                 found.append((gain * n, i, j, t))
     found.sort(key=lambda x: (-x[0], x[1]))
