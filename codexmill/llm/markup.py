@@ -3,9 +3,9 @@
 Method: every record is parsed to a DOM whose nodes come from four families of markup (HTML, Markdown, wiki, LaTeX).
 A site style tree merges the DOMs of one site (the folder of the book): for every place in the tree it holds the
 presentations seen there and the contents, with the number of records. A node's importance is the larger of the
-entropies of presentation and of content over the site's records; branches of low importance (the same content on
-most records: banners, navigation, export comments) are removed from every record, the rest is written as clean text
-that keeps headings, lists, code blocks, tables and formulas.
+entropies of presentation and of content over the site's records; branches of low importance whose own content comes
+back (banners, navigation, export comments, also a few that rotate on a large site) are removed from every record, the
+rest is written as clean text that keeps headings, lists, code blocks, tables and formulas.
 
 p2_found gives the families of the nodes. Markers that two families share go to the family of the record's other
 markers (Markdown if there is none).
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.entities import html5
@@ -31,8 +32,8 @@ from codexmill.llm.common import book_sites
 from codexmill.session import materialise
 from codexmill.session import texts
 
-#: A branch is removed if its content is the same on this share of a site's records, and on at least MIN_RECORDS.
-MIN_RECORDS, BOILERPLATE = 3, 0.3
+#: A branch is removed only if its content is the same on at least this many of a site's records.
+MIN_RECORDS = 3
 #: Importance (entropy scaled to 0..1) below which a branch is removed.
 IMPORTANCE = 0.2
 
@@ -338,41 +339,60 @@ def records(spark, sf_dir: str) -> DataFrame:
 
 
 def branches(rows: DataFrame) -> DataFrame:
-    """The branches of every record's DOM: (src, record_id, site, family, place, style, start, stop, content)."""
+    """The branches of every record's DOM: (src, record_id, site, family, place, style, start, stop, content, first, last).
+
+    `first` and `last` number the branches with a content at one place from the record's start and end. A record without
+    branches has one row, whose family is null."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for src, rid, site, text in zip(b["src"], b["record_id"], b["site"], b["text"]):
-                if text:
-                    for family, place, style, i, j, content in tree(text, scan(text)):
-                        out.append((src, rid, None if site != site else site, family, place, style[:200], i, j, _digest(content) if content != "*" else None))
-            yield pd.DataFrame(out, columns=["src", "record_id", "site", "family", "place", "style", "start", "stop", "content"]).astype({"site": "Int64"})
-
-    return rows.mapInPandas(part, "src string, record_id long, site long, family string, place string, style string, start long, stop long, content binary")
+                site = None if site != site else site
+                found = tree(text, scan(text)) if text else []
+                if not found:
+                    out.append((src, rid, site, *[None] * 8))
+                total = Counter(x[1] for x in found if x[5] != "*")
+                at: Counter = Counter()
+                for family, place, style, i, j, content in found:
+                    if content == "*":
+                        out.append((src, rid, site, family, place, style[:200], i, j, None, None, None))
+                    else:
+                        at[place] += 1
+                        out.append((src, rid, site, family, place, style[:200], i, j, _digest(content), at[place], total[place] + 1 - at[place]))
+            numbers = ["site", "start", "stop", "first", "last"]
+            yield pd.DataFrame(out, columns=["src", "record_id", "site", "family", "place", "style", "start", "stop", "content", "first", "last"]).astype(dict.fromkeys(numbers, "Int64"))
+
+    return rows.mapInPandas(part, "src string, record_id long, site long, family string, place string, style string, start long, stop long, content binary, first long, last long")
 
 
 def style_tree(nodes: DataFrame) -> DataFrame:
-    """The site style tree: (site, place, content, importance) of the contents that come back within a site.
-
-    Presentation entropy is taken over the styles at a place, content entropy over the share of the site's records
-    without this content; the larger one is the importance. Counts of a hot site spread over (place, content)."""
+    """The site style tree: (site, place, content, records, n_site, importance) of the contents that come back within a site.
+
+    Branches at one place are aligned to nodes of the tree in three ways: by their number from the record's start, by
+    their number from its end, and by their presentation. All entropies are to the base of the site's records (those
+    without a node too). A content's importance is 1 less the entropy of its spread over the records (0 on all of them,
+    1 on one), a node's content importance is the mean over its branches, and its presentation importance the entropy of
+    its styles. A branch is as important as the largest of the three says, in the alignment where that is least. Counts
+    of a hot site spread over (node, content)."""
     rows = nodes.where("site is not null")
     n_site = rows.groupBy("site").agg(F.count_distinct("src", "record_id").alias("n_site"))
-    styles = rows.groupBy("site", "place", "style").agg(F.count("*").alias("n"))
-    total = styles.groupBy("site", "place").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"), F.count("*").alias("k"))
-    presentation = total.select("site", "place", F.when(F.col("k") < 2, 0.0).otherwise((F.log2("n") - F.col("nlogn") / F.col("n")) / F.log2("k")).alias("presentation"))
-    once = rows.where("content is not null").select("site", "place", "content", "src", "record_id").distinct()
-    same = once.groupBy("site", "place", "content").agg(F.count("*").alias("records")).where(F.col("records") >= MIN_RECORDS)
-    out = same.join(n_site, "site").join(presentation, ["site", "place"])
-    p = F.least(F.col("records") / F.col("n_site"), F.lit(1.0))
-    content = F.when(p >= BOILERPLATE, 0.0).otherwise(1.0 - p)
-    return out.select("site", "place", "content", "records", "n_site", F.greatest(content, F.when(p >= BOILERPLATE, 0.0).otherwise(F.col("presentation"))).alias("importance"))
+    node = ["site", "place", "node"]
+    align = F.array(F.concat(F.lit("<"), F.col("first").cast("string")), F.concat(F.lit(">"), F.col("last").cast("string")), F.concat(F.lit("="), F.col("style")))
+    at = rows.where("content is not null").select("site", "place", "style", "content", "src", "record_id", F.explode(align).alias("node"))
+    same = at.select(*node, "content", "src", "record_id").distinct().groupBy(*node, "content").agg(F.count("*").alias("records")).join(n_site, "site")
+    same = same.withColumn("own", F.when(F.col("n_site") > 1, 1.0 - F.log2("records") / F.log2("n_site")).otherwise(1.0))
+    content = same.groupBy(*node).agg((F.sum(F.col("records") * F.col("own")) / F.sum("records")).alias("content_importance"))
+    styles = at.groupBy(*node, "style").agg(F.count("*").alias("n"))
+    presentation = styles.groupBy(*node).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("bits"))
+    out = same.where(F.col("records") >= MIN_RECORDS).join(content, node).join(presentation, node)
+    importance = F.greatest("own", "content_importance", F.col("bits") / F.log2("n_site"))
+    return out.groupBy("site", "place", "content").agg(F.max("records").alias("records"), F.max("n_site").alias("n_site"), F.min(importance).alias("importance"))
 
 
 def p2_found(spark, sf_dir):
     """(src, record_id, markup): the families of the nodes of each record's DOM."""
-    return branches(records(spark, sf_dir)).select("src", "record_id", F.col("family").alias("markup")).distinct()
+    return branches(records(spark, sf_dir)).where("family is not null").select("src", "record_id", F.col("family").alias("markup")).distinct()
 
 
 def p2_clean(spark, sf_dir):

@@ -173,6 +173,23 @@ def test_style_tree_drops_banners(spark):
     assert len(low) == 1 and low[0].records == 6 and low[0].place == "div"
 
 
+def _low(spark, texts):
+    df = spark.createDataFrame([("s", i, 1, t) for i, t in enumerate(texts)], "src string, record_id long, site long, text string")
+    return [(r.place, r.records) for r in markup.style_tree(markup.branches(df)).collect() if r.importance < markup.IMPORTANCE]
+
+
+def test_style_tree_entropies(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    # four banners in turn
+    assert sorted(_low(spark, [f"<div>Shop of {'abcd'[i % 4]}</div><p>text {word(i)}</p>" for i in range(2000)])) == [("div", 500)] * 4
+    # the same words on two fifths of the records, at a place that differs on the others
+    assert not _low(spark, [f"<p>{'Once upon a time.' if i % 5 < 2 else word(i)}</p>" for i in range(1000)])
+    # the place differs, but its last branch is a banner
+    assert _low(spark, ["".join(f"<p>text {word(i * 9 + k)}</p>" for k in range(i % 5 + 1)) + "<p>Visit our shop</p>" for i in range(40)]) == [("p", 40)]
+    # records without any markup belong to the site
+    assert not _low(spark, [f"<div>Home</div><p>text {word(i)}</p>" for i in range(4)] + ["plain", None] * 4)
+
+
 def test_scans():
     page = lambda n: f"THE TITLE OF BOOK\nA long {'abcdef'[n - 40] * 4} line of the body which ends within a com-\nmon word and goes {'uvwxyz'[n - 40] * 4} on.\n- {n} -\n\x0c\n"
     text = "".join(page(n) for n in range(40, 46))
