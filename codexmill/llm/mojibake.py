@@ -1,7 +1,8 @@
 """Problem 1: text decoded with the wrong character encoding.
 
 Method: pairs of adjacent characters are scored by their contribution to the corpus' mutual information
-(document frequencies of pairs and characters, counted over every text in one distributed pass); maximum-scoring
+(document frequencies of pairs and characters, counted over every distinct text in one distributed pass, without the
+lines that show traces of a wrong decoding); maximum-scoring
 segments (Ruzzo-Tompa) isolate the improbable runs; only inside those runs are inverse mappings tried, i.e. the run
 is encoded with a codec that may have been applied by mistake and decoded with the right one. A mapping counts if
 the restored run is clearly more probable than the garbled one.
@@ -111,8 +112,49 @@ def decode(data: bytes, codec: str) -> str | None:
         return lossy if lossy.count("\ufffd") * 10 <= len(lossy) else None
 
 
+def _suspect() -> re.Pattern:
+    """What a line of correct text does not hold: UTF-8 sequences read as single bytes, runs of accented letters, double
+    bytes or C1 controls, signs within words, Cyrillic words in inverted case."""
+
+    def some(codec: str, *ranges: tuple[int, int]) -> str:
+        return "[" + "".join(re.escape(_TABLE[codec][b]) for i, j in ranges for b in range(i, j + 1)) + "]"
+
+    out = []
+    for codec in sorted(SINGLE):
+        cont = some(codec, (0x80, 0xBF))
+        two, cyrillic = some(codec, (0xC2, 0xC5)) + cont, some(codec, (0xD0, 0xD1)) + cont
+        dash, han = some(codec, (0xE2, 0xE2)) + some(codec, (0x80, 0x84)) + cont, some(codec, (0xE3, 0xE9), (0xEF, 0xEF)) + cont * 2
+        # a single sequence may be a letter and a mark: in Cyrillic text, or in a word of capitals
+        out += [f"(?:{cyrillic}){{2}}", f"(?:{han}){{2}}", some(codec, (0xF0, 0xF0)) + cont * 3]
+        out += [f"(?:{two}){{2}}"] + ([f"(?:{dash}){{2}}"] if codec in _CYRILLIC else [f"[a-z]{two}|{two}[a-z]", dash])
+    signs = "‚„†‡ˆ‰Š‹ŒŽ•˜™›Ÿƒ¡-\xac\xae-¶¸-Þ×÷ΘΦΩΣΓδφεπστ\u2190-\u25ff"
+    out += ["[\x80-\x9f\ufffd]", "[À-ÿ]{4}", "(?:[\xb0-\xf7][\xa1-\xfe]){2}", f"[a-z][{signs}]+[a-z]"]
+    out += ["(?<![\u0400-\u04ff])[а-яё][А-ЯЁ]{3}", "[а-я][‚ѓ„†‡€‰Љ‹ЊЌЋЏђ™љ›њќћџЎўЈ¤Ґ¦§©Є¬®Ї°±Ііґµ¶№єјЅѕї\u2200-\u25ff]+[а-я]", "[\u0400-\u04ff][\u2500-\u25ff]|[\u2500-\u25ff][\u0400-\u04ff]"]
+    return re.compile("|".join(out))
+
+
+_CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
+_SUSPECT, _HAN = _suspect(), re.compile("[\u3400-\u9fff]{6,}")
+
+
+def _double(run: str) -> bool:
+    """Whether a run of Chinese characters is valid UTF-8 that was read as GB18030."""
+    try:
+        codecs.utf_8_decode(run.encode("gb18030"), "strict", False)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def unsuspected(text: str) -> str:
+    """The lines that show no trace of a wrong decoding: only these may vouch for pairs, however many books share a fault."""
+    return "\n".join(s for s in text.split("\n") if s.isascii() or not (_SUSPECT.search(s) or any(map(_double, _HAN.findall(s)))))
+
+
 def count_pairs(texts: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Document frequencies of adjacent pairs with a character beyond ASCII (hashed) and of characters, over all rows.
+    """Document frequencies of adjacent pairs with a character beyond ASCII (hashed) and of characters, over the lines of
+    the distinct texts that show no trace of a wrong decoding: neither copies nor a fault that many books share make
+    garbled pairs probable.
 
     Each batch adds up its own counts first; the shuffle and what comes to the driver are bounded by
     2**BITS + N_CHARS rows."""
@@ -126,6 +168,7 @@ def count_pairs(texts: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray, int
                 if not t:
                     continue
                 n += 1
+                t = unsuspected(t)
                 a = code_points(f" {t} ")
                 seen = np.unique(a)
                 chars[seen] += 1
@@ -137,7 +180,7 @@ def count_pairs(texts: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray, int
         p, c = np.nonzero(pairs)[0], np.nonzero(chars)[0]
         yield pd.DataFrame({"kind": np.repeat([0, 1, 2], [len(p), len(c), 1]).astype("int8"), "k": np.concatenate([p, c, [0]]).astype("int32"), "n": np.concatenate([pairs[p], chars[c], [n]]).astype("int64")})
 
-    got = texts.select(col).mapInPandas(part, "kind byte, k int, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).toPandas()
+    got = texts.select(col).distinct().mapInPandas(part, "kind byte, k int, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).toPandas()
     pairs, chars = np.zeros(1 << BITS, dtype=np.int64), np.zeros(N_CHARS, dtype=np.int64)
     p, c = got[got.kind == 0], got[got.kind == 1]
     pairs[p.k.to_numpy()] = p.n
@@ -241,7 +284,6 @@ def _usable(codec: str):
 _SPANS = {c: _usable(c) for c in INVERSES}
 _NON_ASCII = re.compile("[^\x00-\x7f]")
 _SCRIPT = {"gb18030": re.compile("[\u4e00-\u9fff]"), "big5": re.compile("[\u4e00-\u9fff]"), "cp1251": re.compile("[\u0410-\u044f]"), "koi8_r": re.compile("[\u0410-\u044f]"), "cp866": re.compile("[\u0410-\u044f]"), "mac_cyrillic": re.compile("[\u0410-\u044f]")}
-_CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f]")
 
 
@@ -332,6 +374,7 @@ def readings(span: str, wrong: str) -> tuple[tuple[str, str], ...]:
 def inverse(text: str, runs: list[tuple[int, int]], model: PairModel) -> list[tuple[float, int, int, str]]:
     """Accepted inverse mappings (gain, i, j, restored) of spans inside the runs, the best ones, not overlapping."""
     found: list[tuple[float, int, int, str]] = []
+    codec: dict[tuple[int, int, str], tuple[str, str]] = {}
     parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for wrong in INVERSES:
         spans, tried = [], []
@@ -365,6 +408,12 @@ def inverse(text: str, runs: list[tuple[int, int]], model: PairModel) -> list[tu
                 least = 6.0 if utf8 else 20.0  # rare names are improbable as well
             if gain > need and gain * n > least:
                 found.append((gain * n, i, j, t))
+                codec[i, j, t] = wrong, right
+    # a lone rare sign may be correct: that it stands for another one takes a second passage with the same codecs
+    weak = [x for x in found if not codec[x[1:]][1].startswith("utf-8") and len(own := _NON_ASCII.findall(text, x[1], x[2])) == 1 and _SIGN(own[0])]
+    for x in weak:
+        if not any(codec[y[1:]] == codec[x[1:]] and (y[1] >= x[2] or y[2] <= x[1]) for y in found):
+            found.remove(x)
     found.sort(key=lambda x: (-x[0], x[1]))
     out: list[tuple[float, int, int, str]] = []
     taken = np.zeros(len(text) + 1, dtype=bool)

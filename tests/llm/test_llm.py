@@ -50,6 +50,21 @@ def test_mojibake_edges(model):
     assert mojibake.repair("lost � here", model)[1]
 
 
+@pytest.mark.parametrize("right, wrong, copies", [("utf-8", "latin", 1), ("utf-8", "latin", 130), ("gb18030", "latin", 130), ("utf-8", "gb18030", 130)])
+def test_mojibake_hot_group(spark, right, wrong, copies):
+    """Books that share a fault, and copies of one garbled book, do not make it probable."""
+    e = pd.read_parquet("/root/testdata/sf0.01/epub_books.parquet").flat_text.dropna()
+    own = "[\u4e00-\u9fff]" if right == "gb18030" or wrong == "gb18030" else "[éèê]"
+    whole = [t for t in e if len(pd.Series([t]).str.findall(own)[0]) > 20 and mojibake.encode(t, right) and not any(c in t for c in "\ufffdÃâ€")]
+    bad = [mojibake.decode(mojibake.encode(t, right), wrong) for t in whole[: len(whole) // 2]]
+    bad = [t for t in bad if t and t not in whole]
+    group = bad * 3 if copies == 1 else bad[:1] * copies
+    rows = [(i, t) for i, t in enumerate([*whole[len(whole) // 2 :], *[t for t in e if t.isascii()], *group])]
+    rows += [(len(rows) + i, "The quiet river waited by the gate.") for i in range(max(0, 2 * len(group) - len(rows)))]
+    got = mojibake.detect(spark.createDataFrame(rows, "book_id long, flat_text string"), "book_id", "flat_text").where("garbled")
+    assert {r.flat_text for r in got.join(spark.createDataFrame(rows, "book_id long, flat_text string"), "book_id").collect()} >= set(group)
+
+
 def test_segments_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(300):
