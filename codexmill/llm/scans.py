@@ -204,7 +204,7 @@ def _words_of(text: str) -> set[str]:
 
 
 def vocabulary(rows: DataFrame) -> np.ndarray:
-    """Document frequencies of words in 2**WORD_BITS hashed counters, over all texts."""
+    """Document frequencies of words in 2**WORD_BITS hashed counters, over all distinct texts: copies do not vouch for their own errors."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -221,7 +221,7 @@ def vocabulary(rows: DataFrame) -> np.ndarray:
                     counts[k[1]] += 1
         yield pd.DataFrame({"k": np.fromiter(counts.keys(), np.int32, len(counts)), "n": np.fromiter(counts.values(), np.int64, len(counts))})
 
-    got = rows.mapInPandas(part, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.select("text").distinct().mapInPandas(part, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << WORD_BITS, dtype=np.int32)
     out[got["k"].to_numpy()] = got["n"].to_numpy()
     return out

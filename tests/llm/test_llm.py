@@ -2,6 +2,7 @@
 
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -223,6 +224,13 @@ def test_scans():
         assert r.label(t, None) == ([], [])
 
 
+def test_copies_do_not_vouch_for_misreadings(spark):
+    texts = [f"The line which {'abcdefghijklmnop'[i] * 5} goes on.\n" for i in range(12)] + ["The line whicb goes on.\n"] * 10
+    words = scans.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
+    r = scans.Reader(*scans.initial(), words)
+    assert r.df("whicb") == 1 and r.misread("whicb", Counter(whicb=1)) == "which"
+
+
 def test_rules_held_out():
     rng = np.random.default_rng(5)
     df = pd.DataFrame({f: rng.random(2000) for f in rules.FEATURES})
