@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexmill.session import materialise
+
 
 def running_sum(df: DataFrame, key: str, part: str, order: list[str], value: Column) -> DataFrame:
     """df with `before`: the sum of value over the rows of the same key that come before, by (part, order).
@@ -28,3 +30,37 @@ def previous(df: DataFrame, key: str, part: str, order: list[str], cols: list[st
     last = last.select(key, part, F.lag("last").over(Window.partitionBy(key).orderBy(part)).alias("before_part"))
     df = df.withColumn("in_prev", F.lag(row).over(inside))
     return df.join(last, [key, part]).withColumn("prev", F.coalesce("in_prev", "before_part")).drop("in_prev", "before_part")
+
+
+#: Rows of one key beyond which a join spreads it over several tasks.
+HOT = 100_000
+#: Rows of a side that is broadcast at most; it is counted first.
+BROADCAST_ROWS = 1_000_000
+
+
+def hot_join(few: DataFrame, many: DataFrame, keys: list[str], spread: list[str], hot: int = HOT) -> DataFrame:
+    """Inner join on keys of which one may hold a third of `many`: hot keys are split by a hash of `spread`, their rows of `few` repeated for each part.
+
+    The table of hot keys has at most rows / hot entries, and so may be broadcast."""
+    sizes = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*keys, F.ceil(F.col("_n") / hot).cast("int").alias("_parts"))
+    sizes = F.broadcast(sizes)
+    few = few.join(sizes, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    many = many.join(sizes, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")).drop("_parts")
+    return few.join(many, [*keys, "_salt"]).drop("_salt")
+
+
+def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """big ⋈ small (left, semi or anti), where small is written and counted first: broadcast up to `limit` rows, else shuffled.
+
+    Beyond the limit rows of `big` with a null key, which match nothing, stay out of the shuffle."""
+    small = materialise(small, "side")
+    if small.count() <= limit:
+        return big.join(F.broadcast(small), keys, how)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    met = big.where(known).join(small, keys, how)
+    if how == "left_semi":
+        return met
+    rest = big.where(~known)
+    return met.unionByName(rest, allowMissingColumns=True)

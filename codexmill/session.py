@@ -50,12 +50,16 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a local one stands in only for a local master (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        got = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        d = got or os.path.join(tempfile.gettempdir(), "codexmill-shared")
-    return d
+    if d:
+        return d
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "codexmill-shared")
+
+
+_WRITTEN: list[str] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -63,4 +67,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what materialise has written; call it when the results built on it have been read. Gives the number of folders."""
+    jvm, n = spark._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
