@@ -1,16 +1,19 @@
 """Problem 9: per-document statistics of text quality, and what they tell: natural prose, or lists, tables and junk.
 
-Method: statistics of every line are taken in one pass; lines that the site repeats (the operator of problem 6 over
-documents) are left out and the rest is summed for each document. An ordered rule list, induced by incremental
-reduced-error pruning (llm/rules.py) on labelled documents, is exported to an SQL CASE expression and applied natively.
-
-Defined results: null, empty and blank texts have zero statistics and are never found; a text of nothing but the
-site's lines likewise; a document without source keeps all its lines; repeated rows give one row for each doc_id.
+Method: copies of a text collapse first; statistics of every line of the distinct texts are taken in one pass; lines
+that the site repeats (the operator of problem 6 over documents) are left out and the rest is summed for each source
+and text. An ordered rule list, induced by incremental reduced-error pruning (llm/rules.py) on documents that are
+labelled by how they were made (llm/labelled.py), is exported to an SQL CASE expression and applied natively.
+
+Defined results: null, empty and blank texts have zero statistics and no kind and are never found; of a text of nothing
+but the site's lines that holds for its own statistics; a document without source keeps all its lines; repeated rows
+give one row, a doc_id with several texts one for each of them, and it is found if one of them is.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,9 +22,10 @@ from pyspark.sql import functions as F
 
 from codexmill.session import texts
 from codexmill.llm.common import table
-from codexmill.llm import rules
+from codexmill.llm import labelled, rules
 from codexmill.llm.rules import case_expression
-from codexmill.llm.sitelines import _NUMBER, _TOKEN, HEADING, MIN_RECORDS, MIN_SHARE, LineKeys, _hash, fold, name_filter
+from codexmill.llm.sitelines import _NUMBER, _TOKEN, BLANK, HEADING, _hash, cases_of, count_records, first_copies, fold, hashed, keys_for, name_words, with_names
+from codexmill.operators.skew import hot_join, sized_join
 from codexmill.session import materialise
 
 # Characters and forms that the statistics look for.
@@ -100,85 +104,110 @@ class LineStats:
         return n, letters, digits, symbols, words, letters, common, han, han_common, end, 1 if end else 0, listed, cells, link, code, keyed, dull, novowel, head, 1 if head else 0
 
 
-def line_table(docs: DataFrame, names, common: list[str]) -> DataFrame:
-    """One row for each non-blank line of documents: its key as a site's line (null if it cannot be one), a hash of itself, its statistics."""
+def line_table(distinct: DataFrame, names: DataFrame, common: list[str]) -> DataFrame:
+    """One row for each non-blank line of distinct texts (h, text): its key as a site's line (null if it cannot be one), a hash of itself, its statistics."""
     fields = [f"{c} int" for c in LINE]
+    rows, array = with_names(distinct, names)
+    shared = distinct.sparkSession.sparkContext.broadcast(array)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, stats = LineKeys(names.value), LineStats(common)
+        of, stats = keys_for(shared), LineStats(common)
         for b in batches:
-            sites = b.column(1).to_pylist()
             at, nos, ks, own, cols = [], [], [], [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
+            for i, (t, mine) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                key_of = of(mine).key_of
                 for no, line in enumerate(t.split("\n"), 1):
                     if not line or line.isspace():
                         continue
                     parts = _TOKEN.split(fold(line))
-                    k = keys.key_of(parts) if sites[i] is not None else None
+                    k = key_of(parts)
                     at.append(i)
                     nos.append(no)
                     ks.append(None if k is None else _hash(k))
-                    own.append(hash(line.strip()) & 0x7FFFFFFF)
+                    own.append(zlib.crc32(line.strip().encode("utf-8", "surrogatepass")) & 0x7FFFFFFF)
                     cols.append(stats.of(line, parts[1::2]))
-            take = pa.array(at, pa.int32())
             data = [pa.array(c, pa.int32()) for c in zip(*cols)] if cols else [pa.array([], pa.int32())] * len(LINE)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(nos, pa.int32()), pa.array(ks, pa.binary()), pa.array(own, pa.int32()), *data], ["doc_id", "source", "line_no", "key", "line", *LINE])
-
-    rows = docs.where("text is not null and doc_id is not null").select("doc_id", "source", "text")
-    return rows.mapInArrow(part, "doc_id long, source string, line_no int, key binary, line int, " + ", ".join(fields))
-
-
-def stats(spark, sf_dir: str) -> DataFrame:
-    """One row for each document: the statistics of its own lines."""
-    docs = texts(spark, sf_dir, "documents").select("doc_id", "source", "author", "text")
-    names = spark.sparkContext.broadcast(name_filter(docs.select("author"), table(spark, sf_dir, "books").select("author")))
-    common = [r.word for r in table(spark, sf_dir, "common_words").select("word").distinct().toLocalIterator() if r.word]
-    rows = materialise(line_table(docs, names, common), "line-stats")
-    site = rows.where("source is not null")
-    sizes = site.groupBy("source").agg(F.count_distinct("doc_id").alias("n_site"))
-    per_record = site.where("key is not null").groupBy("source", "key", "doc_id").agg(F.lit(1).alias("one"))
-    per_key = per_record.groupBy("source", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_RECORDS)
-    cases = per_key.join(sizes, "source").where(F.col("n") >= F.col("n_site") * MIN_SHARE).select("source", "key")
-    own = rows.join(cases, ["source", "key"], "left_anti")
-    first = F.min_by(F.struct(*LINE), "line_no")
-    got = own.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in LINE], F.count("*").alias("lines"), F.count_distinct("line").alias("distinct_lines"), first.alias("first"), F.max("chars").alias("longest"))
-    # an introduction of one sentence before something else is left out
-    intro = (F.col("lines") > 2) & (F.col("first.end_chars") > 0) & (F.col("first.chars") < 250) & (F.col("end_lines") <= F.col("lines") / 2)
-    rest = got.select("doc_id", "distinct_lines", "longest", (F.col("lines") - F.when(intro, 1).otherwise(0)).alias("lines"), *[(F.col(c) - F.when(intro, F.col(f"first.{c}")).otherwise(0)).alias(c) for c in LINE])
-    one = (F.col("end_lines") == 1) & (F.col("lines") > 3) & (F.col("end_chars") < 250)  # a single sentence in a list
-    rest = rest.withColumns({"chars": F.col("chars") - F.when(one, F.col("end_chars")).otherwise(0), "end_chars": F.when(one, 0).otherwise(F.col("end_chars"))})
-    # a heading or two say nothing; a list of them does
-    rest = rest.withColumns({"chars": F.col("chars") - F.when(F.col("head_lines") <= 2, F.col("head_chars")).otherwise(0), "lines": F.col("lines") - F.when(F.col("head_lines") <= 2, F.col("head_lines")).otherwise(0)})
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    rest = rest.withColumns(
-        {
-            "mean_word": share("word_chars", "words"),
-            "symbol_ratio": share("symbols", "chars"),
-            "digit_ratio": share("digits", "chars"),
-            "letter_ratio": share("letters", "chars"),
-            "end_share": share("end_chars", "chars"),
-            "end_line_share": share("end_lines", "lines"),
-            "list_share": share("list_chars", "chars"),
-            "table_share": share("table_chars", "chars"),
-            "link_share": share("link_chars", "chars"),
-            "code_share": share("code_chars", "chars"),
-            "keyed_share": share("keyed_chars", "chars"),
-            "dull_share": share("dull_chars", "chars"),
-            "novowel_share": share("novowel", "words"),
-            "distinct_share": share("distinct_lines", "lines"),
-            "common_share": F.when(F.col("han") * 3 > F.col("letters"), share("han_common", "han")).otherwise(share("common", "words")),
-        }
-    )
-    return rest
-
-
-def fit(spark, sf_dir: str, sample: int = rules.SAMPLE) -> list:
-    """The rule list induced on a bounded sample of labelled documents (by a hash of doc_id): how rules.RULES came about."""
-    rows = stats(spark, sf_dir).where("chars > 0").orderBy(F.xxhash64("doc_id")).limit(sample).toPandas()
-    label = rules.seed_labels(rows)
-    known = rows[label.notna()].copy()
-    known["other"] = label[label.notna()].astype(bool)
-    return rules.induce(known)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(nos, pa.int32()), pa.array(ks, pa.binary()), pa.array(own, pa.int32()), *data], ["h", "line_no", "key", "line", *LINE])
+
+    return rows.select("h", "text", "names").mapInArrow(part, "h binary, line_no int, key binary, line int, " + ", ".join(fields))
+
+
+def share(a: str, b: str):
+    return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+
+
+def common_share():
+    return F.when(F.col("han") * 3 > F.col("letters"), share("han_common", "han")).otherwise(share("common", "words"))
+
+
+class Stats:
+    """Statistics of documents (doc_id, source, text): `rec` has (site, record, h) of every document with a text, `rows` the lines of the distinct texts, `own` the features of each (site, h)."""
+
+    def __init__(self, docs: DataFrame, names: DataFrame, common: list[str]):
+        rows = hashed(docs.where("doc_id is not null").select("doc_id", "source", "text"))
+        rows = rows.where(F.col("text").rlike(BLANK)).select("doc_id", F.coalesce(F.concat(F.lit("d:"), "source"), F.lit("-")).alias("site"), "h", "text")
+        self.rec = rows.select("site", F.col("doc_id").alias("record"), "h")
+        self.rows = materialise(line_table(first_copies(rows.select("doc_id", "h", "text"), ["doc_id"]), names, common), "line-stats")
+        cases = cases_of(*count_records(self.rows.where("key is not null"), self.rec.where("site <> '-'"))).select("site", "key")
+        at = self.rows.join(self.rec.select("site", "h").distinct(), "h").withColumn("key", F.when(F.col("site") != "-", F.col("key")))
+        own = sized_join(at, cases, ["site", "key"], "left_anti")
+        first = F.min_by(F.struct(*LINE), "line_no")
+        got = own.groupBy("site", "h").agg(*[F.sum(c).alias(c) for c in LINE], F.count("*").alias("lines"), F.count_distinct("line").alias("distinct_lines"), first.alias("first"), F.max("chars").alias("longest"))
+        # an introduction of one sentence before something else is left out
+        intro = (F.col("lines") > 2) & (F.col("first.end_chars") > 0) & (F.col("first.chars") < 250) & (F.col("end_lines") <= F.col("lines") / 2)
+        rest = got.select("site", "h", "distinct_lines", "longest", (F.col("lines") - F.when(intro, 1).otherwise(0)).alias("lines"), *[(F.col(c) - F.when(intro, F.col(f"first.{c}")).otherwise(0)).alias(c) for c in LINE])
+        one = (F.col("end_lines") == 1) & (F.col("lines") > 3) & (F.col("end_chars") < 250)  # a single sentence in a list
+        rest = rest.withColumns({"chars": F.col("chars") - F.when(one, F.col("end_chars")).otherwise(0), "end_chars": F.when(one, 0).otherwise(F.col("end_chars")), "end_lines": F.when(one, 0).otherwise(F.col("end_lines"))})
+        # a heading or two say nothing; a list of them does
+        rest = rest.withColumns({"chars": F.col("chars") - F.when(F.col("head_lines") <= 2, F.col("head_chars")).otherwise(0), "lines": F.col("lines") - F.when(F.col("head_lines") <= 2, F.col("head_lines")).otherwise(0)})
+        self.own = rest.withColumns(
+            {
+                "mean_word": share("word_chars", "words"),
+                "symbol_ratio": share("symbols", "chars"),
+                "digit_ratio": share("digits", "chars"),
+                "letter_ratio": share("letters", "chars"),
+                "end_share": share("end_chars", "chars"),
+                "end_line_share": share("end_lines", "lines"),
+                "list_share": share("list_chars", "chars"),
+                "table_share": share("table_chars", "chars"),
+                "link_share": share("link_chars", "chars"),
+                "code_share": share("code_chars", "chars"),
+                "keyed_share": share("keyed_chars", "chars"),
+                "dull_share": share("dull_chars", "chars"),
+                "novowel_share": share("novowel", "words"),
+                "distinct_share": share("distinct_lines", "lines"),
+                "common_share": common_share(),
+            }
+        )
+
+    def whole(self) -> DataFrame:
+        """(h, words, mean_word, symbol_ratio, end_line_share, common_share) of whole texts, the site's lines included."""
+        got = self.rows.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("words", "word_chars", "symbols", "chars", "end_lines", "han", "letters", "han_common", "common")], F.count("*").alias("lines"))
+        return got.select("h", "words", share("word_chars", "words").alias("mean_word"), share("symbols", "chars").alias("symbol_ratio"), share("end_lines", "lines").alias("end_line_share"), common_share().alias("common_share"))
+
+
+def stats(spark, sf_dir: str) -> Stats:
+    """Of the table documents."""
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    names = name_words(table(spark, sf_dir, "documents").select("author"), table(spark, sf_dir, "books").select("author"))
+    return Stats(docs, names, common_words(spark, sf_dir))
+
+
+def common_words(spark, sf_dir: str) -> list[str]:
+    """The fixed table of common words (125 rows)."""
+    return sorted(r.word for r in table(spark, sf_dir, "common_words").select("word").distinct().toLocalIterator() if r.word)
+
+
+def fit(spark, sf_dir: str, sample: int = rules.SAMPLE, seed: int = 1) -> list:
+    """The rule list induced on `sample` documents at most whose labels tell how they were made: how rules.RULES came about."""
+    made = labelled.documents(labelled.passages(table(spark, sf_dir, "epub_books")), sample, seed)
+    docs = spark.createDataFrame([(i, None, t) for i, (t, _, _) in enumerate(made)], "doc_id long, source string, text string")
+    none = spark.createDataFrame([], "name long")
+    s = Stats(docs, none, common_words(spark, sf_dir))
+    rows = s.own.join(s.rec.select("h", "record"), "h").where("chars > 0").toPandas().sort_values("record").reset_index(drop=True)
+    rows["other"] = [made[i][1] for i in rows.record]
+    rows["form"] = [made[i][2] for i in rows.record]
+    return rules.induce(rows), rows
 
 
 def classify(rows: DataFrame) -> DataFrame:
@@ -188,13 +217,26 @@ def classify(rows: DataFrame) -> DataFrame:
 
 def p9_found(spark, sf_dir):
     """doc_id of documents that are a list, a table or junk."""
-    return classify(stats(spark, sf_dir)).where("kind = 'other'").select("doc_id")
+    s = stats(spark, sf_dir)
+    other = classify(s.own).where("kind = 'other'").select("site", "h")
+    return hot_join(other, s.rec, ["site", "h"], ["record"]).select(F.col("record").alias("doc_id")).distinct()
+
+
+SHOWN = ("mean_word", "symbol_ratio", "end_line_share", "common_share")
 
 
 def p9_stats(spark, sf_dir):
-    """Statistics and kind of every document with own lines."""
-    return classify(stats(spark, sf_dir)).select(
-        "doc_id", "words", F.round("mean_word", 3).alias("mean_word"), F.round("symbol_ratio", 4).alias("symbol_ratio"), F.round("end_line_share", 4).alias("end_line_share"), F.round("common_share", 4).alias("common_share"), "kind"
+    """Statistics of every document's whole text, the same of its own lines (own_...), and its kind by the latter."""
+    s = stats(spark, sf_dir)
+    own = classify(s.own).select("site", "h", F.col("words").alias("own_words"), *[F.col(c).alias(f"own_{c}") for c in SHOWN], "kind")
+    texts_of = s.rec.select("site", "h").distinct().join(s.whole(), "h").join(own, ["site", "h"], "left")
+    told = hot_join(texts_of, s.rec.distinct(), ["site", "h"], ["record"]).withColumnRenamed("record", "doc_id")
+    every = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id").distinct()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    ratio = lambda c, n: F.round(F.coalesce(F.col(c), F.lit(0.0)), n).alias(c)
+    places = {"mean_word": 3}
+    return every.join(told, "doc_id", "left").select(
+        "doc_id", zero("words"), *[ratio(c, places.get(c, 4)) for c in SHOWN], zero("own_words"), *[ratio(f"own_{c}", places.get(c, 4)) for c in SHOWN], "kind"
     )
 
 
