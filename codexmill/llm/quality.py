@@ -151,7 +151,7 @@ class Stats:
         cases = cases_of(*count_records(self.rows.where("key is not null"), self.rec.where("site <> '-'"))).select("site", "key")
         at = self.rows.join(self.rec.select("site", "h").distinct(), "h").withColumn("key", F.when(F.col("site") != "-", F.col("key")))
         own = sized_join(at, cases, ["site", "key"], "left_anti")
-        first = F.min_by(F.struct(*LINE), "line_no")
+        first = F.min(F.struct("line_no", *LINE))
         got = own.groupBy("site", "h").agg(*[F.sum(c).alias(c) for c in LINE], F.count("*").alias("lines"), F.count_distinct("line").alias("distinct_lines"), first.alias("first"), F.max("chars").alias("longest"))
         # an introduction of one sentence before something else is left out
         intro = (F.col("lines") > 2) & (F.col("first.end_chars") > 0) & (F.col("first.chars") < 250) & (F.col("end_lines") <= F.col("lines") / 2)
@@ -160,7 +160,8 @@ class Stats:
         rest = rest.withColumns({"chars": F.col("chars") - F.when(one, F.col("end_chars")).otherwise(0), "end_chars": F.when(one, 0).otherwise(F.col("end_chars")), "end_lines": F.when(one, 0).otherwise(F.col("end_lines"))})
         # a heading or two say nothing; a list of them does
         rest = rest.withColumns({"chars": F.col("chars") - F.when(F.col("head_lines") <= 2, F.col("head_chars")).otherwise(0), "lines": F.col("lines") - F.when(F.col("head_lines") <= 2, F.col("head_lines")).otherwise(0)})
-        self.own = rest.withColumns(
+        # written once, so that the rules' expressions do not repeat those of the features
+        self.own = materialise(rest.withColumns(
             {
                 "mean_word": share("word_chars", "words"),
                 "symbol_ratio": share("symbols", "chars"),
@@ -178,7 +179,7 @@ class Stats:
                 "distinct_share": share("distinct_lines", "lines"),
                 "common_share": common_share(),
             }
-        )
+        ), "features")
 
     def whole(self) -> DataFrame:
         """(h, words, mean_word, symbol_ratio, end_line_share, common_share) of whole texts, the site's lines included."""
