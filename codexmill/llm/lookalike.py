@@ -6,6 +6,9 @@ look-alike letters) is joined to them by code point; combining marks are ordered
 recomposed and the strings rebuilt. Texts compare equal if their rebuilt strings (skeletons) do. Rows are not
 exploded in a shuffle, since a text's code points never leave its batch.
 
+The operator's result is one row for each text with its class (p3_classes); p3_found expands the classes of more than
+one string to pairs, as TESTDATA.md asks: strings first, then their books, hot strings split over tasks.
+
 Defined results: null stays null and is never a case; an empty text stays empty; repeated rows of a book collapse;
 equal strings are no pair, whatever their number; columns other than those named are not read.
 """
@@ -24,14 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexmill.llm.common import code_points, table
+from codexmill.operators.skew import hot_join, sized_join
+from codexmill.session import materialise, texts
 
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜҺӀаеѕіјорсухһԁԛԝӏԍүк", "ABESIJKMHOPCTYXYGQWHIaesijopcyxhdqwlgyk"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοανικρυϲγ", "ABEZHIKMNOPTYXCjoavikpucy"))
 ARMENIAN = dict(zip("ՍՕՏԼօսհոցզյ", "UOSLouhngqj"))
 CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᎻᏆᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEHIJKLMPRSTVWZ"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+COPTIC = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc"))
 OTHER = {"ı": "i", "ȷ": "j", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s"}
-LOOKALIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | OTHER
+LOOKALIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | LISU | COPTIC | OTHER
 #: Letters of the Cyrillic alphabet for words that are mainly Cyrillic.
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items() if k in "АВЕКМНОРСТУХаеорсухк"}
 
@@ -126,39 +133,63 @@ def keys(df: DataFrame, key: str, text: str, field: str) -> DataFrame:
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["t"].tolist()
-            looks = texts.copy()
-            odd = [i for i, t in enumerate(texts) if not t.isascii()]
+            own = b["t"].tolist()
+            forms = own.copy()
+            odd = [i for i, t in enumerate(own) if not t.isascii()]
             for k in range(0, len(odd), 256):
-                for i, s in zip(odd[k : k + 256], rebuild([texts[i] for i in odd[k : k + 256]], maps.value)):
-                    looks[i] = s
-            yield pd.DataFrame({"field": field, "book_id": b["k"], "look": [digest(t) for t in looks], "raw": [digest(t) for t in texts]})
+                for i, s in zip(odd[k : k + 256], rebuild([own[i] for i in odd[k : k + 256]], maps.value)):
+                    forms[i] = s
+            yield pd.DataFrame({"field": field, "book_id": b["k"], "look": [digest(t) for t in forms], "raw": [digest(t) for t in own]})
 
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     return rows.mapInPandas(part, "field string, book_id long, look binary, raw binary")
 
 
+def strings(rows: DataFrame) -> DataFrame:
+    """(field, look, raw, n): the strings of every form that has at least two, with the number of books of each."""
+    n = rows.groupBy("field", "look", "raw").agg(F.count("*").alias("n"))
+    many = n.groupBy("field", "look").agg(F.count("*").alias("k")).where("k > 1").select("field", "look")
+    return n.join(many, ["field", "look"], "left_semi")
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """(field, book_id, class_id, links): every book's class (the least id that has its form) and the number of books whose text looks the same but is another string. One row for each book and string."""
+    rows = materialise(rows.dropDuplicates(["field", "book_id", "look", "raw"]), "looks")
+    forms = rows.groupBy("field", "look").agg(F.min("book_id").alias("class_id"), F.count("*").alias("total"))
+    each = rows.groupBy("field", "look", "raw").agg(F.count("*").alias("n")).join(forms, ["field", "look"]).select("field", "raw", "class_id", (F.col("total") - F.col("n")).alias("links"))
+    return hot_join(each, rows.select("field", "raw", "book_id"), ["field", "raw"], ["book_id"]).select("field", "book_id", "class_id", "links")
+
+
 def alike(rows: DataFrame) -> DataFrame:
     """Pairs of different books whose texts look the same but are not the same string, the smaller id first.
 
     Only forms with at least two different strings go on. The strings of one form are paired first and then expanded
-    to their books, so that copies of one string, however many, never meet each other."""
-    rows = rows.dropDuplicates(["field", "book_id", "look", "raw"])
-    hot = rows.groupBy("field", "look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "look")
-    kept = rows.join(hot, ["field", "look"], "left_semi")
-    strings = kept.select("field", "look", "raw").distinct()
-    a, b = strings.withColumnRenamed("raw", "raw_a"), strings.withColumnRenamed("raw", "raw_b")
+    to their books, so that copies of one string, however many, never meet each other; a hot string is split."""
+    rows = materialise(rows.dropDuplicates(["field", "book_id", "look", "raw"]), "looks")
+    few = strings(rows).select("field", "look", "raw")
+    a, b = few.withColumnRenamed("raw", "raw_a"), few.withColumnRenamed("raw", "raw_b")
     pairs = a.join(b, ["field", "look"]).where("raw_a < raw_b").select("field", "raw_a", "raw_b")
-    x = kept.select("field", F.col("raw").alias("raw_a"), F.col("book_id").alias("x"))
-    y = kept.select("field", F.col("raw").alias("raw_b"), F.col("book_id").alias("y"))
-    out = pairs.join(x, ["field", "raw_a"]).join(y, ["field", "raw_b"]).where("x <> y")
+    kept = sized_join(rows, few.select("field", "raw"), ["field", "raw"], "left_semi").select("field", "raw", "book_id")
+    left = hot_join(pairs, kept.select("field", F.col("raw").alias("raw_a"), F.col("book_id").alias("x")), ["field", "raw_a"], ["x"]).select("field", "raw_b", "x")
+    right = kept.select("field", F.col("raw").alias("raw_b"), F.col("book_id").alias("y"))
+    out = left.join(right, ["field", "raw_b"]).where("x <> y")
     return out.select("field", F.least("x", "y").alias("book_id_a"), F.greatest("x", "y").alias("book_id_b")).distinct()
 
 
+def looks(spark, sf_dir) -> DataFrame:
+    """Keys of books.title and epub_books.flat_text."""
+    titles = table(spark, sf_dir, "books").select("id", "title").distinct()
+    return keys(titles, "id", "title", "title").unionByName(keys(texts(spark, sf_dir, "epub_books"), "book_id", "flat_text", "flat_text"))
+
+
 def p3_found(spark, sf_dir):
     """(field, book_id_a, book_id_b) of books.title and epub_books.flat_text."""
-    titles = table(spark, sf_dir, "books").select("id", "title").distinct()
-    return alike(keys(titles, "id", "title", "title").unionByName(keys(table(spark, sf_dir, "epub_books"), "book_id", "flat_text", "flat_text")))
+    return alike(looks(spark, sf_dir))
+
+
+def p3_classes(spark, sf_dir):
+    """(field, book_id, class_id, links) of all titles and texts."""
+    return classes(looks(spark, sf_dir))
 
 
 def p3_normalised(spark, sf_dir):
@@ -167,12 +198,11 @@ def p3_normalised(spark, sf_dir):
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["flat_text"].fillna("").tolist()
-            forms = rebuild(texts, maps.value)
+            forms = rebuild(b["flat_text"].fillna("").tolist(), maps.value)
             yield pd.DataFrame({"book_id": b["book_id"], "text": [None if old is None else new if new.isascii() else _scripted(old, new) for old, new in zip(b["flat_text"], forms)]})
 
     return table(spark, sf_dir, "epub_books").select("book_id", "flat_text").mapInPandas(part, "book_id long, text string")
 
 
-QUERIES = {"p3_found": p3_found, "p3_normalised": p3_normalised}
+QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p3_normalised": p3_normalised}
 SQL: dict[str, str] = {}
