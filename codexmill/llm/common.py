@@ -1,4 +1,4 @@
-"""Helpers shared by the text operators: hashing of character pairs, bounded tables, site keys."""
+"""Helpers shared by the text operators: code points, site keys, latest rows."""
 
 from __future__ import annotations
 
@@ -15,14 +15,6 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def pair_bucket(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket of adjacent code points (a, b) in a table of 2**bits entries (multiplicative hash)."""
-    key = (a.astype(np.uint64) << np.uint64(21)) | b.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        key *= np.uint64(0x9E3779B97F4A7C15)
-    return (key >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def book_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each book id with its folder; rescans and plain copies collapse (the folder never changes)."""
     return table(spark, sf_dir, "books").where("id is not null").groupBy(F.col("id").alias("book_id")).agg(F.max("folder_id").alias("folder_id"))
@@ -35,4 +27,4 @@ def latest_books(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return b.groupBy(F.col("id").alias("book_id")).agg(best.alias("b")).select("book_id", *[F.col(f"b.{c}").alias(c) for c in cols])
 
 
-__all__ = ["F", "Window", "book_sites", "code_points", "latest_books", "pair_bucket", "table"]
+__all__ = ["F", "Window", "book_sites", "code_points", "latest_books", "table"]

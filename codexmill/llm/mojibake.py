@@ -23,12 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import code_points, pair_bucket
+from codexmill.llm.common import code_points
 from codexmill.llm.lookalike import CYRILLIC
-from codexmill.session import texts
+from codexmill.session import materialise, texts
 
-#: Pair statistics live in a table of fixed size: 2**BITS buckets of 4 bytes, however large the corpus is.
-BITS = 21
+#: Pairs in less than this share of the documents count as unseen (in a corpus of up to 65,536 documents none is left out). What is broadcast,
+#: 12 bytes a pair, so stops growing with the corpus: a share has no more pairs however many documents there are.
+FLOOR = 2.0**-16
+#: Pairs that a task holds before it adds them up.
+HELD = 4_000_000
 #: Characters are counted exactly (there are at most 0x110000).
 N_CHARS = 0x110000
 #: A pair in less than this share of the documents is improbable (log2 of the share times its mutual information).
@@ -106,7 +109,7 @@ def decode(data: bytes, codec: str) -> str | None:
             return None if again is None else again.decode("utf-8")
         return data.decode(codec)
     except UnicodeDecodeError:
-        if codec == "utf-8 twice" or len(data) < 16:
+        if codec == "utf-8 twice":
             return None
         lossy = data.decode(codec, "replace")  # some bytes did not survive
         return lossy if lossy.count("\ufffd") * 10 <= len(lossy) else None
@@ -126,11 +129,12 @@ def _suspect() -> re.Pattern:
         dash, han = some(codec, (0xE2, 0xE2)) + some(codec, (0x80, 0x84)) + cont, some(codec, (0xE3, 0xE9), (0xEF, 0xEF)) + cont * 2
         # a single sequence may be a letter and a mark: in Cyrillic text, or in a word of capitals
         out += [f"(?:{cyrillic}){{2}}", f"(?:{han}){{2}}", some(codec, (0xF0, 0xF0)) + cont * 3]
-        out += [f"(?:{two}){{2}}"] + ([f"(?:{dash}){{2}}"] if codec in _CYRILLIC else [f"[a-z]{two}|{two}[a-z]", dash])
+        out += [f"(?:{two}){{2}}"] + ([f"(?:{dash}){{2}}"] if codec in _CYRILLIC else [f"(?<=[a-z]){two}|{two}[a-z]", dash])
     signs = "‚„†‡ˆ‰Š‹ŒŽ•˜™›Ÿƒ¡-\xac\xae-¶¸-Þ×÷ΘΦΩΣΓδφεπστ\u2190-\u25ff"
-    out += ["[\x80-\x9f\ufffd]", "[À-ÿ]{4}", "(?:[\xb0-\xf7][\xa1-\xfe]){2}", f"[a-z][{signs}]+[a-z]"]
-    out += ["(?<![\u0400-\u04ff])[а-яё][А-ЯЁ]{3}", "[а-я][‚ѓ„†‡€‰Љ‹ЊЌЋЏђ™љ›њќћџЎўЈ¤Ґ¦§©Є¬®Ї°±Ііґµ¶№єјЅѕї\u2200-\u25ff]+[а-я]", "[\u0400-\u04ff][\u2500-\u25ff]|[\u2500-\u25ff][\u0400-\u04ff]"]
-    return re.compile("|".join(out))
+    out += ["[\x80-\x9f\ufffd]", "[À-ÿ]{4}", "(?:[\xb0-\xf7][\xa1-\xfe]){2}", f"(?<=[a-z])[{signs}]+[a-z]"]
+    out += ["(?<![\u0400-\u04ff])[а-яё][А-ЯЁ]{3}", "(?<=[а-я])[‚ѓ„†‡€‰Љ‹ЊЌЋЏђ™љ›њќћџЎўЈ¤Ґ¦§©Є¬®Ї°±Ііґµ¶№єјЅѕї\u2200-\u25ff]+[а-я]", "[\u0400-\u04ff][\u2500-\u25ff]|[\u2500-\u25ff][\u0400-\u04ff]"]
+    # none begins with an ASCII or a Chinese character
+    return re.compile(f"(?=[\x80-\u2e7f\ufffd])(?:{'|'.join(out)})")
 
 
 _CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
@@ -151,58 +155,92 @@ def unsuspected(text: str) -> str:
     return "\n".join(s for s in text.split("\n") if s.isascii() or not (_SUSPECT.search(s) or any(map(_double, _HAN.findall(s)))))
 
 
-def count_pairs(texts: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Document frequencies of adjacent pairs with a character beyond ASCII (hashed) and of characters, over the lines of
-    the distinct texts that show no trace of a wrong decoding: neither copies nor a fault that many books share make
-    garbled pairs probable.
+class Counts:
+    """Document frequencies of adjacent pairs with a character beyond ASCII, and of characters, exactly."""
+
+    def __init__(self):
+        self.chars, self.docs = np.zeros(N_CHARS, dtype=np.int64), 0
+        self.keys, self.n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.new: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, text: str) -> None:
+        self.docs += 1
+        text = unsuspected(text)
+        a = code_points(f" {text} ")
+        self.chars[np.unique(a)] += 1
+        if not text.isascii():
+            self.new.append(np.unique(pair_keys(a[:-1], a[1:])))
+            self.held += len(self.new[-1])
+            if self.held > HELD:
+                self.fold()
+
+    def fold(self) -> None:
+        """Adds up what came since the last time."""
+        keys = np.concatenate([self.keys, *self.new])
+        n = np.concatenate([self.n, np.ones(len(keys) - len(self.n), dtype=np.int64)])
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.n = np.bincount(at, weights=n, minlength=len(self.keys)).astype(np.int64)
+        self.new, self.held = [], 0
+
 
-    Each batch adds up its own counts first; the shuffle and what comes to the driver are bounded by
-    2**BITS + N_CHARS rows."""
+def pair_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs that have a character beyond ASCII."""
+    keep = (x > 127) | (y > 127)
+    return x[keep].astype(np.int64) << 21 | y[keep].astype(np.int64)
+
+
+def count_pairs(texts: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(keys, document frequencies, character frequencies, documents) over the lines of the distinct texts that show no
+    trace of a wrong decoding: neither copies nor a fault that many books share make garbled pairs probable.
+
+    Each task adds up its own counts first; pairs below FLOOR stay on the executors."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = np.zeros(1 << BITS, dtype=np.int64)
-        chars = np.zeros(N_CHARS, dtype=np.int64)
-        n = 0
+        c = Counts()
         for b in batches:
             for t in b[col]:
-                if not t:
-                    continue
-                n += 1
-                t = unsuspected(t)
-                a = code_points(f" {t} ")
-                seen = np.unique(a)
-                chars[seen] += 1
-                if t.isascii():
-                    continue
-                x, y = a[:-1], a[1:]
-                keep = (x > 127) | (y > 127)
-                pairs[np.unique(pair_bucket(x[keep], y[keep], BITS))] += 1
-        p, c = np.nonzero(pairs)[0], np.nonzero(chars)[0]
-        yield pd.DataFrame({"kind": np.repeat([0, 1, 2], [len(p), len(c), 1]).astype("int8"), "k": np.concatenate([p, c, [0]]).astype("int32"), "n": np.concatenate([pairs[p], chars[c], [n]]).astype("int64")})
-
-    got = texts.select(col).distinct().mapInPandas(part, "kind byte, k int, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).toPandas()
-    pairs, chars = np.zeros(1 << BITS, dtype=np.int64), np.zeros(N_CHARS, dtype=np.int64)
-    p, c = got[got.kind == 0], got[got.kind == 1]
-    pairs[p.k.to_numpy()] = p.n
+                if t:
+                    c.add(t)
+        c.fold()
+        k = np.nonzero(c.chars)[0]
+        yield pd.DataFrame({"kind": np.repeat([0, 1, 2], [len(c.keys), len(k), 1]).astype("int8"), "k": np.concatenate([c.keys, k, [0]]).astype("int64"), "n": np.concatenate([c.n, c.chars[k], [c.docs]]).astype("int64")})
+
+    got = materialise(texts.select(col).distinct().mapInPandas(part, "kind byte, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")), "pair-counts")
+    docs = int(got.where("kind = 2").agg(F.sum("n")).first()[0] or 0)
+    got = got.where((F.col("kind") == 1) | ((F.col("kind") == 0) & (F.col("n") >= docs * FLOOR))).toPandas()
+    p, c = got[got.kind == 0].sort_values("k"), got[got.kind == 1]
+    chars = np.zeros(N_CHARS, dtype=np.float32)
     chars[c.k.to_numpy()] = c.n
-    return pairs.astype(np.float32), chars.astype(np.float32), int(got.n[got.kind == 2].sum())
+    return p.k.to_numpy().astype(np.int64), p.n.to_numpy().astype(np.float32), chars, docs
 
 
 class PairModel:
     """Scores pairs: log2 of the pair's contribution p(xy) * log2(p(xy) / p(x)p(y)) to the mutual information."""
 
-    def __init__(self, pairs: np.ndarray, chars: np.ndarray, docs: int):
-        self.pairs, self.docs = pairs.astype(np.float32, copy=False), max(docs, 1)
+    def __init__(self, keys: np.ndarray, n: np.ndarray, chars: np.ndarray, docs: int):
+        self.keys, self.docs = keys, max(docs, 1)
+        self.log_n = np.log2(np.append(n, 0.25)).astype(np.float32)  # the last is that of unseen pairs
         self.chars = np.log2(np.maximum(chars, 0.5)).astype(np.float32)
+        #: Candidates of runs and of parts of runs that came before.
+        self.runs: dict[tuple[str, str, str], list[tuple]] = {}
+        self.parts: dict[tuple[str, str], tuple] = {}
 
     def scores(self, a: np.ndarray) -> np.ndarray:
         """Of each adjacent pair of code points; pairs of ASCII characters give nan."""
         x, y = a[:-1], a[1:]
-        n = self.pairs[pair_bucket(x, y, BITS)]
-        ln = np.log2(np.maximum(n, 0.25))
+        out = np.full(len(x), np.nan, dtype=np.float32)
+        at = np.flatnonzero((x > 127) | (y > 127))
+        x, y = x[at], y[at]
+        if not len(at) or not len(self.keys):
+            out[at] = -2.0 - np.log2(self.docs) - 2.0
+            return out
+        k = x.astype(np.int64) << 21 | y.astype(np.int64)
+        i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        ln = np.where(self.keys[i] == k, self.log_n[i], self.log_n[-1])
+        # unclipped, or with wider bounds, chance pairs of rare characters are taken for probable ones (figures in the README)
         mi = np.clip(ln + np.log2(self.docs) - self.chars[x] - self.chars[y], 0.25, 4.0)
-        out = ln - np.log2(self.docs) + np.log2(mi)
-        out[(x < 128) & (y < 128)] = np.nan
+        out[at] = ln - np.log2(self.docs) + np.log2(mi)
         return out
 
 
@@ -304,8 +342,10 @@ _SIGN = _Of(lambda c: unicodedata.category(c) in _SIGNS).__getitem__
 _SEEN = _Of(lambda c: c > "\x7f" and not c.isspace() and unicodedata.category(c) != "Cf").__getitem__
 
 
-def _plain(new: str, old: str) -> bool:
-    """Whether a restored span consists of letters, digits and punctuation (signs only where the span had them)."""
+def _plain(new: str, old: str, right: str) -> bool:
+    """Whether a restored span consists of letters, digits and punctuation (signs only where the span had them); a soft hyphen is a byte of codecs of several bytes only."""
+    if "\xad" in old and right not in ("utf-8", "utf-8 twice", "gb18030"):
+        return False
     return any(map(_SEEN, old)) and not any(map(_SIGN, set(new).difference(old)))
 
 
@@ -315,17 +355,18 @@ def _proper(span: str) -> bool:
     return sum(c not in CYRILLIC for c in own) * 2 > len(own)
 
 
+def _mean_scores(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: PairModel) -> np.ndarray:
+    """Mean pair score of each piece [start, end) of the code points."""
+    s = np.append(model.scores(joined), np.nan)
+    s[ends - 1] = np.nan
+    ok = ~np.isnan(s)
+    return np.add.reduceat(np.where(ok, s, 0.0), starts) / np.maximum(np.add.reduceat(ok.astype(np.int64), starts), 1)
+
+
 def _means(texts: list[str], model: PairModel) -> np.ndarray:
     """Mean pair score of each text (each begins and ends with its neighbour in the document)."""
-    joined = code_points("".join(texts))
     ends = np.cumsum([len(t) for t in texts])
-    s = model.scores(joined)
-    s = np.append(s, np.nan)
-    s[ends - 1] = np.nan
-    ok = ~np.isnan(s)
-    starts = np.concatenate([[0], ends[:-1]])
-    total = np.add.reduceat(np.where(ok, s, 0.0), starts)
-    return total / np.maximum(np.add.reduceat(ok.astype(np.int64), starts), 1)
+    return _mean_scores(code_points("".join(texts)), np.concatenate([[0], ends[:-1]]), ends, model)
 
 
 _LINE, _TOKEN = re.compile("[^\n]*[^\x00-\x7f][^\n]*"), re.compile("\\S*[^\x00-\x7f\\s]\\S*(?:[\xa0\x85]\\S*)?")
@@ -340,87 +381,194 @@ def _parts(text: str, i: int, j: int) -> list[tuple[int, int]]:
     return list(dict.fromkeys(out))
 
 
-_KNOWN: dict[tuple[str, str], tuple] = {}
+def _to() -> dict[tuple[str, str], np.ndarray]:
+    """Of each two single-byte codecs: the character that each character of the wrong one becomes."""
+    out = {}
+    for wrong, rights in INVERSES.items():
+        for right in set(rights) & SINGLE if wrong in SINGLE else ():
+            t = np.arange(N_CHARS, dtype="<u4")
+            for c, byte in BYTE_OF[wrong].items():
+                t[c] = ord(_TABLE[right][byte])
+            out[wrong, right] = t[:0x10000]
+    return out
 
 
-def readings(span: str, wrong: str) -> tuple[tuple[str, str], ...]:
-    """(codec, text) of what a span may have been before it was read with the codec `wrong`; short spans are remembered."""
-    got = _KNOWN.get((wrong, span))
-    if got is not None:
-        return got
-    out = []
+_TO = _to()
+_NO_TWO_BYTES = re.compile("[\xa0\xad\u0800-\U0010ffff]")
+#: A lead and a continuation byte of UTF-8, as each single-byte codec shows them.
+_LEADS = {w: re.compile("[" + "".join(re.escape(_TABLE[w][b]) for b in range(0xC2, 0xF5)) + "][" + "".join(re.escape(c) for b in range(0x80, 0xC0) for c in {_TABLE[w][b], *(chr(k) for k, v in BYTE_OF[w].items() if v == b)}) + "]") for w in SINGLE}
+
+
+def _fit(span: str, new: str | None, wrong: str, right: str) -> bool:
+    """Whether a reading may be the right one, however probable it is."""
+    if new is None or new == span or _CONTROL.search(new) or not _plain(new, span, right):
+        return False
+    if right in _SCRIPT and len(_SCRIPT[right].findall(new)) < 2:
+        return False
+    return not (right == "latin" and wrong in _SCRIPT and not _proper(span))  # letters that look like Latin ones prove nothing
+
+
+def reading(span: str, wrong: str, right: str) -> str | None:
+    """What a span may have been before it was read with the codec `wrong` instead of `right` (a codec of several bytes)."""
+    if wrong in _LEADS and right.startswith("utf-8") and not _LEADS[wrong].search(span):
+        return None
     # bytes that were no UTF-8 but taken for it give two-byte sequences only
-    data = None if wrong == "utf-8" and any(c >= "\u0800" or c in "\xa0\xad" for c in span) else encode(span, wrong)
-    if data is not None:
+    data = None if wrong == "utf-8" and _NO_TWO_BYTES.search(span) else encode(span, wrong)
+    new = None if data is None else decode(data, right)
+    return new if _fit(span, new, wrong, right) else None
+
+
+#: Length of runs and of their parts whose candidates are remembered, and entries of each memory (beyond it it starts anew; results do not change).
+SHORT, MEMORY = 64, 200_000
+
+
+_WIDE = re.compile("[\u2500-\u27bf\u2e80-\U0010ffff]")
+
+
+class _Candidates:
+    """Candidates of the parts of some runs, collected for one vectorised scoring for each codec."""
+
+    def __init__(self, text: str, model: PairModel):
+        self.text, self.model = text, model
+
+    def of(self, runs: list[tuple[int, int]]) -> list[list[tuple]]:
+        """Of each run: (gain in bits, i, j, restored, wrong, right) of every accepted mapping of a part of it."""
+        out: list[list[tuple]] = [[] for _ in runs]
+        parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        text, known = self.text, self.model.parts
+        wide = [_WIDE.search(text, i, j) is not None for i, j in runs]
+        n = len(text)
+        for wrong in INVERSES:
+            todo: dict[tuple[int, int], list[int]] = {}
+            for k, (i, j) in enumerate(runs):
+                if wrong in ("gb18030", "big5") and not wide[k]:
+                    continue  # two-byte codecs give Chinese characters, or kana and forms of their width
+                mine = out[k]
+                for m in _SPANS[wrong].finditer(text, i, j):
+                    at = m.span()
+                    p = parts.get(at)
+                    if p is None:
+                        p = parts[at] = _parts(text, *at)
+                    for part in p:
+                        x, y = part
+                        if y - x <= SHORT and x and y < n:
+                            got = known.get((wrong, text[x - 1 : y + 1]))
+                            if got is not None:
+                                for g, new, right in got:
+                                    mine.append((g, x, y, new, wrong, right))
+                                continue
+                        todo.setdefault(part, []).append(k)
+            if todo:
+                for part, got in zip(todo, self._scored(list(todo), wrong)):
+                    x, y = part
+                    if y - x <= SHORT and x and y < n:
+                        if len(known) > MEMORY:
+                            known.clear()
+                        known[wrong, text[x - 1 : y + 1]] = got
+                    for k in todo[part]:
+                        out[k] += [(g, x, y, new, wrong, right) for g, new, right in got]
+        return out
+
+    def _scored(self, spans: list[tuple[int, int]], wrong: str) -> list[tuple]:
+        """Of each span the accepted readings: (gain in bits, restored, right).
+
+        Single-byte codecs map characters to characters, so all spans are mapped and scored at once, and only those that
+        gain enough are looked at; of the others, what is valid is scored together."""
+        text, n_text = self.text, len(self.text)
+        out: list[tuple] = [()] * len(spans)
+        joined = code_points("".join([(text[i - 1] if i else " ") + text[i:j] + (text[j] if j < n_text else " ") for i, j in spans]))
+        ends = np.cumsum([j - i + 2 for i, j in spans])
+        starts = np.concatenate([[0], ends[:-1]])
+        wide = joined > 127
+        wide[starts] = False
+        wide[ends - 1] = False
+        n = np.add.reduceat(wide.astype(np.int64), starts)
+        old = _mean_scores(joined, starts, ends, self.model)
         for right in INVERSES[wrong]:
-            new = decode(data, right)
-            if new is None or new == span or _CONTROL.search(new) or not _plain(new, span):
+            enough = n >= (2 if right in _SCRIPT else 1)
+            if not enough.any():
                 continue
-            if "\xad" in span and right not in ("utf-8", "utf-8 twice", "gb18030"):
-                continue  # a soft hyphen rather than a byte
-            if right in _SCRIPT and len(_SCRIPT[right].findall(new)) < 2:
+            if (wrong, right) in _TO:
+                mapped = joined.copy()
+                mapped[wide] = _TO[wrong, right][joined[wide]]
+                gain = _mean_scores(mapped, starts, ends, self.model) - old
+                need, least = _needed(wrong, right)
+                good = enough & (gain > need + np.where(n <= 3, 1.0, 0.0)) & (gain * n > least)
+                for k in np.flatnonzero(good).tolist():
+                    i, j = spans[k]
+                    new = decode(encode(text[i:j], wrong), right)
+                    if _fit(text[i:j], new, wrong, right):
+                        out[k] += ((float(gain[k] * n[k]), new, right),)
                 continue
-            if right == "latin" and wrong in _SCRIPT and not _proper(span):
-                continue  # letters that look like Latin ones prove nothing
-            out.append((right, new))
-    got = tuple(out)
-    if len(span) <= 48:
-        if len(_KNOWN) > 200_000:
-            _KNOWN.clear()
-        _KNOWN[wrong, span] = got
-    return got
+            tried = [(k, new) for k in np.flatnonzero(enough).tolist() if (new := reading(text[slice(*spans[k])], wrong, right)) is not None]
+            if not tried:
+                continue
+            around = [((text[i - 1] if i else " "), (text[j] if j < n_text else " ")) for k, _ in tried for i, j in (spans[k],)]
+            means = _means([a + t + b for (a, b), (_, t) in zip(around, tried)], self.model)
+            need, least = _needed(wrong, right)
+            short = 0.0 if right.startswith("utf-8") else 1.0
+            for (k, t), mean in zip(tried, means.tolist()):
+                gain = mean - float(old[k])
+                if gain > need + (short if n[k] <= 3 else 0.0) + t.count("\ufffd") * 4.0 / n[k] and gain > 0 and gain * n[k] > least:
+                    out[k] += ((float(gain * n[k]), t, right),)
+        return out
+
+
+def _needed(wrong: str, right: str) -> tuple[float, float]:
+    """(mean gain, gain in all) that a mapping must exceed."""
+    utf8 = right.startswith("utf-8")
+    if wrong in _CYRILLIC and right in _CYRILLIC:
+        return MARGIN + 2.0, 20.0  # both readings are Cyrillic
+    if wrong in ("gb18030", "big5"):
+        return MARGIN - utf8, 6.0 if utf8 else 20.0  # rare names are improbable as well
+    return MARGIN - utf8, LEAST_UTF8 if utf8 else LEAST
+
+
+def _candidates(text: str, runs: list[tuple[int, int]], model: PairModel) -> list[tuple]:
+    """Candidates of all runs; those of short runs are remembered with the characters beside them."""
+    found: list[tuple] = []
+    todo = []
+    for i, j in runs:
+        got = model.runs.get((text[i - 1 : i] if i else "", text[i:j], text[j : j + 1])) if j - i <= SHORT else None
+        if got is None:
+            todo.append((i, j))
+        else:
+            found += [(g, i + x, i + y, new, wrong, right) for g, x, y, new, wrong, right in got]
+    for (i, j), got in zip(todo, _Candidates(text, model).of(todo)):
+        found += got
+        if j - i <= SHORT:
+            if len(model.runs) > MEMORY:
+                model.runs.clear()
+            model.runs[(text[i - 1 : i] if i else "", text[i:j], text[j : j + 1])] = [(g, x - i, y - i, new, wrong, right) for g, x, y, new, wrong, right in got]
+    return found
+
+
+_ORDER = {c: k for k, c in enumerate(INVERSES)}
 
 
 def inverse(text: str, runs: list[tuple[int, int]], model: PairModel) -> list[tuple[float, int, int, str]]:
     """Accepted inverse mappings (gain, i, j, restored) of spans inside the runs, the best ones, not overlapping."""
-    found: list[tuple[float, int, int, str]] = []
-    codec: dict[tuple[int, int, str], tuple[str, str]] = {}
-    parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for wrong in INVERSES:
-        spans, tried = [], []
-        for i, j in runs:
-            for m in _SPANS[wrong].finditer(text, i, j):
-                p = parts.get(m.span())
-                if p is None:
-                    p = parts[m.span()] = _parts(text, *m.span())
-                for span in p:
-                    got = readings(text[slice(*span)], wrong)
-                    if got:
-                        tried += [(len(spans), right, new) for right, new in got]
-                        spans.append(span)
-        if not tried:
-            continue
-        around = [((text[i - 1] if i else " "), (text[j] if j < len(text) else " ")) for i, j in spans]
-        old = _means([a + text[i:j] + b for (i, j), (a, b) in zip(spans, around)], model)
-        new = _means([around[k][0] + t + around[k][1] for k, _, t in tried], model)
-        for (k, right, t), mean in zip(tried, new.tolist()):
-            gain = mean - old[k]
-            if gain <= 0:
-                continue
-            i, j = spans[k]
-            n = len(_NON_ASCII.findall(text, i, j))
-            utf8 = right.startswith("utf-8")
-            need = MARGIN + (1.0 if n <= 3 and not utf8 else 0.0) - (1.0 if utf8 else 0.0) + t.count("\ufffd") * 4.0 / n
-            least = LEAST_UTF8 if utf8 else LEAST
-            if wrong in _CYRILLIC and right in _CYRILLIC:
-                need, least = need + 2.0, 20.0  # both readings are Cyrillic
-            elif wrong in ("gb18030", "big5"):
-                least = 6.0 if utf8 else 20.0  # rare names are improbable as well
-            if gain > need and gain * n > least:
-                found.append((gain * n, i, j, t))
-                codec[i, j, t] = wrong, right
+    found = list(dict.fromkeys(_candidates(text, runs, model)))
     # a lone rare sign may be correct: that it stands for another one takes a second passage with the same codecs
-    weak = [x for x in found if not codec[x[1:]][1].startswith("utf-8") and len(own := _NON_ASCII.findall(text, x[1], x[2])) == 1 and _SIGN(own[0])]
-    for x in weak:
-        if not any(codec[y[1:]] == codec[x[1:]] and (y[1] >= x[2] or y[2] <= x[1]) for y in found):
-            found.remove(x)
-    found.sort(key=lambda x: (-x[0], x[1]))
+    pairs: dict[tuple[str, str], tuple[int, int]] = {}  # of each two codecs: where the first passage ends, where the last begins
+    for _, i, j, _, wrong, right in found:
+        first, last = pairs.get((wrong, right), (j, i))
+        pairs[wrong, right] = min(first, j), max(last, i)
+    kept = []
+    for x in found:
+        _, i, j, _, wrong, right = x
+        if not right.startswith("utf-8") and len(own := _NON_ASCII.findall(text, i, j)) == 1 and _SIGN(own[0]):
+            first, last = pairs[wrong, right]
+            if not (first <= i or last >= j):
+                continue
+        kept.append(x)
+    kept.sort(key=lambda x: (-x[0], x[1], _ORDER[x[4]]))
     out: list[tuple[float, int, int, str]] = []
     taken = np.zeros(len(text) + 1, dtype=bool)
-    for x in found:
+    for x in kept:
         if not taken[x[1] : x[2]].any():
             taken[x[1] : x[2]] = True
-            out.append(x)
+            out.append(x[:4])
     return sorted(out, key=lambda x: x[1])
 
 
@@ -433,8 +581,9 @@ def repair(text: str | None, model: PairModel) -> tuple[str | None, bool, int]:
     """(text with what could be restored, whether a garbled passage was found, number of restored spans)."""
     if not text or text.isascii():
         return text, False, 0
-    found, n = False, 0
-    for _ in range(3):  # text may have been read wrongly more than once
+    found, n, seen = False, 0, set()
+    while text not in seen:  # text may have been read wrongly more than once
+        seen.add(text)
         runs = improbable_runs(text, model)
         good = inverse(text, list(dict.fromkeys(runs + strict_runs(text, model))), model)
         if not good:
@@ -445,7 +594,7 @@ def repair(text: str | None, model: PairModel) -> tuple[str | None, bool, int]:
             out += [text[at:i], new]
             at = j
         text = "".join(out) + text[at:]
-    return text, found or "\ufffd" in text or any(_lost(text[i:j]) for i, j in runs), n
+    return text, found or any(_lost(text[i:j]) for i, j in runs), n
 
 
 def detect(df: DataFrame, key: str, text: str) -> DataFrame:
