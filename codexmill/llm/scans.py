@@ -1,12 +1,13 @@
 """Problem 4: noise in text from scanned pages.
 
-Method: the lines of a text are a sequence labelled by a hidden Markov model with the states body, header (running
-header or footer) and number (page number); a line's observation is a symbol of layout features (does its normal form
-come back at other page edges, is it the title, does it look like a page number, does it stand at a page's edge, is it
-in capitals). The model starts from stated factors and is trained on the whole corpus by Viterbi counts. In body
-lines, breaks within words are told from compounds, and misread words from rare ones, by the corpus' document
-frequencies of words and of adjacent Chinese characters. Paragraphs are then put together without headers, page
-numbers and breaks.
+Method: the lines of a text are a sequence labelled by a hidden Markov model with the states body, break (body that ends
+within a word), header (running header or footer) and number (page number); a line's observation is a symbol of layout
+features (does its normal form come back at other page edges, is it the title, does it look like a page number, does it
+stand at a page's edge, is it in capitals, what its end and the next line make together). The model starts from stated
+factors and is trained on the whole corpus by Viterbi counts. What a line's end makes with the next line (a word, a
+compound, neither) is told by the corpus' document frequencies. Misread words of body lines are told from rare ones by
+document frequencies of words and of adjacent Chinese characters, for stated confusions of letters. Paragraphs are then
+put together without headers, page numbers and breaks.
 
 Defined results: null, empty and blank texts have no lines; line numbers count every line; a line may be a break and
 misread at once; headers and page numbers have no further kind; repeated rows of a book give one result.
@@ -23,12 +24,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from codexmill.session import texts
+from codexmill.session import materialise, texts
 
 
-#: Word frequencies are kept in a table of fixed size: 2**WORD_BITS counters.
-WORD_BITS = 22
-STATES = ("body", "header", "number")
+#: Words in less than this share of the texts count as unseen (among up to 262,144 texts none is left out). What is broadcast, 12 bytes a
+#: word, so stops growing with the corpus.
+FLOOR = 2.0**-18
+STATES = ("body", "header", "number", "break")
 #: Weight, in lines, of the stated factors against the corpus' counts.
 PRIOR = 200.0
 
@@ -43,9 +45,13 @@ _WITH_CYRILLIC = [(a, list(b)) for a, b in CONFUSED.items()] + list(MERGED.items
 _WITHOUT = [(a, [c for c in b if not "\u0400" <= c < "\u0500"]) for a, b in _WITH_CYRILLIC]
 _HAS_CYRILLIC = re.compile("[а-яА-Я]").search
 HAN_CONFUSED = {
-    "丼": "井", "入": "人", "太": "大", "犬": "大", "八": "人", "己": "已", "巳": "已", "已": "己", "末": "未", "未": "末", "土": "士", "士": "土", "曰": "日", "囗": "口", "千": "干", "干": "千", "夭": "天", "本": "木", "木": "本", "玉": "王", "王": "玉", "自": "白", "白": "自",
-    "力": "刀", "刀": "力", "乌": "鸟", "鸟": "乌", "贝": "见", "见": "贝", "间": "问", "问": "间", "令": "今", "今": "令", "午": "牛", "牛": "午", "各": "名", "名": "各", "往": "住", "住": "往", "睛": "晴", "晴": "睛", "人": "入", "大": "太", "日": "曰", "目": "日", "末": "未", "候": "侯", "候": "侯",
-    "沒": "没", "没": "设", "设": "没", "拔": "拨", "拨": "拔", "免": "兔", "兔": "免", "风": "凤", "凤": "风", "折": "拆", "拆": "折", "戍": "戌", "戊": "戌", "夫": "天", "无": "天", "天": "夫", "申": "由", "甲": "由", "田": "由", "由": "田", "士": "土", "厂": "广", "广": "厂", "几": "儿", "儿": "几", "旦": "但", "的": "旳", "旳": "的", "說": "说", "説": "说", "门": "问", "闩": "门", "治": "冶", "冶": "治", "亨": "享", "享": "亨", "卷": "券", "券": "卷", "辛": "幸", "幸": "辛", "史": "吏", "吏": "史", "了": "子", "子": "了", "孑": "子", "冫": "氵", "古": "占", "占": "古", "右": "石", "石": "右",
+    "丼": "井", "入": "人", "太": "大", "犬": "大", "八": "人", "己": "已", "巳": "已", "已": "己", "末": "未", "未": "末", "土": "士", "士": "土", "曰": "日", "囗": "口",
+    "千": "干", "干": "千", "夭": "天", "本": "木", "木": "本", "玉": "王", "王": "玉", "自": "白", "白": "自", "力": "刀", "刀": "力", "乌": "鸟", "鸟": "乌", "贝": "见",
+    "见": "贝", "间": "问", "问": "间", "令": "今", "今": "令", "午": "牛", "牛": "午", "各": "名", "名": "各", "往": "住", "住": "往", "睛": "晴", "晴": "睛", "人": "入",
+    "大": "太", "日": "曰", "目": "日", "候": "侯", "沒": "没", "没": "设", "设": "没", "拔": "拨", "拨": "拔", "免": "兔", "兔": "免", "风": "凤", "凤": "风", "折": "拆",
+    "拆": "折", "戍": "戌", "戊": "戌", "夫": "天", "无": "天", "天": "夫", "申": "由", "甲": "由", "田": "由", "由": "田", "厂": "广", "广": "厂", "几": "儿", "儿": "几",
+    "旦": "但", "的": "旳", "旳": "的", "說": "说", "説": "说", "门": "问", "闩": "门", "治": "冶", "冶": "治", "亨": "享", "享": "亨", "卷": "券", "券": "卷", "辛": "幸",
+    "幸": "辛", "史": "吏", "吏": "史", "了": "子", "子": "了", "孑": "子", "冫": "氵", "古": "占", "占": "古", "右": "石", "石": "右",
 }
 HYPHENS = "-\xad¬‐"
 _WORD = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*(?:['’][^\W_]+)*|[@$]|(?<!\S)[@$][^\W_]+")
@@ -76,8 +82,19 @@ def _value(shape: str) -> int | None:
     return None if None in v else sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0]))
 
 
-def observe(text: str, title: str | None) -> tuple[list[int], list[tuple[int, int, int, int, int]]]:
-    """Line numbers (from 0) of the non-blank lines and the features of each: repeats, title, number, edge, capitals."""
+def _capitals(s: str) -> int:
+    """Whether a short line is in capitals."""
+    if len(s) >= 80 or s.islower():
+        return 0
+    letters = sum(map(str.isalpha, s))
+    return int(letters > 0 and sum(map(str.isupper, s)) * 10 >= letters * 7)
+
+
+_LAST, _FIRST = re.compile(r"([^\s.,;:!?“”«»„(—–]+)[-\xad¬‐]\Z"), re.compile(r"[^\s.,;:!?“”«»„‘…()\[\]—–，。]+")
+
+
+def observe(text: str, title: str | None, reader: Reader) -> tuple[list[int], list[tuple[int, ...]]]:
+    """Line numbers (from 0) of the non-blank lines and the features of each: repeats, title, number, edge, capitals, ending."""
     lines = text.split("\n")
     at = [i for i, s in enumerate(lines) if s.strip(" \t\r\x0c\xa0　")]
     forms = [normal(lines[i]) for i in at]
@@ -89,7 +106,7 @@ def observe(text: str, title: str | None) -> tuple[list[int], list[tuple[int, in
     t = normal(title or "")
     numbers = []
     for i in at:
-        m = _NUMBER.match(lines[i].strip("\x0c "))
+        m = _NUMBER.match(lines[i].strip("\x0c ")) if len(lines[i]) < 60 else None
         numbers.append(_value(m.group(1)) if m else None)
     for k in range(len(at)):  # what stands next to a page number stands at the edge too
         if (k and numbers[k - 1] is not None and edge[k - 1]) or (k + 1 < len(at) and numbers[k + 1] is not None and edge[k + 1]):
@@ -99,87 +116,90 @@ def observe(text: str, title: str | None) -> tuple[list[int], list[tuple[int, in
     seen = Counter(f for f, e in zip(forms, edge) if e and len(f) > 3)
     known = Counter(n for n in numbers if n is not None)
     out = []
-    for k, i in enumerate(at):
-        f, n = forms[k], numbers[k]
+    following: str | None = None  # the next line that is no plain header or number
+    for k in range(len(at) - 1, -1, -1):
+        s, f, n = lines[at[k]], forms[k], numbers[k]
         same = min(seen[f], 3) - 1 if edge[k] and seen[f] else 0
         is_title = int(bool(t) and len(t) > 3 and (f == t or f.startswith(t)) and len(f) < len(t) + 12)
         num = 0 if n is None else 2 if known[n - 1] or known[n + 1] or known[n - 2] or known[n + 2] else 1
-        s = lines[i].strip()
-        letters = [c for c in s if c.isalpha()]
-        caps = int(bool(letters) and sum(c.isupper() for c in letters) * 10 >= len(letters) * 7 and len(s) < 80)
-        out.append((same, is_title, num, edge[k], caps))
-    return at, out
+        out.append((same, is_title, num, edge[k], _capitals(s.strip()), reader.ending(s.strip("\x0c").rstrip(), following)))
+        if not (edge[k] and (same or is_title or num)):
+            following = s.strip("\x0c ")
+    return at, out[::-1]
 
 
-SIZES = (3, 2, 3, 2, 2)
+SIZES = (3, 2, 3, 2, 2, 4)
 N_SYMBOLS = int(np.prod(SIZES))
+_STEPS = [int(np.prod(SIZES[i + 1 :])) for i in range(len(SIZES))]
 
 
 def symbol(f: tuple[int, ...]) -> int:
-    return int(np.ravel_multi_index(f, SIZES))
+    return sum(a * b for a, b in zip(f, _STEPS))
 
 
 def initial() -> tuple[np.ndarray, np.ndarray]:
     """(transitions, emissions) before training, from a factor for each feature and state."""
-    # Odds of each feature's values in body, header and number lines.
+    # Odds of each feature's values in the lines of each state; of an ending: none, a word, a compound, a sign that stands only within words.
+    body = ((0.985, 0.014, 0.001), (0.998, 0.002), (0.997, 0.002, 0.001), (0.8, 0.2), (0.97, 0.03))
     factors = {
-        "body": ((0.985, 0.014, 0.001), (0.998, 0.002), (0.997, 0.002, 0.001), (0.8, 0.2), (0.97, 0.03)),
-        "header": ((0.10, 0.30, 0.60), (0.4, 0.6), (0.98, 0.01, 0.01), (0.01, 0.99), (0.5, 0.5)),
-        "number": ((0.8, 0.1, 0.1), (0.99, 0.01), (0.001, 0.15, 0.849), (0.05, 0.95), (0.9, 0.1)),
+        "body": (*body, (0.95, 0.0005, 0.0494, 0.0001)),
+        "header": ((0.10, 0.30, 0.60), (0.4, 0.6), (0.98, 0.01, 0.01), (0.01, 0.99), (0.5, 0.5), (0.97, 0.01, 0.01, 0.01)),
+        "number": ((0.8, 0.1, 0.1), (0.99, 0.01), (0.001, 0.15, 0.849), (0.05, 0.95), (0.9, 0.1), (0.97, 0.01, 0.01, 0.01)),
+        "break": (*body, (0.0001, 0.6, 0.0009, 0.399)),
     }
-    emit = np.ones((3, N_SYMBOLS))
+    emit = np.ones((len(STATES), N_SYMBOLS))
     for s, name in enumerate(STATES):
         for k in range(N_SYMBOLS):
             for j, v in enumerate(np.unravel_index(k, SIZES)):
                 emit[s, k] *= factors[name][j][v]
-    move = np.array([[0.93, 0.03, 0.04], [0.85, 0.01, 0.14], [0.55, 0.40, 0.05]])
+    move = np.array([[0.82, 0.03, 0.04, 0.11], [0.75, 0.01, 0.14, 0.10], [0.49, 0.40, 0.05, 0.06], [0.82, 0.03, 0.04, 0.11]])
     return move, emit / emit.sum(1, keepdims=True)
 
 
 def viterbi(symbols: list[int], move: np.ndarray, emit: np.ndarray) -> list[int]:
-    if not symbols:
+    """The most probable states of a sequence of symbols."""
+    if not len(symbols):
         return []
-    lm, le = np.log(move), np.log(emit)
-    score = le[:, symbols[0]] + np.log([0.5, 0.4, 0.1])
-    back = []
-    for s in symbols[1:]:
+    n = len(STATES)
+    lm, rows = np.log(move), np.log(emit).T[np.asarray(symbols)]
+    score = rows[0] + np.log([0.45, 0.4, 0.1, 0.05])
+    back = np.zeros((len(symbols), n), dtype=np.int8)
+    each = np.arange(n)
+    for k in range(1, len(symbols)):
         step = score[:, None] + lm
-        b = step.argmax(0)
-        score = step[b, [0, 1, 2]] + le[:, s]
-        back.append(b)
+        back[k] = b = step.argmax(0)
+        score = step[b, each] + rows[k]
     path = [int(score.argmax())]
-    for b in reversed(back):
+    for b in back[:0:-1]:
         path.append(int(b[path[-1]]))
     return path[::-1]
 
 
-def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Transitions and emissions after a round of Viterbi counts over all texts; 3 * (3 + N_SYMBOLS) numbers come to the driver."""
+def train(observed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions and emissions after a round of Viterbi counts over the symbols of all texts; n * (n + N_SYMBOLS) numbers come to the driver."""
     move, emit = initial()
+    n = len(STATES)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, e = np.zeros((3, 3)), np.zeros((3, N_SYMBOLS))
+        m, e = np.zeros((n, n)), np.zeros((n, N_SYMBOLS))
         for b in batches:
-            for text, title in zip(b["text"], b["title"]):
-                syms = [symbol(f) for f in observe(text, title)[1]]
+            for syms in b["symbols"]:
                 path = viterbi(syms, move, emit)
-                np.add.at(e, (path, syms), 1)
+                np.add.at(e, (path, np.asarray(syms, dtype=int)), 1)
                 np.add.at(m, (path[:-1], path[1:]), 1)
-        yield pd.DataFrame({"k": np.arange(9 + 3 * N_SYMBOLS), "n": np.concatenate([m.ravel(), e.ravel()])})
+        yield pd.DataFrame({"k": np.arange(n * n + n * N_SYMBOLS), "n": np.concatenate([m.ravel(), e.ravel()])})
 
-    got = rows.mapInPandas(part, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
+    got = observed.select("symbols").mapInPandas(part, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
     if not len(got):
         return move, emit
-    n = got["n"].to_numpy()
-    m, e = n[:9].reshape(3, 3) + PRIOR * move, n[9:].reshape(3, N_SYMBOLS) + PRIOR * emit
+    c = got["n"].to_numpy()
+    m, e = c[: n * n].reshape(n, n) + PRIOR * move, c[n * n :].reshape(n, N_SYMBOLS) + PRIOR * emit
     return m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
 
 
-def _buckets(word: str) -> tuple[int, int]:
-    """The word's two counters; its frequency is the smaller one, so that two words seldom share it."""
-    h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    half = 1 << (WORD_BITS - 1)
-    return h % half, half + (h >> 32) % half
+def word_key(word: str) -> int:
+    """64-bit hash by which a word's frequency is looked up."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _words_of(text: str) -> set[str]:
@@ -203,37 +223,46 @@ def _words_of(text: str) -> set[str]:
     return out
 
 
-def vocabulary(rows: DataFrame) -> np.ndarray:
-    """Document frequencies of words in 2**WORD_BITS hashed counters, over all distinct texts: copies do not vouch for their own errors."""
+def vocabulary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, document frequencies) of words over all distinct texts: copies do not vouch for their own errors. Words below FLOOR stay on the executors."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
-        cache: dict[str, tuple[int, int]] = {}
+        n = 0
         for b in batches:
             for text in b["text"]:
-                for w in _words_of(text):
-                    k = cache.get(w)
-                    if k is None:
-                        if len(cache) > 300_000:
-                            cache.clear()
-                        k = cache[w] = _buckets(w)
-                    counts[k[0]] += 1
-                    counts[k[1]] += 1
-        yield pd.DataFrame({"k": np.fromiter(counts.keys(), np.int32, len(counts)), "n": np.fromiter(counts.values(), np.int64, len(counts))})
-
-    got = rows.select("text").distinct().mapInPandas(part, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << WORD_BITS, dtype=np.int32)
-    out[got["k"].to_numpy()] = got["n"].to_numpy()
-    return out
+                n += 1
+                counts.update(_words_of(text))
+                if len(counts) > 2_000_000:
+                    yield _counted(counts, 0)
+                    counts = Counter()
+        yield _counted(counts, n)
+
+    got = materialise(rows.select("text").distinct().mapInPandas(part, "kind byte, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")), "word-counts")
+    docs = int(got.where("kind = 1").agg(F.sum("n")).first()[0] or 0)
+    got = got.where((F.col("kind") == 0) & (F.col("n") >= docs * FLOOR)).toPandas().sort_values("k")
+    return got["k"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.int32)
+
+
+def _counted(counts: Counter, docs: int) -> pd.DataFrame:
+    keys = np.fromiter(map(word_key, counts), np.int64, len(counts))
+    return pd.DataFrame({"kind": np.array([*[0] * len(keys), 1], dtype="int8"), "k": np.append(keys, 0), "n": np.append(np.fromiter(counts.values(), np.int64, len(counts)), docs)})
+
+
+STATE_KINDS = {1: "header", 2: "page_number"}
+_NEAR_NUMBER, _TO_NUMBER, _ODD = re.compile(r"\d*[lOI]\d+|\d+[lOI]\d*|\d+[lOI]+\d*"), str.maketrans("lOI", "101"), re.compile("[0-9@$]").search
 
 
 class Reader:
     """Labels the lines of one text after another."""
 
-    def __init__(self, move: np.ndarray, emit: np.ndarray, words: np.ndarray):
-        self.move, self.emit, self.words = move, emit, words
+    def __init__(self, move: np.ndarray, emit: np.ndarray, words: tuple[np.ndarray, np.ndarray]):
+        self.move, self.emit = move, emit
+        self.keys, self.counts = words
         self.cache: dict[str, int] = {}
         self.known: dict[str, tuple] = {}
+        #: Words that no text has another reading of, whatever their own text says.
+        self.plain: set[str] = set()
 
     def df(self, word: str) -> int:
         word = word.casefold()
@@ -241,10 +270,27 @@ class Reader:
         if got is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            i, j = _buckets(word)
-            got = self.cache[word] = int(min(self.words[i], self.words[j]))
+            k = word_key(word)
+            i = int(np.searchsorted(self.keys, k))
+            got = self.cache[word] = int(self.counts[i]) if i < len(self.keys) and int(self.keys[i]) == k else 0
         return got
 
+    def ending(self, s: str, following: str | None) -> int:
+        """What a line's end makes with the next line: 0 nothing, 1 a word, 2 a compound (or a new sentence), 3 the sign stands only within words."""
+        if len(s) < 2 or s[-1] not in HYPHENS or not s[-2].isalnum() or following is None:
+            return 0
+        m, n = _LAST.search(s), _FIRST.match(following)
+        if not m or not n:
+            return 0
+        if s[-1] != "-":
+            return 3
+        last, b = m.group(1).split("-")[-1], n.group().rstrip(HYPHENS)
+        first = b.split("-")[0]
+        compound, word = self.df(f"{last}-{first}"), self.df(last + first)
+        if not word:
+            word = max([self.df(v) for v in self._readings(last + first)] or [0])
+        return 1 if word >= compound and not b[:1].isupper() else 2
+
     def _readings(self, w: str) -> Iterator[str]:
         """What a word may have been before one misreading (or the same one several times)."""
         for seen, printed in _WITH_CYRILLIC if _HAS_CYRILLIC(w) else _WITHOUT:
@@ -265,14 +311,21 @@ class Reader:
 
     def misread(self, w: str, own: Counter) -> str | None:
         """The word that w was misread from, or None."""
+        if w in self.plain:
+            return None
         if len(w) < 2:
             return {"@": "a"}.get(w)
         if w.isdigit():
             return None
-        if re.fullmatch(r"\d*[lOI]\d+|\d+[lOI]\d*|\d+[lOI]+\d*", w):
-            return w.translate(str.maketrans("lOI", "101"))
+        if w[0] in "0123456789lOI" and _NEAR_NUMBER.fullmatch(w):
+            return w.translate(_TO_NUMBER)
+        odd = _ODD(w) is not None
+        if not odd and not self.readings(w):
+            if len(self.plain) > 300_000:
+                self.plain.clear()
+            self.plain.add(w)
+            return None
         n = self.df(w)
-        odd = any(c in "0123456789@$" for c in w)
         again = own[w.casefold()]
         best, who = 0, None
         for v, d in self.readings(w):
@@ -290,26 +343,30 @@ class Reader:
             return who
         return None
 
-    def misread_han(self, flat: str, i: int) -> str | None:
-        """The character that flat[i] was misread from, or None; both neighbours must speak for it."""
-        to = HAN_CONFUSED.get(flat[i])
-        if to is None or i == 0 or i + 1 >= len(flat):
-            return None
+    def misread_han_all(self, flat: str, i: int) -> str | None:
+        """The likeliest of the characters that flat[i] may have been misread from."""
+        got = [(min(self.df(flat[i - 1] + c), self.df(c + flat[i + 1])), c) for c in HAN_CONFUSED.get(flat[i], "") if 0 < i < len(flat) - 1 and self.misread_han(flat, i, c)]
+        return max(got)[1] if got else None
+
+    def misread_han(self, flat: str, i: int, to: str) -> bool:
+        """Whether flat[i] was misread from the character `to`; both neighbours must speak for it."""
         a, b = flat[i - 1], flat[i + 1]
         now, then = (self.df(a + flat[i]), self.df(flat[i] + b)), (self.df(a + to), self.df(to + b))
-        if min(then) >= 2 and min(then) >= 4 * min(now) and max(then) >= 2 * max(now):
-            return to
-        return None
+        return min(then) >= 2 and min(then) >= 4 * min(now) and max(then) >= 2 * max(now)
 
-    def label(self, text: str | None, title: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    def label(self, text: str | None, title: str | None, seen: tuple | None = None) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
         """(cases, body): (line number from 0, kind) of the cases, and (line number, repaired line) of body lines; a line that ends within a word keeps a soft hyphen at its end."""
         if not text or not text.strip():
             return [], []
-        at, features = observe(text, title)
-        path = viterbi([symbol(f) for f in features], self.move, self.emit)
+        if seen is None:
+            at, features = observe(text, title, self)
+            seen = at, [symbol(f) for f in features]
+        at = [int(i) for i in seen[0]]
+        path = viterbi(seen[1], self.move, self.emit)
         lines = text.split("\n")
-        cases = [(i, {1: "header", 2: "page_number"}[s]) for i, s in zip(at, path) if s]
-        body = [i for i, s in zip(at, path) if s == 0]
+        cases = [(i, STATE_KINDS[s]) for i, s in zip(at, path) if s in STATE_KINDS]
+        body = [i for i, s in zip(at, path) if STATES[s] in ("body", "break")]
+        broken = {i for i, s in zip(at, path) if STATES[s] == "break"}
         own: Counter = Counter()
         for i in body:
             own.update(w.casefold() for w in _TOKEN.findall(lines[i]))
@@ -323,18 +380,13 @@ class Reader:
             prev = lines[body[k - 1]].rstrip("\x0c ") if k else ""
             fixes: list[tuple[str, str]] = []
             tokens = _TOKEN.findall(s)
-            ends_broken = False
+            ends_broken = i in broken
             joined = None
-            if len(s) > 1 and s[-1] in HYPHENS and s[-2].isalnum():
-                m, n = re.search(r"([^\s.,;:!?“”«»„(—–]+)[-\xad¬‐]\Z", s), re.match(r"[^\s.,;:!?“”«»„‘…()\[\]—–，。]+", nxt)
+            if ends_broken:
+                m, n = _LAST.search(s), _FIRST.match(nxt)
                 if m and n:
-                    a, b = m.group(1), n.group().rstrip(HYPHENS)
-                    last = a.split("-")[-1]
-                    compound, word = self.df(f"{last}-{b.split('-')[0]}"), self.df(last + b.split("-")[0])
-                    if not word:
-                        word = max([self.df(v) for v in self._readings(last + b.split("-")[0])] or [0])
-                    ends_broken = s[-1] != "-" or (word >= compound and not b[:1].isupper())
-                    joined = last + b.split("-")[0]
+                    last = m.group(1).split("-")[-1]
+                    joined = last + n.group().rstrip(HYPHENS).split("-")[0]
             begins_broken = bool(prev) and len(prev) > 1 and prev[-1] in HYPHENS and prev[-2].isalnum()
             for j, w in enumerate(tokens):
                 if _HAN.match(w) or (j == 0 and begins_broken) or (j == len(tokens) - 1 and s[-1:] in HYPHENS):
@@ -355,7 +407,7 @@ class Reader:
                     c = len(m.group(1))
                     if v is not None and v[c:] != n.group() and v[:c] == m.group(1):
                         part_misread = True
-            han = [(j, self.misread_han(flat, pos + j)) for j in range(len(bare)) if bare[j] in HAN_CONFUSED]
+            han = [(j, self.misread_han_all(flat, pos + j)) for j in range(len(bare)) if bare[j] in HAN_CONFUSED]
             han = [(j, c) for j, c in han if c]
             pos += len(bare)
             if ends_broken:
@@ -404,36 +456,43 @@ def _rows(spark, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "pdf_texts").where("text is not null and book_id is not null").select("book_id", "title", "text")
 
 
-def _model(spark, rows: DataFrame):
-    move, emit = train(rows.select("title", "text"))
-    return spark.sparkContext.broadcast((move, emit, vocabulary(rows.select("text"))))
-
-
-def p4_found(spark, sf_dir):
-    """(book_id, line_no, kind) of headers, page numbers, breaks within words and misread lines."""
-    rows = _rows(spark, sf_dir)
-    model = _model(spark, rows)
+def observed(rows: DataFrame, words) -> DataFrame:
+    """The texts with the lines that are not blank and their symbols, written once for training and labelling."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*model.value)
+        reader = Reader(*initial(), words.value)
         for b in batches:
-            out = [(book, i + 1, kind) for book, title, text in zip(b["book_id"], b["title"], b["text"]) for i, kind in reader.label(text, title)[0]]
-            yield pd.DataFrame(out, columns=["book_id", "line_no", "kind"])
+            got = [observe(t, title, reader) for t, title in zip(b["text"], b["title"])]
+            yield pd.DataFrame({"book_id": b["book_id"], "title": b["title"], "text": b["text"], "at": [g[0] for g in got], "symbols": [[symbol(f) for f in g[1]] for g in got]})
 
-    return rows.mapInPandas(part, "book_id long, line_no long, kind string").distinct()
+    return materialise(rows.select("book_id", "title", "text").mapInPandas(part, "book_id long, title string, text string, at array<int>, symbols array<int>"), "scan-lines")
 
 
-def p4_paragraphs(spark, sf_dir):
-    """(book_id, text): continuous paragraphs."""
+def labelled(spark, sf_dir: str, make, schema: str) -> DataFrame:
+    """make(book_id, text, cases, body) of every text, as rows of the schema."""
     rows = _rows(spark, sf_dir)
-    model = _model(spark, rows)
+    words = spark.sparkContext.broadcast(vocabulary(rows))
+    seen = observed(rows, words)
+    model = spark.sparkContext.broadcast(train(seen))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*model.value)
+        reader = Reader(*model.value, words.value)
         for b in batches:
-            yield pd.DataFrame({"book_id": b["book_id"], "text": [paragraphs(t, reader.label(t, title)[1]) for t, title in zip(b["text"], b["title"])]})
+            out = [x for book, title, text, at, syms in zip(b["book_id"], b["title"], b["text"], b["at"], b["symbols"]) for x in make(book, text, *reader.label(text, title, (at, syms)))]
+            yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(part, "book_id long, text string")
+    return seen.mapInPandas(part, schema)
+
+
+def p4_found(spark, sf_dir):
+    """(book_id, line_no, kind) of headers, page numbers, breaks within words and misread lines."""
+    return labelled(spark, sf_dir, lambda book, text, cases, body: [(book, i + 1, kind) for i, kind in cases], "book_id long, line_no long, kind string").distinct()
+
+
+def p4_paragraphs(spark, sf_dir):
+    """(book_id, text): continuous paragraphs."""
+    return labelled(spark, sf_dir, lambda book, text, cases, body: [(book, paragraphs(text, body))], "book_id long, text string")
 
 
 QUERIES = {"p4_found": p4_found, "p4_paragraphs": p4_paragraphs}
