@@ -12,10 +12,12 @@ give one row, a doc_id with several texts one for each of them, and it is found
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ from codexmill.session import texts
 from codexmill.llm.common import table
 from codexmill.llm import labelled, rules
 from codexmill.llm.rules import case_expression
-from codexmill.llm.sitelines import _NUMBER, _TOKEN, BLANK, HEADING, _hash, cases_of, count_records, first_copies, fold, hashed, keys_for, name_words, with_names
-from codexmill.operators.skew import hot_join, sized_join
+from codexmill.llm.sitelines import _NUMBER, _TOKEN, BLANK, HEADING, cases_of, count_records, first_copies, fold, keys_for, name_words, with_names
+from codexmill.operators.skew import hot_join
 from codexmill.session import materialise
 
 # Characters and forms that the statistics look for.
@@ -58,6 +60,11 @@ class _Class(dict):
         return got
 
 
+#: Bits of each number in a token's packed numbers (letters, digits, is a word, is common, has no vowel), which are added up in one go.
+_FIELD = 32
+_MASK = (1 << _FIELD) - 1
+
+
 class LineStats:
     """Statistics of lines against a bounded list of common words (the fixed table common_words)."""
 
@@ -65,18 +72,20 @@ class LineStats:
         latin = {w.casefold() for w in common if not _HAN.search(w)}
         han = sorted((w for w in common if _HAN.search(w)), key=len, reverse=True)
         self.han = re.compile("|".join(map(re.escape, han)) or r"(?!)")
-        self.common = _Class(latin.__contains__).__getitem__
-        self.letters = _Class(lambda w: sum(c.isalpha() for c in w)).__getitem__
-        self.digits = _Class(lambda w: sum(c.isdigit() for c in w)).__getitem__
-        self.word = _Class(str.isalpha).__getitem__
-        self.novowel = _Class(lambda w: len(w) > 3 and w.isalpha() and not _VOWEL.search(w)).__getitem__
+
+        def numbers(w: str) -> int:
+            word = w.isalpha()
+            fields = sum(map(str.isalpha, w)), sum(map(str.isdigit, w)), word, w in latin, word and len(w) > 3 and not _VOWEL.search(w)
+            return sum(int(x) << _FIELD * k for k, x in enumerate(fields))
+
+        self.numbers = _Class(numbers).__getitem__
 
     def of(self, line: str, tokens: list[str]) -> tuple[int, ...]:
         """Of a line and the tokens of its folded form."""
         s = line.strip()
         n = len(s)
-        letters, digits, words = sum(map(self.letters, tokens)), sum(map(self.digits, tokens)), sum(map(self.word, tokens))
-        common = sum(map(self.common, tokens))
+        packed = sum(map(self.numbers, tokens))
+        letters, digits, words, common, novowel = packed & _MASK, packed >> _FIELD & _MASK, packed >> 2 * _FIELD & _MASK, packed >> 3 * _FIELD & _MASK, packed >> 4 * _FIELD
         spaces = s.count(" ") + s.count("\t") + s.count("\u3000") + s.count("\xa0")
         plain = sum(map(s.count, ".,;:!?'\"-")) + (0 if s.isascii() else sum(map(s.count, "，。！？、；：“”‘’«»—…（）")))
         symbols = max(n - letters - digits - spaces - plain, 0)
@@ -93,7 +102,7 @@ class LineStats:
             dull = n if len(set(zip(chars, chars[1:]))) * 3 < han else 0
         elif words > 7:
             dull = n if len(set(tokens)) * 3 < len(tokens) else 0
-        novowel = 0 if common or han else sum(map(self.novowel, tokens))
+        novowel = 0 if common or han else novowel
         cells = n if ("|" in s or "\t" in s or "   " in s) and _CELL.search(s) else 0
         link = sum(map(len, _LINK.findall(s))) if ("." in s and "/" in s) or "@" in s else 0
         code = sum(map(len, _CODE.findall(s))) if digits * 10 > n else 0
@@ -104,87 +113,131 @@ class LineStats:
         return n, letters, digits, symbols, words, letters, common, han, han_common, end, 1 if end else 0, listed, cells, link, code, keyed, dull, novowel, head, 1 if head else 0
 
 
+def _key(site: str, key: str) -> int:
+    """64-bit hash of a site's line."""
+    return int.from_bytes(hashlib.blake2b(f"{site}\0{key}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def line_table(distinct: DataFrame, names: DataFrame, common: list[str]) -> DataFrame:
-    """One row for each non-blank line of distinct texts (h, text): its key as a site's line (null if it cannot be one), a hash of itself, its statistics."""
-    fields = [f"{c} int" for c in LINE]
+    """One row for each distinct text (h, site, text): keys of its non-blank lines as a site's lines (null where one cannot be), and their hashes and statistics, one line after another."""
     rows, array = with_names(distinct, names)
     shared = distinct.sparkSession.sparkContext.broadcast(array)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, stats = keys_for(shared), LineStats(common)
         for b in batches:
-            at, nos, ks, own, cols = [], [], [], [], []
-            for i, (t, mine) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            keys, flat, ends = [], [], [0]
+            for site, t, mine in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 key_of = of(mine).key_of
-                for no, line in enumerate(t.split("\n"), 1):
+                for line in t.split("\n"):
                     if not line or line.isspace():
                         continue
                     parts = _TOKEN.split(fold(line))
-                    k = key_of(parts)
-                    at.append(i)
-                    nos.append(no)
-                    ks.append(None if k is None else _hash(k))
-                    own.append(zlib.crc32(line.strip().encode("utf-8", "surrogatepass")) & 0x7FFFFFFF)
-                    cols.append(stats.of(line, parts[1::2]))
-            data = [pa.array(c, pa.int32()) for c in zip(*cols)] if cols else [pa.array([], pa.int32())] * len(LINE)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(nos, pa.int32()), pa.array(ks, pa.binary()), pa.array(own, pa.int32()), *data], ["h", "line_no", "key", "line", *LINE])
-
-    return rows.select("h", "text", "names").mapInArrow(part, "h binary, line_no int, key binary, line int, " + ", ".join(fields))
-
-
-def share(a: str, b: str):
-    return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-
-
-def common_share():
-    return F.when(F.col("han") * 3 > F.col("letters"), share("han_common", "han")).otherwise(share("common", "words"))
+                    k = None if site == NO_SITE else key_of(parts)
+                    keys.append(None if k is None else _key(site, k))
+                    flat.append(zlib.crc32(line.strip().encode("utf-8", "surrogatepass")) & 0x7FFFFFFF)
+                    flat += stats.of(line, parts[1::2])
+                ends.append(len(keys))
+            at = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(keys, pa.int64())), pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32) * WIDTH), pa.array(flat, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["h", "site", "keys", "flat"])
+
+    return rows.select("h", "site", "text", "names").mapInArrow(part, "h binary, site string, keys array<bigint>, flat array<int>")
+
+
+#: Numbers of a line in `flat`: its hash and its statistics.
+WIDTH = 1 + len(LINE)
+NO_SITE = "-"
+#: Keys of sites' lines that are broadcast at most (8 bytes each); with more, every text gets its own by a join.
+CASES_MAX = 4_000_000
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(b > 0, a / np.maximum(b, 1), 0.0)
+
+
+def features(flat: np.ndarray, doc: np.ndarray, keep: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Statistics and shares of n texts, from the numbers of their lines (rows of flat), the text of each line, and whether it is the text's own."""
+    whole = {c: np.bincount(doc, flat[:, k + 1], n) for k, c in enumerate(LINE)}
+    lines = np.bincount(doc, minlength=n)
+    han = whole["han"] * 3 > whole["letters"]
+    common = np.where(han, _share(whole["han_common"], whole["han"]), _share(whole["common"], whole["words"]))
+    out = {"words": whole["words"], "mean_word": _share(whole["word_chars"], whole["words"]), "symbol_ratio": _share(whole["symbols"], whole["chars"]), "end_line_share": _share(whole["end_lines"], lines), "common_share": common}
+    out = {f"whole_{c}": x for c, x in out.items()}
+    flat, doc = flat[keep], doc[keep]
+    s = {c: np.bincount(doc, flat[:, k + 1], n) for k, c in enumerate(LINE)}
+    lines = np.bincount(doc, minlength=n)
+    pairs = np.unique(doc.astype(np.int64) << 31 | flat[:, 0].astype(np.int64))
+    distinct = np.bincount(pairs >> 31, minlength=n)
+    first = np.zeros((n, len(LINE)))
+    at, where = np.unique(doc, return_index=True)
+    first[at] = flat[where, 1:]
+    first = dict(zip(LINE, first.T))
+    # an introduction of one sentence before something else is left out
+    intro = (lines > 2) & (first["end_chars"] > 0) & (first["chars"] < 250) & (s["end_lines"] <= lines / 2)
+    s = {c: x - np.where(intro, first[c], 0) for c, x in s.items()}
+    lines = lines - intro
+    one = (s["end_lines"] == 1) & (lines > 3) & (s["end_chars"] < 250)  # a single sentence in a list
+    s["chars"] = s["chars"] - np.where(one, s["end_chars"], 0)
+    s["end_chars"], s["end_lines"] = np.where(one, 0, s["end_chars"]), np.where(one, 0, s["end_lines"])
+    few = s["head_lines"] <= 2  # a heading or two say nothing; a list of them does
+    s["chars"], lines = s["chars"] - np.where(few, s["head_chars"], 0), lines - np.where(few, s["head_lines"], 0)
+    han = s["han"] * 3 > s["letters"]
+    return out | s | {
+        "lines": lines,
+        "mean_word": _share(s["word_chars"], s["words"]), "symbol_ratio": _share(s["symbols"], s["chars"]), "digit_ratio": _share(s["digits"], s["chars"]), "letter_ratio": _share(s["letters"], s["chars"]),
+        "end_share": _share(s["end_chars"], s["chars"]), "end_line_share": _share(s["end_lines"], lines), "list_share": _share(s["list_chars"], s["chars"]), "table_share": _share(s["table_chars"], s["chars"]),
+        "link_share": _share(s["link_chars"], s["chars"]), "code_share": _share(s["code_chars"], s["chars"]), "keyed_share": _share(s["keyed_chars"], s["chars"]), "dull_share": _share(s["dull_chars"], s["chars"]),
+        "novowel_share": _share(s["novowel"], s["words"]), "distinct_share": _share(distinct, lines), "common_share": np.where(han, _share(s["han_common"], s["han"]), _share(s["common"], s["words"])),
+    }
+
+
+#: Columns of the features.
+OWN = ("chars", "words", "lines", "mean_word", "symbol_ratio", "digit_ratio", "letter_ratio", "end_share", "end_line_share", "list_share", "table_share", "link_share", "code_share", "keyed_share", "dull_share", "novowel_share", "distinct_share", "common_share")
+SHOWN = ("mean_word", "symbol_ratio", "end_line_share", "common_share")
+COLUMNS = (*OWN, "whole_words", *(f"whole_{c}" for c in SHOWN))
 
 
 class Stats:
-    """Statistics of documents (doc_id, source, text): `rec` has (site, record, h) of every document with a text, `rows` the lines of the distinct texts, `own` the features of each (site, h)."""
-
-    def __init__(self, docs: DataFrame, names: DataFrame, common: list[str]):
-        rows = hashed(docs.where("doc_id is not null").select("doc_id", "source", "text"))
-        rows = rows.where(F.col("text").rlike(BLANK)).select("doc_id", F.coalesce(F.concat(F.lit("d:"), "source"), F.lit("-")).alias("site"), "h", "text")
-        self.rec = rows.select("site", F.col("doc_id").alias("record"), "h")
-        self.rows = materialise(line_table(first_copies(rows.select("doc_id", "h", "text"), ["doc_id"]), names, common), "line-stats")
-        cases = cases_of(*count_records(self.rows.where("key is not null"), self.rec.where("site <> '-'"))).select("site", "key")
-        at = self.rows.join(self.rec.select("site", "h").distinct(), "h").withColumn("key", F.when(F.col("site") != "-", F.col("key")))
-        own = sized_join(at, cases, ["site", "key"], "left_anti")
-        first = F.min(F.struct("line_no", *LINE))
-        got = own.groupBy("site", "h").agg(*[F.sum(c).alias(c) for c in LINE], F.count("*").alias("lines"), F.count_distinct("line").alias("distinct_lines"), first.alias("first"), F.max("chars").alias("longest"))
-        # an introduction of one sentence before something else is left out
-        intro = (F.col("lines") > 2) & (F.col("first.end_chars") > 0) & (F.col("first.chars") < 250) & (F.col("end_lines") <= F.col("lines") / 2)
-        rest = got.select("site", "h", "distinct_lines", "longest", (F.col("lines") - F.when(intro, 1).otherwise(0)).alias("lines"), *[(F.col(c) - F.when(intro, F.col(f"first.{c}")).otherwise(0)).alias(c) for c in LINE])
-        one = (F.col("end_lines") == 1) & (F.col("lines") > 3) & (F.col("end_chars") < 250)  # a single sentence in a list
-        rest = rest.withColumns({"chars": F.col("chars") - F.when(one, F.col("end_chars")).otherwise(0), "end_chars": F.when(one, 0).otherwise(F.col("end_chars")), "end_lines": F.when(one, 0).otherwise(F.col("end_lines"))})
-        # a heading or two say nothing; a list of them does
-        rest = rest.withColumns({"chars": F.col("chars") - F.when(F.col("head_lines") <= 2, F.col("head_chars")).otherwise(0), "lines": F.col("lines") - F.when(F.col("head_lines") <= 2, F.col("head_lines")).otherwise(0)})
-        # written once, so that the rules' expressions do not repeat those of the features
-        self.own = materialise(rest.withColumns(
-            {
-                "mean_word": share("word_chars", "words"),
-                "symbol_ratio": share("symbols", "chars"),
-                "digit_ratio": share("digits", "chars"),
-                "letter_ratio": share("letters", "chars"),
-                "end_share": share("end_chars", "chars"),
-                "end_line_share": share("end_lines", "lines"),
-                "list_share": share("list_chars", "chars"),
-                "table_share": share("table_chars", "chars"),
-                "link_share": share("link_chars", "chars"),
-                "code_share": share("code_chars", "chars"),
-                "keyed_share": share("keyed_chars", "chars"),
-                "dull_share": share("dull_chars", "chars"),
-                "novowel_share": share("novowel", "words"),
-                "distinct_share": share("distinct_lines", "lines"),
-                "common_share": common_share(),
-            }
-        ), "features")
-
-    def whole(self) -> DataFrame:
-        """(h, words, mean_word, symbol_ratio, end_line_share, common_share) of whole texts, the site's lines included."""
-        got = self.rows.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("words", "word_chars", "symbols", "chars", "end_lines", "han", "letters", "han_common", "common")], F.count("*").alias("lines"))
-        return got.select("h", "words", share("word_chars", "words").alias("mean_word"), share("symbols", "chars").alias("symbol_ratio"), share("end_lines", "lines").alias("end_line_share"), common_share().alias("common_share"))
+    """Statistics of documents (doc_id, source, text): `rec` has (site, record, h) of every document with a text that is not blank, `own` the features of each h.
+
+    h stands for the source and the text, so copies within a source collapse and a site's lines are told without a join."""
+
+    def __init__(self, docs: DataFrame, names: DataFrame, common: list[str], most_cases: int | None = None):
+        site = F.coalesce(F.concat(F.lit("d:"), "source"), F.lit(NO_SITE))
+        rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(BLANK)).select("doc_id", site.alias("site"), "text")
+        rows = rows.withColumn("h", F.unhex(F.md5(F.encode(F.concat_ws("\0", "site", "text"), "UTF-8"))))
+        self.rec = materialise(rows.select("site", F.col("doc_id").alias("record"), "h"), "stat-records")
+        first = first_copies(rows, ["doc_id"], self.rec.select(F.col("record").alias("doc_id"), "h"))
+        table_ = materialise(line_table(first, names, common), "line-stats")
+        lines = table_.where(F.col("site") != NO_SITE).select("h", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
+        cases = materialise(cases_of(*count_records(lines, self.rec.where(F.col("site") != NO_SITE))).select("key"), "stat-cases")
+        if cases.count() <= (CASES_MAX if most_cases is None else most_cases):
+            shared = docs.sparkSession.sparkContext.broadcast(np.unique(cases.toPandas()["key"].to_numpy().astype(np.int64)))
+            table_ = table_.withColumn("gone", F.lit(None).cast("array<bigint>"))
+        else:
+            shared = docs.sparkSession.sparkContext.broadcast(None)
+            gone = lines.join(cases.distinct(), "key").groupBy("h").agg(F.collect_set("key").alias("gone"))
+            table_ = table_.join(gone, "h", "left")
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = b.column(1)
+                sizes = np.diff(keys.offsets.to_numpy())
+                doc = np.repeat(np.arange(b.num_rows), sizes)
+                flat = b.column(2).flatten().to_numpy().reshape(-1, WIDTH)
+                k = keys.flatten()
+                known, k = ~k.is_null().to_numpy(zero_copy_only=False), k.fill_null(0).to_numpy()
+                if shared.value is not None:
+                    hit = np.isin(k, shared.value)
+                else:
+                    own = b.column(3).to_pylist()
+                    hit = np.array([own[d] is not None and x in own[d] for d, x in zip(doc.tolist(), k.tolist())], dtype=bool)
+                f = features(flat, doc, ~(hit & known), b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(f[c], pa.float64()) for c in COLUMNS]], ["h", *COLUMNS])
+
+        got = table_.select("h", "keys", "flat", "gone").mapInArrow(part, "h binary, " + ", ".join(f"{c} double" for c in COLUMNS))
+        self.own = got.dropDuplicates(["h"])
 
 
 def stats(spark, sf_dir: str) -> Stats:
@@ -219,26 +272,21 @@ def classify(rows: DataFrame) -> DataFrame:
 def p9_found(spark, sf_dir):
     """doc_id of documents that are a list, a table or junk."""
     s = stats(spark, sf_dir)
-    other = classify(s.own).where("kind = 'other'").select("site", "h")
-    return hot_join(other, s.rec, ["site", "h"], ["record"]).select(F.col("record").alias("doc_id")).distinct()
-
-
-SHOWN = ("mean_word", "symbol_ratio", "end_line_share", "common_share")
+    other = classify(s.own).where("kind = 'other'").select("h")
+    return hot_join(other, s.rec, ["h"], ["record"]).select(F.col("record").alias("doc_id")).distinct()
 
 
 def p9_stats(spark, sf_dir):
     """Statistics of every document's whole text, the same of its own lines (own_...), and its kind by the latter."""
     s = stats(spark, sf_dir)
-    own = classify(s.own).select("site", "h", F.col("words").alias("own_words"), *[F.col(c).alias(f"own_{c}") for c in SHOWN], "kind")
-    texts_of = s.rec.select("site", "h").distinct().join(s.whole(), "h").join(own, ["site", "h"], "left")
-    told = hot_join(texts_of, s.rec.distinct(), ["site", "h"], ["record"]).withColumnRenamed("record", "doc_id")
+    told = hot_join(classify(s.own), s.rec.distinct(), ["h"], ["record"]).withColumnRenamed("record", "doc_id")
     every = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id").distinct()
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    ratio = lambda c, n: F.round(F.coalesce(F.col(c), F.lit(0.0)), n).alias(c)
     places = {"mean_word": 3}
-    return every.join(told, "doc_id", "left").select(
-        "doc_id", zero("words"), *[ratio(c, places.get(c, 4)) for c in SHOWN], zero("own_words"), *[ratio(f"own_{c}", places.get(c, 4)) for c in SHOWN], "kind"
-    )
+
+    def shown(of: str, name: str):
+        return [F.coalesce(F.col(f"{of}words"), F.lit(0)).cast("long").alias(f"{name}words"), *[F.round(F.coalesce(F.col(f"{of}{c}"), F.lit(0.0)), places.get(c, 4)).alias(f"{name}{c}") for c in SHOWN]]
+
+    return every.join(told, "doc_id", "left").select("doc_id", *shown("whole_", ""), *shown("", "own_"), "kind")
 
 
 QUERIES = {"p9_found": p9_found, "p9_stats": p9_stats}

@@ -41,7 +41,7 @@ HEADING = re.compile(
     r"|^(?:prologue?|epilogue?|épilogue|prólogo|epílogo|prolog|epilog|пролог|эпилог|foreword|preface|vorwort|nachwort|avant-propos|预告|楔子|序章|序言|引子|前言|尾声|后记|番外|终章)\b"
 )
 _NUMBER = re.compile(r"\d+")
-_FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) == "Cf") + "]")
+_FORMAT = frozenset(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) == "Cf")
 _TOKEN = re.compile(r"(\w+)")
 _WORD = re.compile(r"[^\W\d_]+")
 _DATE = re.compile(r"#(?:\s*[-./年月]\s*#)+日?")
@@ -73,7 +73,8 @@ def fold(line: str) -> str:
     if not line.isascii():
         if not unicodedata.is_normalized("NFKC", line):
             line = unicodedata.normalize("NFKC", line)
-        line = _FORMAT.sub("", line)
+        if not _FORMAT.isdisjoint(line):
+            line = "".join(c for c in line if c not in _FORMAT)
     return " ".join(line.casefold().split())
 
 
@@ -148,15 +149,14 @@ def hashed(df: DataFrame) -> DataFrame:
     return df.where("text is not null").withColumn("h", F.unhex(F.md5(F.encode("text", "UTF-8"))))
 
 
-def first_copies(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """(h, text) of rows (ids, h, text) without the later copies of a text, each text once (more often only where a row is repeated).
+def first_copies(rows: DataFrame, ids: list[str], narrow: DataFrame) -> DataFrame:
+    """rows (ids, h, text, ...) without the later copies of a text, each text once (more often only where a row is repeated).
 
-    Texts are not moved: the copies to leave out are found by hashes and ids, hot hashes split."""
-    narrow = rows.select(*ids, "h")
+    Texts are not moved: the copies to leave out are found by the hashes and ids in `narrow`, hot hashes split."""
     me = F.struct(*ids)
     multi = narrow.groupBy("h").agg(F.count("*").alias("n"), F.min(me).alias("first")).where("n > 1").select("h", "first")
     later = hot_join(multi, narrow, ["h"], ids).where(me != F.col("first")).select(*ids, "h").distinct()
-    return sized_join(rows, later, [*ids, "h"], "left_anti").select("h", "text")
+    return sized_join(rows, later, [*ids, "h"], "left_anti")
 
 
 def with_names(rows: DataFrame, names: DataFrame, most: int | None = None):
@@ -255,7 +255,7 @@ class Lines:
         self.rec = materialise(own.unionByName(shelved).withColumn("record", F.col("record_id")).distinct(), "site-records")
         names = name_words(table(spark, sf_dir, "documents").select("author"), table(spark, sf_dir, "books").select("author"))
         rows = docs.where(full & F.col("source").isNotNull()).select("src", "record_id", "h", "text").unionByName(books.where(full).select("src", "record_id", "h", "text"))
-        self.lines = materialise(line_rows(first_copies(rows, ["src", "record_id"]), names, most_names), "site-lines")
+        self.lines = materialise(line_rows(first_copies(rows, ["src", "record_id"], self.rec.select("src", "record_id", "h")).select("h", "text"), names, most_names), "site-lines")
         titles = table(spark, sf_dir, "chapters").where("title is not null").select("id", "book_id", F.col("title").alias("text")).distinct().join(sites, "book_id")
         distinct_titles = hashed(titles.select("text").distinct()).select("h", "text")
         title_keys = line_rows(distinct_titles, names, most_names).where("line_no = 1").select("h", "key")
