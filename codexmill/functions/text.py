@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # The characters with the White_Space property, which trimming and splitting heed.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "]"
-#: Code points whose folding has one character and differs from them.
-_HALF_WIDE = (0xFF01, 0xFFEE)
+#: Marks behind which no white space stays before a Han character.
+TIGHT = "，。！？；：、「」『』（）《》…—"
 
 
 def btrim(c: Column) -> Column:
@@ -61,7 +61,7 @@ def normal_export(c: Column, replace: list[tuple[str, str]] | None = None) -> Co
 
 def spaces_export(c: Column) -> Column:
     """Runs of white space: none between Han characters (or behind their punctuation) and Han, else one space."""
-    c = F.regexp_replace(c, f"(?<=[\\p{{IsHan}}，。！？；：、“”‘’（）《》【】…—]){WHITE_CLASS}+(?=\\p{{IsHan}})", "")
+    c = F.regexp_replace(c, f"(?<=[\\p{{IsHan}}{TIGHT}]){WHITE_CLASS}+(?=\\p{{IsHan}})", "")
     return btrim(F.regexp_replace(c, f"{WHITE_CLASS}+", " "))
 
 
@@ -113,22 +113,18 @@ def filename_meta(name: Column) -> tuple[Column, Column]:
 
 
 def chapter_number(title: Column) -> Column:
-    """The number in a chapter's title, ASCII or Chinese up to 万; null without one (0 is none)."""
-    run = F.regexp_extract(title, "^\\s*(?:[Cc]hapter|CHAPTER|第|[「『【〈\\[（(])?\\s*([0-9]+|[零〇一二三四五六七八九十百千万]+)", 1)
+    """The number in a chapter's title: ASCII digits, or Chinese numerals added up unit by unit (十, 百, 千, 万; a unit without a digit in front, or behind a zero, counts once); null without one. Chinese zero is none."""
+    t = btrim(title)
+    numeral = "([0-9零〇一二三四五六七八九十百千万]+)"
+    run = F.when(F.lower(t).startswith("chapter"), F.regexp_extract(t, f"^(?i:chapter)[ \\t]*{numeral}", 1)).otherwise(F.regexp_extract(t, f"^第?[ \\t\\u3000]*「?『?【?〈?\\[?（?\\(?{numeral}", 1))
     digits = F.create_map(*[x for i, c in enumerate("零一二三四五六七八九") for x in (F.lit(c), F.lit(i).cast("long"))], F.lit("〇"), F.lit(0).cast("long"))
-    units = F.create_map(F.lit("十"), F.lit(10).cast("long"), F.lit("百"), F.lit(100).cast("long"), F.lit("千"), F.lit(1000).cast("long"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("digit"))
+    units = F.create_map(*[x for c, n in (("十", 10), ("百", 100), ("千", 1000), ("万", 10000)) for x in (F.lit(c), F.lit(n).cast("long"))])
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("digit"), F.lit(True).alias("alone"))
 
     def step(a, ch):
         d, u = digits[ch], units[ch]
-        unit_value = F.when((a["digit"] == 0) & (u == 10) & (a["section"] == 0), u).otherwise(a["digit"] * u)
-        return (
-            F.when(ch == "万", F.struct((a["total"] + (a["section"] + a["digit"]) * 10000).alias("total"), zero.alias("section"), zero.alias("digit")))
-            .when(u.isNotNull(), F.struct(a["total"].alias("total"), (a["section"] + unit_value).alias("section"), zero.alias("digit")))
-            .otherwise(F.struct(a["total"].alias("total"), a["section"].alias("section"), F.coalesce(d, zero).alias("digit")))
-        )
-
-    han = F.aggregate(F.split(run, "(?<=.)(?=.)"), start, step, lambda a: a["total"] + a["section"] + a["digit"])
-    n = F.when(run == "", None).when(run.rlike("^[0-9]+\\z"), run.try_cast("long")).otherwise(han)
-    return F.when(n > 0, n)
+        one = F.when((a["digit"] == 0) & a["alone"], F.lit(1).cast("long")).otherwise(a["digit"])
+        return F.when(u.isNotNull(), F.struct((a["total"] + one * u).alias("total"), F.lit(0).cast("long").alias("digit"), F.lit(False).alias("alone"))).otherwise(F.struct(a["total"].alias("total"), F.coalesce(d, F.lit(0).cast("long")).alias("digit"), (d == 0).alias("alone")))
+
+    han = F.aggregate(F.split(run, "(?<=.)(?=.)"), start, step, lambda a: a["total"] + a["digit"])
+    return F.when(run == "", None).when(run.rlike("^[0-9]+\\z"), run.try_cast("long")).when(~run.rlike("[0-9]") & (han > 0), han)

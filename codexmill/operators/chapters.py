@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
 from codexmill.operators.clean import lines
+from codexmill.session import materialise
 
 # Numerals, units and names that chapter headings are made of, and the selection's limits.
 NUMERAL = r"[0-9零〇一二三四五六七八九十百千万]"
@@ -53,11 +54,9 @@ LOOSE = r"^([0-9]{1,4})\z"
 
 def matches(texts: DataFrame, key: str, text: str, rules=RULES) -> DataFrame:
     """(key, line_no, offset, rule_no, title): each line with each rule that it matches."""
-    line = T.btrim(F.col("line"))
-    rows = lines(texts, key, text).withColumn("t", line).where("t <> '' and length(t) <= 120")
-    cases = F.filter(F.array(*[F.when(F.col("t").rlike(r.pattern), F.struct(F.lit(i).alias("rule_no"), F.regexp_extract("t", r.pattern, 1).alias("title"))) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
-    lead = F.length("line") - F.length(F.regexp_replace("line", f"^{T.WHITE_CLASS}+", ""))
-    return rows.select(key, "line_no", (F.col("offset") + lead).alias("offset"), F.explode(cases).alias("m")).select(key, "line_no", "offset", "m.rule_no", "m.title")
+    rows = lines(texts, key, text).withColumn("t", T.btrim(F.col("line"))).where("t <> ''")
+    cases = F.filter(F.array(*[F.when(F.col("t").rlike(r.pattern), F.struct(F.lit(i).alias("rule_no"), T.btrim(F.regexp_extract("t", r.pattern, 1)).alias("title"))) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
+    return rows.select(key, "line_no", "offset", F.explode(cases).alias("m")).select(key, "line_no", "offset", "m.rule_no", "m.title")
 
 
 def scores(found: DataFrame, key: str) -> DataFrame:
@@ -83,15 +82,21 @@ def kept_rules(scored: DataFrame, key: str, rules=RULES) -> DataFrame:
 
 
 def detect(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, idx, title, level, offset): the chapters of every text, at least one (a synthetic one at 0)."""
-    found = matches(texts, key, text)
-    good = found.join(kept_rules(scores(found, key), key), [key, "rule_no"])
-    leaves = good.where(F.col("rank") == LEAF).groupBy(key).agg(F.count_distinct("offset").alias("leaves"))
-    loose = matches(texts, key, text, (Rule("loose", LEAF, LOOSE),)).withColumns({"rule_no": F.lit(len(RULES)), "rank": F.lit(LEAF)})
+    """(key, idx, title, level, offset): the chapters of every text, at least one (a synthetic one at 0).
+
+    One pass over the lines tries all rules, the loose one too; its matches are written once, being few."""
+    every = materialise(matches(texts, key, text, (*RULES, Rule("loose", LEAF, LOOSE))), "headings")
+    found = every.where(F.col("rule_no") < len(RULES))
+    loose = every.where(F.col("rule_no") == len(RULES)).withColumn("rank", F.lit(LEAF)).select(key, "offset", "rule_no", "title", "rank")
+    good = found.join(kept_rules(scores(found, key), key), [key, "rule_no"]).select(key, "offset", "rule_no", "title", "rank")
+
+    def merged(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key, "offset").agg(F.min_by(F.struct("title", "rank"), "rule_no").alias("m")).select(key, "offset", "m.title", "m.rank")
+
+    leaves = merged(good).where(F.col("rank") == LEAF).groupBy(key).agg(F.count("*").alias("leaves"))
     enough = loose.groupBy(key).agg(F.count("*").alias("n_loose")).where(F.col("n_loose") >= MIN_LOOSE)
     wanted = enough.join(leaves, key, "left").where(F.coalesce("leaves", F.lit(0)) < MIN_LEAVES).select(key)
-    every = good.select(key, "offset", "rule_no", "title", "rank").unionByName(loose.join(wanted, key, "left_semi").select(key, "offset", "rule_no", "title", "rank"))
-    first = every.groupBy(key, "offset").agg(F.min_by(F.struct("title", "rank"), "rule_no").alias("m")).select(key, "offset", "m.title", "m.rank")
+    first = merged(good.unionByName(loose.join(wanted, key, "left_semi")))
     none = texts.select(key).join(first.select(key).distinct(), key, "left_anti").select(key, F.lit(0).cast("long").alias("offset"), F.lit(SYNTHETIC).alias("title"), F.lit(LEAF).alias("rank"))
     return depth(first.unionByName(none), key)
 

@@ -6,8 +6,13 @@ same rows. Windows run over (book, chapter) or over the lines of a book, never o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,19 +63,27 @@ def any_match(c: Column, patterns: list[str]) -> Column:
 
 
 def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no from 0, line, offset): every line with its offset in code points."""
-    parts = F.split(F.col(text), "\n", -1)
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(parts).alias("line_no", "line"))
-    rows = rows.withColumn("line_no", F.col("line_no").cast("long"))
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)))
+    """(key, line_no from 0, line, offset): every line with its offset in code points.
+
+    Arrow's own kernels split whole batches and add up lengths, so no line has to be shuffled for its offset."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = pc.split_pattern(b.column(1), "\n")
+            flat, sizes = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            n = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            before = np.cumsum(n) - n
+            start = before[np.minimum(first, max(len(before) - 1, 0))] if len(before) else first
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(np.arange(len(owner)) - first[owner]), flat, pa.array(before - start[owner])], [key, "line_no", "line", "offset"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.where(F.col(text).isNotNull()).select(key, text).mapInArrow(part, f"{key} {kind}, line_no long, line string, offset long")
 
 
 def paragraphs(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Non-blank lines, trimmed; the offset is that of the first character that stays."""
-    rows = lines(texts, key, text)
-    lead = F.length("line") - F.length(F.regexp_replace("line", f"^{T.WHITE_CLASS}+", ""))
-    return rows.select(key, "line_no", T.btrim(F.col("line")).alias("text"), (F.col("offset") + lead).alias("offset")).where("text <> ''")
+    """Non-blank lines, trimmed, with the offset of their line."""
+    return lines(texts, key, text).select(key, "line_no", T.btrim(F.col("line")).alias("text"), "offset").where("text <> ''")
 
 
 def in_chapters(paras: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
@@ -151,31 +164,36 @@ def clean(paras: DataFrame, key: str, rules: Rules | None = None, promo: bool =
     return normalise(rows, rules) if normal else rows
 
 
-def stats(rows: DataFrame, key: str) -> DataFrame:
-    """Counters of a cleaning, one row for each book, by one aggregate."""
+def stats(rows: DataFrame, key: str, texts: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Counters of a cleaning, one row for each book with a paragraph, by one aggregate; lost characters are those of the source."""
     live = F.col("dropped").isNull()
-    return rows.groupBy(key).agg(
+    n = rows.groupBy(key).agg(
         F.sum("chars").alias("chars_in"), F.coalesce(F.sum(F.when(live, F.length("text"))), F.lit(0)).alias("chars_out"), F.count_if(~live).alias("dropped"), F.sum("rewritten").alias("rewritten"),
-        F.count_distinct(F.when(live, F.col("chapter"))).alias("chapters"), F.sum(F.when(live, F.length("text") - F.length(F.regexp_replace("text", "�", ""))).otherwise(0)).alias("lost_chars"),
+        F.count_distinct(F.when(live, F.col("chapter"))).alias("records"),
     )
+    lost = texts.select(key, (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\ufffd"), F.lit("")))).alias("lost_chars"))
+    ch = chapters.groupBy(key).agg(F.count("*").alias("chapters"), F.min(T.btrim(F.col("title"))).alias("only"))
+    generic = (F.col("chapters") == 1) & F.col("only").isin(*GENERIC_TITLES)
+    return n.join(lost, key).join(ch, key, "left").select(key, F.coalesce("chapters", F.lit(0)).alias("chapters"), "chars_in", "chars_out", "dropped", "rewritten", "records", "lost_chars", F.coalesce(generic, F.lit(False)).alias("generic_structure"))
+
+
+SCHEMA_VERSION = 1
 
 
 def records(rows: DataFrame, key: str, texts: DataFrame, chapters: DataFrame, meta: DataFrame, anonymous: bool = False) -> DataFrame:
-    """One record for each chapter that has text left: ids, hashes of the cleaned text and of its source, warnings."""
+    """One record for each chapter that has text left: ids by the source's hash, hashes of the cleaned text and of its source, warnings."""
     body = rows.where("dropped is null").groupBy(key, "chapter").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("ps"), F.max("title").alias("title"), F.min("offset").alias("offset"))
     body = body.select(key, "chapter", "title", "offset", F.array_join(F.transform("ps", lambda x: x["text"]), "\n\n").alias("text"))
-    src = slices(texts, chapters, key).select(key, F.col("idx").alias("chapter"), F.sha2("slice", 256).alias("source_hash"))
-    n = chapters.groupBy(key).agg(F.count("*").alias("n_chapters"), F.min(T.btrim(F.col("title"))).alias("only_title"))
-    out = body.join(src, [key, "chapter"], "left").join(n, key, "left").join(meta, key, "left")
-    generic = (F.col("n_chapters") == 1) & F.col("only_title").isin(*GENERIC_TITLES)
-    warnings = F.filter(F.array(F.when(generic, F.lit("generic_chapter_structure")), F.when(F.col("text").contains("�"), F.lit("replacement_character"))), lambda x: x.isNotNull())
+    own = slices(texts, chapters, key)
+    src = own.select(key, F.col("idx").alias("chapter"), "doc_hash", F.sha2("slice", 256).alias("source_sha256"), F.col("slice").contains("\ufffd").alias("lost"))
+    out = body.join(src, [key, "chapter"]).join(meta, key, "left")
     cid = T.chapter_id(F.col("chapter"))
-    doc = F.concat(F.lit("document-"), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 12))
-    title, author = F.col("title"), F.coalesce("author", F.lit(""))
-    book = F.coalesce("book", F.lit(""))
+    doc = F.concat(F.lit("sha256:"), F.col("doc_hash"))
+    name = F.concat(F.lit("document-"), F.substring("doc_hash", 1, 12)) if anonymous else F.coalesce("book", F.lit(""))
     return out.select(
-        key, cid.alias("id"), F.col("chapter"), (doc if anonymous else book).alias("book"), (F.lit("") if anonymous else author).alias("author"), (cid if anonymous else F.coalesce(F.nullif(T.btrim(title), F.lit("")), cid)).alias("title"),
-        F.length("text").alias("chars"), F.sha2("text", 256).alias("content_hash"), "source_hash", warnings.alias("warnings"), "text",
+        key, F.concat(doc, F.lit("/"), cid).alias("id"), doc.alias("document_id"), cid.alias("chapter_id"), F.col("chapter").alias("chapter_index"), (cid if anonymous else F.coalesce("title", F.lit(""))).alias("title"), "text",
+        name.alias("book"), (F.lit("") if anonymous else F.coalesce("author", F.lit(""))).alias("author"), F.when(F.col("lost"), F.array(F.lit("replacement_character"))).alias("warnings"),
+        "offset", F.length("text").cast("long").alias("chars"), "source_sha256", F.sha2("text", 256).alias("cleaned_sha256"),
     )
 
 
@@ -186,54 +204,81 @@ def ranges(chapters: DataFrame, totals: DataFrame, key: str) -> DataFrame:
 
 
 def slices(texts: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
-    """The source text of each chapter; texts go through the shuffle once, as arrays of ranges come to them."""
+    """(key, idx, slice, doc_hash): the source text of each chapter and the hash of the whole; texts go through the shuffle once, as arrays of ranges come to them."""
     w = Window.partitionBy(key).orderBy("idx")
     r = chapters.withColumn("stop", F.lead("char_offset").over(w)).groupBy(key).agg(F.collect_list(F.struct("idx", F.col("char_offset").alias("start"), "stop")).alias("r"))
-    got = texts.select(key, F.col("text").alias("_t")).join(r, key).select(key, "_t", F.explode("r").alias("r"))
+    got = texts.select(key, F.col("text").alias("_t")).join(r, key).select(key, "_t", F.sha2("_t", 256).alias("doc_hash"), F.explode("r").alias("r"))
     stop = F.coalesce(F.col("r.stop"), F.length("_t").cast("long"))
-    return got.select(key, F.col("r.idx").alias("idx"), F.substring(F.col("_t"), (F.col("r.start") + 1).cast("int"), F.greatest(stop - F.col("r.start"), F.lit(0)).cast("int")).alias("slice"))
+    return got.select(key, F.col("r.idx").alias("idx"), F.substring(F.col("_t"), (F.col("r.start") + 1).cast("int"), F.greatest(stop - F.col("r.start"), F.lit(0)).cast("int")).alias("slice"), "doc_hash")
 
 
-def chunks(rows: DataFrame, key: str, target: int) -> DataFrame:
-    """Paragraphs of each chapter packed greedily to pieces of about `target` characters; oversized paragraphs are cut behind sentence ends first.
+# Fixed value: what ends a sentence, with what closes behind it.
+SENTENCE = "[。！？…][」』】）\"']*"
 
-    A fold over the chapter's own lengths in the JVM; the number of characters counts texts, not separators."""
-    live = rows.where("dropped is null")
-    parts = F.when(F.length("text") <= target, F.array("text")).otherwise(F.filter(F.split("text", "(?<=[。！？!?…][”’」』）]?)(?![。！？!?…”’」』）])"), lambda x: x != ""))
+
+def packed(lengths: Column, target: int) -> Column:
+    """Array of (first, count) of the greedy chunks of an array of lengths: a chunk is closed before the length that would lead beyond the target. Only numbers leave the JVM; time is linear."""
+
+    def run(column: pd.Series) -> pd.Series:
+        out = []
+        for ns in column:
+            chunks, size = [], 0
+            for i, n in enumerate(ns.tolist()):
+                if not chunks or (size > 0 and size + n > target):
+                    chunks.append([i, 0])
+                    size = 0
+                chunks[-1][1] += 1
+                size += n
+            out.append([{"first": a, "count": c} for a, c in chunks])
+        return pd.Series(out)
+
+    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<first:int,count:int>>")(lengths)
+
+
+def sentences(text: Column, target: int) -> Column:
+    """Pieces of an oversized paragraph: cut behind the first sentence end at which a piece has reached the target; trimmed."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
 
     def join_up(a, s):
-        full = F.length(a["cur"]) >= target
-        return F.struct(F.when(full, F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"]).alias("out"), F.when(full, s).otherwise(F.concat(a["cur"], s)).alias("cur"))
+        cur = F.concat(a["cur"], s)
+        full = F.length(cur) >= target
+        return F.struct(F.when(full, F.concat(a["out"], F.array(T.btrim(cur)))).otherwise(a["out"]).alias("out"), F.when(full, F.lit("")).otherwise(cur).alias("cur"))
 
-    packed = F.aggregate(parts, start, join_up, lambda a: F.when(a["cur"] != "", F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"]))
-    pieces = live.select(key, "chapter", "title", "line_no", "offset", F.posexplode(F.when(F.length("text") <= target, F.array("text")).otherwise(packed)).alias("part", "piece"))
-    g = pieces.groupBy(key, "chapter").agg(F.max("title").alias("title"), F.sort_array(F.collect_list(F.struct("line_no", "part", "offset", F.length("piece").alias("n"), "piece"))).alias("ps"))
-    zero = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).*?{SENTENCE}|.+"), F.lit(0))
+    whole = F.aggregate(parts, start, join_up, lambda a: F.concat(a["out"], F.filter(F.array(T.btrim(a["cur"])), lambda x: x != "")))
+    return F.when(text.rlike(SENTENCE), whole).otherwise(F.array(text))
 
-    def assign(a, p):
-        new = (a["n"] > 0) & (a["n"] + p["n"] > target)
-        gid = F.when(new, a["g"] + 1).otherwise(a["g"])
-        return F.struct(gid.alias("g"), F.when(new, p["n"]).otherwise(a["n"] + p["n"]).alias("n"), F.concat(a["ids"], F.array(gid)).alias("ids"))
 
-    g = g.withColumn("ids", F.aggregate("ps", zero, assign, lambda a: a["ids"]))
-    flat = g.select(key, "chapter", "title", F.explode(F.arrays_zip("ps", "ids")).alias("z"))
-    out = flat.groupBy(key, "chapter", F.col("z.ids").alias("chunk")).agg(F.max("title").alias("title"), F.min("z.ps.offset").alias("offset"), F.sum("z.ps.n").alias("chars"), F.sort_array(F.collect_list("z.ps")).alias("ps"))
-    return out.select(key, "chapter", "chunk", "title", "offset", "chars", F.array_join(F.transform("ps", lambda x: x["piece"]), "\n\n").alias("text"))
+def chunks(rows: DataFrame, key: str, target: int) -> DataFrame:
+    """Paragraphs of each chapter packed greedily to pieces of at most `target` characters, oversized paragraphs cut at sentence ends first; `chars` counts the joined text, with its blank lines.
+
+    One shuffle brings a chapter's paragraphs together; the packing sees their lengths only."""
+    live = rows.where("dropped is null")
+    pieces = live.select(key, "chapter", "title", "line_no", "offset", F.posexplode(F.when(F.length("text") <= target, F.array("text")).otherwise(sentences(F.col("text"), target))).alias("part", "piece"))
+    g = pieces.groupBy(key, "chapter").agg(F.max("title").alias("title"), F.sort_array(F.collect_list(F.struct("line_no", "part", "offset", "piece"))).alias("ps"))
+    g = g.withColumn("cs", packed(F.transform("ps", lambda p: F.length(p["piece"])), target))
+    out = g.select(key, "chapter", "title", "ps", F.posexplode("cs").alias("chunk", "c")).withColumn("own", F.slice("ps", F.col("c.first") + 1, F.col("c.count")))
+    text = F.array_join(F.transform("own", lambda p: p["piece"]), "\n\n")
+    return out.select(key, "chapter", "chunk", "title", F.col("own")[0]["offset"].alias("offset"), F.length(text).cast("long").alias("chars"), text.alias("text"))
 
 
-def to_jsonl(rows: DataFrame) -> DataFrame:
-    """One JSON text for each row; empty strings are left out like nulls."""
-    cols = [F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes]
-    return rows.select(F.to_json(F.struct(*cols)).alias("value"))
+def to_jsonl(rows: DataFrame, passes: dict[str, bool] | None = None) -> DataFrame:
+    """One JSON text for each record; an empty author and missing warnings are left out; line separators of Unicode are escaped."""
+    on = {"promo": True, "edge_lines": True, "normalise": True, "author_notes": True, "anonymized": False} | (passes or {})
+    meta = F.struct("book", F.nullif("author", F.lit("")).alias("author"))
+    report = F.struct(*[F.lit(v).alias(k) for k, v in on.items()], "warnings")
+    value = F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "id", "document_id", "chapter_id", "chapter_index", "title", "text", meta.alias("metadata"), report.alias("cleaning"), "offset", "chars", "source_sha256", "cleaned_sha256"))
+    for c in "\u2028\u2029":
+        value = F.replace(value, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return rows.select(value.alias("value"))
 
 
 def write_corpus(rows: DataFrame, path: str) -> None:
-    """JSON lines of records; nothing is written if any record has a replacement character."""
-    texts = [F.col(c).contains("�") for c, t in rows.dtypes if t == "string"]
+    """JSON lines of records; nothing is written if a title, text, book or author has a replacement character."""
     bad = F.lit(False)
-    for c in texts:
-        bad = bad | F.coalesce(c, F.lit(False))
+    for c in ("title", "text", "book", "author"):
+        bad = bad | F.coalesce(F.col(c).contains("\ufffd"), F.lit(False))
     if rows.where(bad).limit(1).count():
         raise ValueError("a record holds a replacement character")
     to_jsonl(rows).write.mode("overwrite").text(path)

@@ -70,7 +70,7 @@ def is_metadata(c: Column, title: Column, author: Column) -> Column:
     """Whether a paragraph is nothing but the title, the author, or both."""
     title, author = F.coalesce(title, F.lit("")), F.coalesce(author, F.lit(""))
     has_title = (title != "") & c.startswith(title)
-    rest = F.when(has_title, F.ltrim(F.lit(" \t　"), F.substring(c, F.length(title) + 1, F.length(c))) if False else F.regexp_replace(F.substring(c, F.length(title) + 1, F.length(c)), "^[ \\t\\u3000]+", "")).otherwise(c)
+    rest = F.when(has_title, F.regexp_replace(F.substring(c, F.length(title) + 1, F.length(c)), "^[ \\t\\u3000]+", "")).otherwise(c)
     rest = F.regexp_replace(F.regexp_replace(rest, "^(?i)(by\\s*[:：]|author\\s*[:：]|作者\\s*[:：]|[:：])", ""), "^[ \\t\\u3000]+", "")
     return (has_title & (rest == "")) | ((author != "") & (rest == author))
 

@@ -67,7 +67,7 @@ def promo_clean_stats(spark, d):
 
 def clean_stats(spark, d):
     """AGG-05, all passes."""
-    return K.stats(K.clean(_paras(spark, d), "book_id"), "book_id")
+    return K.stats(K.clean(_paras(spark, d), "book_id"), "book_id", _texts(spark, d), _chapters(spark, d))
 
 
 def normalised_paragraphs(spark, d):
@@ -76,29 +76,30 @@ def normalised_paragraphs(spark, d):
     return p.select("book_id", "line_no", F.sha2(T.normal_export(F.col("text"), [("coins", "pennies")]), 256).alias("h"))
 
 
+def _records(spark, d, anonymous: bool = False):
+    meta = table(spark, d, "epub_books").select("book_id", F.col("title").alias("book"), "author")
+    return K.records(K.clean(_paras(spark, d), "book_id"), "book_id", _texts(spark, d), _chapters(spark, d), meta, anonymous)
+
+
 def corpus_records(spark, d):
     """AGG-16, AGG-20, FN-01, FN-08, FIL-13, FIL-14: the export, one record for each chapter."""
-    meta = table(spark, d, "epub_books").select("book_id", F.col("title").alias("book"), "author")
-    r = K.records(K.clean(_paras(spark, d), "book_id"), "book_id", _texts(spark, d), _chapters(spark, d), meta)
-    return r.select("book_id", "id", "title", "chars", "content_hash", "source_hash", F.array_join("warnings", ",").alias("warnings"))
+    r = _records(spark, d)
+    return r.select("book_id", "id", "chapter_index", "title", "offset", "chars", "cleaned_sha256", "source_sha256", F.array_join("warnings", ",").alias("warnings"))
 
 
 def corpus_anonymous(spark, d):
     """FN-09."""
-    meta = table(spark, d, "epub_books").select("book_id", F.col("title").alias("book"), "author")
-    r = K.records(K.clean(_paras(spark, d), "book_id"), "book_id", _texts(spark, d), _chapters(spark, d), meta, anonymous=True)
-    return r.select("book_id", "id", "book", "author", "title")
+    return _records(spark, d, anonymous=True).select("book_id", "id", "book", "author", "title")
 
 
 def corpus_jsonl(spark, d):
     """SNK-01, SNK-02, FN-10: the records as JSON lines."""
-    meta = table(spark, d, "epub_books").select("book_id", F.col("title").alias("book"), "author")
-    return K.to_jsonl(K.records(K.clean(_paras(spark, d), "book_id"), "book_id", _texts(spark, d), _chapters(spark, d), meta))
+    return K.to_jsonl(_records(spark, d))
 
 
 def packed_chunks(spark, d, target: int = 500):
-    """WIN-15, STRF-21."""
-    return K.chunks(K.clean(_paras(spark, d), "book_id"), "book_id", target).select("book_id", "chapter", "chunk", "offset", "chars", F.sha2("text", 256).alias("h"))
+    """WIN-15, STRF-21, SNK-01."""
+    return K.chunks(K.clean(_paras(spark, d), "book_id"), "book_id", target).select("book_id", "chapter", F.col("chunk").cast("long").alias("chunk"), "offset", "chars", F.sha2("text", 256).alias("h"))
 
 
 def chapter_ranges(spark, d):
@@ -159,7 +160,7 @@ QUERIES = {f.__name__: f for f in _N}
 _W = T.WHITE.replace("'", "''")
 _WC = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in T.WHITE) + "]"
 _L = "l as (select book_id, generate_subscripts(string_split(flat_text, chr(10)), 1) - 1 line_no, unnest(string_split(flat_text, chr(10))) line from epub_books), o as (select *, coalesce(sum(length(line) + 1) over (partition by book_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint \"offset\" from l)"
-_PA = _L + f", p as (select book_id, line_no, trim(line, '{_W}') as text, \"offset\" + length(line) - length(ltrim(line, '{_W}')) as \"offset\" from o where trim(line, '{_W}') <> '')"
+_PA = _L + f", p as (select book_id, line_no, trim(line, '{_W}') as text, \"offset\" from o where trim(line, '{_W}') <> '')"
 _CH = "ch as (select distinct book_id, idx, title, char_offset from chapters)"
 _PC = f"{_PA}, {_CH}, pc as (select p.*, coalesce(c.idx, f.idx, 0) chapter, case when c.idx is not null then c.title else f.title end title from p asof left join (select * from ch) c on p.book_id = c.book_id and p.\"offset\" >= c.char_offset left join (select book_id, min(idx) idx, arg_min(title, idx) title from ch group by 1) f on f.book_id = p.book_id)"
 _DT = f"{_PC}, dt as (select *, line_no = min(line_no) over (partition by book_id, chapter) and text = trim(title, '{_W}') as is_title from pc), lv as (select * from dt where not coalesce(is_title, false))"
@@ -168,7 +169,7 @@ _PROMO = " or ".join(f"regexp_matches(t, '{p}')" for p in [x.replace("(?![0-9A-Z
 _CUT = "t"
 for _p in K.PROMO:
     _CUT = f"regexp_replace({_CUT}, '{_p.replace('(?![0-9A-Za-z_])', chr(92) + 'b').replace(chr(92) + 'z', '$')}', '', 'g')"
-_HP = "[\\p{Han}，。！？；：、“”‘’（）《》【】…—]"
+_HP = "[\\p{Han}，。！？；：、「」『』（）《》…—]"
 
 
 def _spaces(x: str) -> str:
@@ -178,7 +179,7 @@ def _spaces(x: str) -> str:
 
 
 def _normal(x: str) -> str:
-    x = f"regexp_replace(replace({x}, 'coins', 'pennies'), '[.。．·]{{3,}}|…{{3,}}', '……', 'g')"
+    x = f"regexp_replace({x}, '[.。．·]{{3,}}|…{{3,}}', '……', 'g')"
     for c in "！？~～—":
         x = f"regexp_replace({x}, '{c}{{3,}}', '{c}', 'g')"
     for a, b in ((",", "，"), (";", "；"), (":", "："), ("!", "！"), ("\\?", "？")):
@@ -186,15 +187,49 @@ def _normal(x: str) -> str:
     return _spaces(x)
 
 
+_ED = f"""{_DT}, e as (select *, line_no = min(line_no) over (partition by book_id, chapter) is_first, line_no = max(line_no) over (partition by book_id, chapter) is_last,
+  regexp_replace(regexp_replace(text, '{_WC}', '', 'g'), '[0-9零〇一二三四五六七八九十百千万]+', '#', 'g') k from lv),
+f as (select *, sum(is_first::int) over (partition by book_id, k) fc, sum(is_last::int) over (partition by book_id, k) lc, sum(is_first::int) over (partition by book_id) nch from e),
+ed as (select *, nch >= 3 and length(text) <= 40 and ((is_first and fc >= greatest(3, nch // 3)) or (is_last and lc >= greatest(3, nch // 3))) edge from f)"""
+_NOTES = " or ".join(f"regexp_matches(text, '{x}')" for x in K.AUTHOR_NOTES)
+# every pass of the cleaning: lv (titles gone), ed (edges told), nt and tl (notes), gg (promotion cut), z (normal marks; '' goes)
+_ALL = f"""{_ED}, nt as (select *, ({_NOTES}) m, row_number() over (partition by book_id, chapter order by line_no) - 1 p, count(*) over (partition by book_id, chapter) n from ed where not edge),
+tl as (select *, max((m and p >= n - greatest(3, n // 5))::int) over (partition by book_id, chapter order by line_no rows unbounded preceding) = 1 tail from nt),
+cc as (select *, ({_PROMO}) hit, {_spaces(_CUT)} cut from (select *, text t from tl where not m and not tail)),
+gg as (select *, hit and length(t) > 60 and cut <> '' rw, case when not hit then t when length(t) > 60 and cut <> '' then cut end t2 from cc),
+z as (select *, {_normal("t2")} fin from gg where t2 is not null), live as (select * from z where fin <> '')"""
+_REC = f"""{_ALL}, body as (select book_id, chapter, max(title) title, min("offset") "offset", string_agg(fin, chr(10) || chr(10) order by line_no) as text from live group by 1, 2),
+sl as (select ch.book_id, idx, flat_text, substring(flat_text, char_offset + 1, greatest(coalesce(lead(char_offset) over (partition by ch.book_id order by idx), length(flat_text)) - char_offset, 0)) s from ch join epub_books e on e.book_id = ch.book_id),
+rec as (select b.book_id, 'sha256:' || sha256(e.flat_text) doc, 'chapter-' || lpad(chapter::varchar, greatest(4, length(chapter::varchar))::int, '0') cid, chapter, coalesce(b.title, '') title, b.text, "offset", sha256(s) src, contains(s, chr(65533)) lost, coalesce(e.title, '') book, coalesce(e.author, '') author
+  from body b join sl on sl.book_id = b.book_id and sl.idx = b.chapter join epub_books e on e.book_id = b.book_id)"""
+_SENT = "[。！？…][」』】）\"'']*"
+_PACK = f"""with recursive {_ALL}, sp as (select book_id, chapter, line_no, "offset", fin, length(fin) > 500 and regexp_matches(fin, '{_SENT}') big, regexp_extract_all(fin, '(?s).*?{_SENT}|.+') segs from live),
+rs as (select book_id, line_no, segs, 1 i, segs[1] acc from sp where big union all select book_id, line_no, segs, i + 1, case when length(acc) >= 500 then segs[i + 1] else acc || segs[i + 1] end from rs where i < len(segs)),
+pz as (select book_id, chapter, line_no, "offset", 0 part, fin piece from sp where not big union all
+  select sp.book_id, chapter, sp.line_no, "offset", i, trim(acc, '{_W}') from sp join rs on rs.book_id = sp.book_id and rs.line_no = sp.line_no where length(acc) >= 500 or (i = len(rs.segs) and trim(acc, '{_W}') <> '')),
+pk as (select *, row_number() over (partition by book_id, chapter order by line_no, part) k from pz),
+gr as (select book_id, chapter, k, 0::bigint chunk, length(piece) n from pk where k = 1 union all
+  select pk.book_id, pk.chapter, pk.k, case when gr.n + length(piece) > 500 then chunk + 1 else chunk end, case when gr.n + length(piece) > 500 then length(piece) else gr.n + length(piece) end from gr join pk on pk.book_id = gr.book_id and pk.chapter = gr.chapter and pk.k = gr.k + 1),
+ck as (select pk.book_id, pk.chapter, chunk, arg_min("offset", pk.k) "offset", string_agg(piece, chr(10) || chr(10) order by pk.k) as text from pk join gr on gr.book_id = pk.book_id and gr.chapter = pk.chapter and gr.k = pk.k group by 1, 2, 3)"""
 SQL = {
+    "clean_stats": f"""with {_ALL}, n as (select book_id, sum(length(text)) chars_in, count(*) n from pc group by 1),
+lv2 as (select book_id, sum(length(fin)) chars_out, count(*) n, count(distinct chapter) records from live group by 1), w as (select book_id, sum(rw::int + (fin <> '' and fin <> t2)::int) rewritten from z group by 1),
+g as (select book_id, count(*) chapters, count(*) = 1 and trim(min(title), '{_W}') in ('正文', '全文', '未分章') generic from ch group by 1)
+select n.book_id, coalesce(chapters, 0) chapters, chars_in::bigint chars_in, coalesce(chars_out, 0)::bigint chars_out, n.n - coalesce(l.n, 0) dropped, coalesce(rewritten, 0)::bigint rewritten, coalesce(records, 0) records, length(flat_text) - length(replace(flat_text, chr(65533), '')) lost_chars, coalesce(generic, false) generic_structure
+from n join epub_books e on e.book_id = n.book_id left join lv2 l on l.book_id = n.book_id left join w on w.book_id = n.book_id left join g on g.book_id = n.book_id""",
+    "corpus_records": f"with {_REC} select book_id, doc || '/' || cid id, chapter chapter_index, title, \"offset\", length(text) chars, sha256(text) cleaned_sha256, src source_sha256, case when lost then 'replacement_character' end warnings from rec",
+    "corpus_anonymous": f"with {_REC} select book_id, doc || '/' || cid id, 'document-' || substring(doc, 8, 12) book, '' author, cid title from rec",
+    "corpus_jsonl": f"""with {_REC} select replace(replace('{{"schema_version":1,"id":"' || doc || '/' || cid || '","document_id":"' || doc || '","chapter_id":"' || cid || '","chapter_index":' || chapter || ',"title":' || to_json(title) || ',"text":' || to_json(text) || ',"metadata":{{"book":' || to_json(book) || case when author <> '' then ',"author":' || to_json(author) else '' end ||
+'}},"cleaning":{{"promo":true,"edge_lines":true,"normalise":true,"author_notes":true,"anonymized":false' || case when lost then ',"warnings":["replacement_character"]' else '' end || '}},"offset":' || "offset" || ',"chars":' || length(text) || ',"source_sha256":"' || src || '","cleaned_sha256":"' || sha256(text) || '"}}', chr(8232), '\\u2028'), chr(8233), '\\u2029') as "value" from rec""",
+    "packed_chunks": f"{_PACK} select book_id, chapter, chunk, \"offset\", length(text) chars, sha256(text) h from ck",
     "lines_with_offsets": f"with {_L} select book_id, line_no, \"offset\", length(line) n from o",
     "paragraphs_with_offsets": f"with {_PA} select book_id, line_no, \"offset\", sha256(text) h from p",
     "paragraphs_in_chapters": f"with {_PC} select book_id, line_no, chapter, length(text) n from pc",
     "title_lines": f"with {_DT} select book_id, chapter, line_no from dt where is_title",
-    "edge_lines": f"with {_DT}, e as (select *, line_no = min(line_no) over (partition by book_id, chapter) is_first, line_no = max(line_no) over (partition by book_id, chapter) is_last, regexp_replace(regexp_replace(text, '{_WC}', '', 'g'), '[0-9零〇一二三四五六七八九十百千万]+', '#', 'g') k from lv), f as (select *, sum(is_first::int) over (partition by book_id, k) fc, sum(is_last::int) over (partition by book_id, k) lc, sum(is_first::int) over (partition by book_id) nch from e) select book_id, chapter, line_no, text from f where nch >= 3 and length(text) <= 40 and ((is_first and fc >= greatest(3, nch // 3)) or (is_last and lc >= greatest(3, nch // 3)))",
+    "edge_lines": f"with {_ED} select book_id, chapter, line_no, text from ed where edge",
     "author_notes": f"with {_DT}, m as (select *, ({' or '.join(f'regexp_matches(text, {chr(39)}{x}{chr(39)})' for x in [*K.AUTHOR_NOTES, '^Share this', '^Enjoying the story', '^求推荐票'])}) m, row_number() over (partition by book_id, chapter order by line_no) - 1 p, count(*) over (partition by book_id, chapter) n from lv), t as (select *, max((m and p >= n - greatest(3, n // 5))::int) over (partition by book_id, chapter order by line_no rows unbounded preceding) = 1 as tail from m) select book_id, chapter, line_no from t where m or tail",
     "promo_clean_stats": f"with l as (select doc_id, unnest(string_split(text, chr(10))) line from documents), p as (select doc_id, trim(line, '{_W}') t from l where trim(line, '{_W}') <> ''), c as (select doc_id, t, ({_PROMO}) hit, {_spaces(_CUT)} cut from p), g as (select *, hit and (length(t) <= 60 or cut = '') gone from c) select doc_id, sum(length(t))::bigint chars_in, coalesce(sum(case when gone then 0 when hit then length(cut) else length(t) end), 0)::bigint chars_out, count(*) filter (gone) dropped, count(*) filter (hit and not gone) rewritten from g group by 1",
-    "normalised_paragraphs": f"with {_PA} select book_id, line_no, sha256({_normal('text')}) h from p",
+    "normalised_paragraphs": f"with {_PA} select book_id, line_no, sha256({_normal("replace(text, 'coins', 'pennies')")}) h from p",
     "chapter_ranges": f"with {_CH} select ch.book_id, idx, char_offset as start, coalesce(lead(char_offset) over (partition by ch.book_id order by idx), length(flat_text)) as stop from ch join epub_books e on e.book_id = ch.book_id",
     "chapter_slices": f"with {_CH}, r as (select ch.book_id, idx, flat_text, char_offset a, coalesce(lead(char_offset) over (partition by ch.book_id order by idx), length(flat_text)) b from ch join epub_books e on e.book_id = ch.book_id) select book_id, idx, length(substring(flat_text, a + 1, greatest(b - a, 0))) n, sha256(substring(flat_text, a + 1, greatest(b - a, 0))) h from r",
     "byte_offsets": f"with {_CH} select ch.book_id, idx, strlen(substring(flat_text, 1, char_offset)) byte_offset from ch join epub_books e on e.book_id = ch.book_id",
