@@ -128,3 +128,11 @@ def chapter_number(title: Column) -> Column:
 
     han = F.aggregate(F.split(run, "(?<=.)(?=.)"), start, step, lambda a: a["total"] + a["digit"])
     return F.when(run == "", None).when(run.rlike("^[0-9]+\\z"), run.try_cast("long")).when(~run.rlike("[0-9]") & (han > 0), han)
+
+
+def cover(title: Column, author: Column) -> tuple[Column, Column]:
+    """(number of the palette's colour, label) of a book without a cover."""
+    title, author = F.coalesce(title, F.lit("")), F.coalesce(author, F.lit(""))
+    seed = btrim(F.concat(title, F.lit("\0"), author))
+    seed = F.when(seed.isin("\0", ""), "zreader").otherwise(seed)
+    return fnv1a(seed) % 8, F.coalesce(F.nullif(F.upper(F.substring(btrim(title), 1, 1)), F.lit("")), F.lit("书"))

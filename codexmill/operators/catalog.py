@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.operators.skew import previous, running_sum
+from codexmill.operators.skew import previous, running_sum, sorted_fold
 
 # Reading states, job states, palette size and limits of the catalog.
 READING = ("unread", "reading", "finished", "paused")
@@ -74,6 +74,16 @@ def duplicate_members(books: DataFrame) -> DataFrame:
     return books.join(g, "file_hash").select("file_hash", "n", "id", "title")
 
 
+def ascii_lower(c: Column) -> Column:
+    """Lower case of ASCII letters only, as orders of names have it."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def public_message(c: Column) -> Column:
+    """A message without the folders of the paths in it."""
+    return F.trim(F.regexp_replace(F.trim(c), r"(?:[A-Za-z]:)?(?:[\\/][^\\/\s:]+)*[\\/]", ""))
+
+
 def tags_of(books: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tags, book_tags) from the books' category and format."""
     pairs = books.select(F.col("id").alias("book_id"), F.explode(F.array("category", "format")).alias("name")).where("name is not null and trim(name) <> ''").select("book_id", F.trim("name").alias("name")).distinct()
@@ -149,17 +159,53 @@ def recent_shelf(books: DataFrame, latest: DataFrame, user_id: str) -> DataFrame
     return books.join(p, books.id == p.book_id, "left").select("id", "title", F.coalesce("read_at", F.lit(0)).alias("read_at"), "scanned_at")
 
 
+def attempt(state: tuple[int, int, int, bool], t: int, ok: bool, gap: int, limit: int) -> tuple[tuple[int, int, int, bool], tuple | None]:
+    """One attempt against (failures, first, last, open): (new state, the session that ended by it or None).
+
+    An attempt while blocked, successful or not, does not count; a gap or a success ends a session."""
+    n, first, last, _ = state
+    if n and t > last + gap:
+        done, n = (first, last, n, n >= limit), 0
+    else:
+        done = None
+        if n >= limit:
+            return state, None
+    if ok:
+        return (0, 0, 0, False), done or ((first, last, n, False) if n else None)
+    return (n + 1, t if n == 0 else first, t, True), done
+
+
 def throttle(events: DataFrame, gap: int = 60, limit: int = 5) -> DataFrame:
-    """Sessions of failures per key: a gap of more than `gap` seconds starts a new one; blocked from the limit-th failure.
+    """Sessions of failures per key (key, t, ok): blocked from the limit-th failure until `gap` seconds after it.
 
-    Input (key, t, ok). A success clears the count like a gap does. Islands by a running sum; both levels of it run
-    over days of a key, so that a key with a third of all attempts is split. Rows that are equal in t and ok are alike."""
+    What lies more than a gap apart is independent, so a key's attempts are cut at such gaps first, by days that are
+    counted apart, and each stretch is folded on its own. Rows that are equal in t and ok are alike."""
     rows = previous(events.withColumn("day", F.floor(F.col("t") / 86_400)), "key", "day", ["t", "ok"], ["t", "ok"])
     prev = F.col("prev")
-    rows = rows.withColumn("starts", (prev.isNull() | (F.col("t") - prev["t"] > gap) | F.coalesce(prev["ok"], F.lit(False))).cast("int"))
-    rows = running_sum(rows, "key", "day", ["t", "ok"], F.col("starts")).withColumn("island", F.col("before") + F.col("starts"))
-    out = rows.groupBy("key", "island").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count_if(~F.col("ok")).alias("failures"))
-    return out.where("failures > 0").select("key", "first_t", "last_t", "failures", (F.col("failures") >= limit).alias("blocked"))
+    rows = rows.withColumn("starts", (prev.isNull() | (F.col("t") - prev["t"] > gap)).cast("int"))
+    rows = running_sum(rows, "key", "day", ["t", "ok"], F.col("starts")).withColumn("stretch", F.col("before") + F.col("starts"))
+
+    def step(state, row):
+        state, done = attempt(state, int(row.t), bool(row.ok), gap, limit)
+        return state, [done] if done else []
+
+    def end(state):
+        n, first, last, _ = state
+        return [(first, last, n, n >= limit)] if n else []
+
+    kind = events.schema["key"].dataType.simpleString()
+    got = sorted_fold(rows.select("key", "stretch", "t", "ok"), ["key", "stretch"], ["t", "ok"], lambda: (0, 0, 0, False), step, end, f"key {kind}, stretch long, first_t long, last_t long, failures long, blocked boolean")
+    return got.drop("stretch")
+
+
+def paced(reports: DataFrame, wait: int = 200) -> DataFrame:
+    """Progress reports of jobs (job_id, t in milliseconds, done, total) that are written: the first, those at least `wait` after the last written one, and the final one."""
+
+    def step(last, row):
+        keep = last is None or row.t - last >= wait or row.done == row.total
+        return (int(row.t), [(int(row.t), int(row.done), int(row.total))]) if keep else (last, [])
+
+    return sorted_fold(reports.select("job_id", "t", "done", "total"), ["job_id"], ["t", "done"], lambda: None, step, lambda _: [], "job_id long, t long, done long, total long")
 
 
 def live_sessions(sessions: DataFrame, users: DataFrame, now: int) -> DataFrame:
@@ -208,9 +254,12 @@ def evolve(df: DataFrame, wanted: dict[str, tuple[str, object]]) -> DataFrame:
 def merge_progress(log: DataFrame) -> DataFrame:
     """Optimistic writes applied in order of arrival for each (user, book): a write whose base is older than the stored version is refused.
 
-    Input (user_id, book_id, seq, base, updated_at, char_offset); base null or 0 always wins. Gives the accepted last
-    write and the number of refused ones. A fold over the key's own writes, in the JVM."""
-    rows = log.groupBy("user_id", "book_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("base", F.lit(0)).alias("base"), "updated_at", "char_offset"))).alias("w"))
+    Input (user_id, book_id, seq, base, updated_at, char_offset), with `legacy`, the version that older clients send, if
+    there is such a column; a base that is null or 0 gives way to it, and without either a write always wins. Gives the
+    last accepted write and the number of refused ones. A fold over the writes of one user to one book, in the JVM."""
+    legacy = F.col("legacy") if "legacy" in log.columns else F.lit(None).cast("long")
+    base = F.coalesce(F.nullif("base", F.lit(0)), legacy, F.lit(0)).alias("base")
+    rows = log.groupBy("user_id", "book_id").agg(F.sort_array(F.collect_list(F.struct("seq", base, "updated_at", "char_offset"))).alias("w"))
     start = F.struct(F.lit(0).cast("long").alias("version"), F.lit(None).cast("long").alias("char_offset"), F.lit(0).cast("long").alias("refused"))
 
     def step(acc, x):

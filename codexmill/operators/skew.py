@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +67,43 @@ def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, limi
         return met
     rest = big.where(~known)
     return met.unionByName(rest, allowMissingColumns=True)
+
+
+def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df in the given order, with `rank` from 1: a range sort, its partitions' sizes added up, places within them.
+
+    No task holds more than its range; the sizes are one row for each partition."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialise(df.orderBy(*order).select("*", F.spark_partition_id().alias("_p"), place.alias("_i")), "ranked")
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sizes), "_p").withColumn("rank", F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_before").orderBy("rank")
+
+
+def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, end: Callable, schema: str) -> DataFrame:
+    """A sequential fold over each key's rows in order, for what depends on all rows before it.
+
+    Rows stream through sorted partitions: state is kept for the key at hand only, whatever the size of its group.
+    start() gives a state, step(state, row) gives (state, rows to emit), end(key, state) the rows at a key's end; emitted
+    rows are tuples behind the key's values."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for b in batches:
+            out: list[tuple] = []
+            for row in b.itertuples(index=False):
+                k = tuple(row[: len(keys)])
+                if k != key:
+                    if key is not None:
+                        out += [(*key, *x) for x in end(state)]
+                    key, state = k, start()
+                state, emitted = step(state, row)
+                out += [(*k, *x) for x in emitted]
+            yield pd.DataFrame(out, columns=names)
+        if key is not None:
+            yield pd.DataFrame([(*key, *x) for x in end(state)], columns=names)
+
+    cols = [*keys, *[c for c in df.columns if c not in keys]]
+    return df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(part, schema)

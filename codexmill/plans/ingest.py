@@ -25,15 +25,16 @@ def encoding_labels(spark, d):
 
 
 def decoded_texts(spark, d):
-    """SRC-04..10: the texts as GB18030 bytes (every Unicode text has some), decoded again."""
+    """SRC-04..10: the texts as bytes with a byte order mark (UTF-8, UTF-16 of both orders) or as GB18030, by book, decoded again."""
     e = table(spark, d, "epub_books").select("book_id", "flat_text")
 
-    def encode(s):
-        return s.map(lambda t: None if t is None else t.encode("gb18030", "replace"))
+    def encode(k, s):
+        forms = (("utf-8-sig", b""), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("gb18030", b""), ("gb18030", b""))
+        return pd.Series([None if t is None else forms[i % 5][1] + t.replace("\ufffd", "?").encode(forms[i % 5][0], "replace") for i, t in zip(k, s)])
 
-    encode.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    gb = F.pandas_udf(encode, "binary")
-    return e.select("book_id", D.decoded(gb("flat_text")).alias("r")).select("book_id", "r.encoding", F.length("r.text").cast("long").alias("n"))
+    encode.__annotations__ = {"k": pd.Series, "s": pd.Series, "return": pd.Series}
+    as_bytes = F.pandas_udf(encode, "binary")
+    return e.select("book_id", D.decoded(as_bytes("book_id", "flat_text")).alias("r")).select("book_id", "r.encoding", F.length("r.text").cast("long").alias("n"))
 
 
 def epub_round_trip(spark, d):
@@ -75,5 +76,5 @@ SQL = {
     "encoding_labels": "select distinct id, scanned_at, path, case lower(trim(encoding)) when 'gb-18030' then 'gb18030' when 'gbk' then 'gb18030' when 'gb2312' then 'gb18030' when 'windows-1252' then 'cp1252' when 'iso-8859-1' then 'cp1252' when 'utf8' then 'utf-8' else lower(trim(encoding)) end encoding from books",
     "xml_bodies": f"with p as (select id, trim(title, '{_W}') t, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda x: trim(x, '{_W}')), lambda x: x <> '') ps from epub_sections), q as (select id, case when len(ps) > 0 and ps[1] = t then ps[2:] else ps end ps from p) select id, len(ps)::int n, sha256(array_to_string(list_transform(ps, lambda x: '<p>' || replace(replace(replace(replace(replace(regexp_replace(x, '[^\\t\\n\\r\\x{{20}}-\\x{{d7ff}}\\x{{e000}}-\\x{{fffd}}\\x{{10000}}-\\x{{10ffff}}]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&#34;'), chr(39), '&#39;') || '</p>'), '')) h from q",
     "safe_names": f"with f as (select distinct id, title || ' - ' || coalesce(author, 'x/y:z') as f from books) select id, {_SAFE(f'''trim(regexp_extract(f, '(?s)^(.*) - (.*)$', 1), '{_W}')''')} title, {_SAFE(f'''trim(regexp_extract(f, '(?s)^(.*) - (.*)$', 2), '{_W}')''')} author from f",
-    "decoded_texts": "select book_id, case when length(flat_text) = strlen(flat_text) then 'utf-8' else 'gb18030' end encoding, length(flat_text) n from epub_books",
+    "decoded_texts": "select book_id, case book_id % 5 when 0 then 'utf-8' when 1 then 'utf-16le' when 2 then 'utf-16be' else case when length(flat_text) = strlen(flat_text) then 'utf-8' else 'gb18030' end end encoding, length(flat_text) n from epub_books",
 }

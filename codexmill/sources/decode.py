@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The order in which decoders are tried, and the labels that mean the same.
-CHAIN = ("utf-8", "gb18030", "big5")
+CHAIN = ("gb18030", "big5")
 LABELS = {"gb-18030": "gb18030", "gbk": "gb18030", "gb2312": "gb18030", "windows-1252": "cp1252", "iso-8859-1": "cp1252", "utf8": "utf-8"}
 
 
@@ -25,6 +28,24 @@ def garbled(text: str) -> bool:
     return text.count("�") * 100 > len(text.encode("utf-8", "replace"))
 
 
+# Byte pairs of characters that are frequent in GB 2312 (first level) and in Big5 (first level), with their full-width marks.
+_GB, _BIG5 = re.compile(rb"[\xb0-\xd7][\xa1-\xfe]|[\xa1\xa3][\xa1-\xfe]"), re.compile(rb"[\xa4-\xc6][\x40-\x7e\xa1-\xfe]|\xa1[\x40-\x7e\xa1-\xfe]")
+_FOUR = re.compile(rb"[\x81-\xfe][0-9][\x81-\xfe][0-9]")
+_PAIR, _HIGH = re.compile(rb"[\x81-\xfe][\x40-\x7e\x80-\xfe]"), re.compile(rb"[\x80-\xff]+")
+
+
+def likely(data: bytes) -> str:
+    """The most likely charset of bytes that are no UTF-8: Western where high bytes stand alone among ASCII letters, else the Chinese one whose frequent characters make up more of the pairs."""
+    runs = _HIGH.findall(data)
+    if len(_FOUR.findall(data)) * 4 >= len(runs):
+        return "gb18030"
+    if sum(len(r) == 1 for r in runs) * 10 >= len(runs) * 8 and sum(map(len, runs)) * 4 < len(data):
+        return "cp1252"
+    pairs = _PAIR.findall(data)
+    gb, big5 = (sum(p.fullmatch(x) is not None for x in pairs) for p in (_GB, _BIG5))
+    return "big5" if big5 > gb else "gb18030"
+
+
 def decode(data: bytes) -> tuple[str, str]:
     """(encoding, text) of a file's bytes; 'utf-8?' with '?' for bad bytes where nothing fits."""
     if not data:
@@ -38,25 +59,23 @@ def decode(data: bytes) -> tuple[str, str]:
                 return name, text
     if data.isascii():
         return "utf-8", data.decode("ascii")
-    for name in CHAIN:
+    try:
+        return "utf-8", data.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
+    guess = likely(data)
+    for name in (guess, *[x for x in CHAIN if x != guess]):
         try:
             text = data.decode(name)
         except UnicodeDecodeError:
-            if name == "utf-8":
-                continue
             text = data.decode(name, "replace")
             if garbled(text):
                 continue
         return name, text
-    out, at = [], 0
-    while at < len(data):
-        try:
-            out.append(data[at:].decode("utf-8"))
-            break
-        except UnicodeDecodeError as e:
-            out += [data[at : at + e.start].decode("utf-8"), "?"]
-            at += e.end
-    return "utf-8?", "".join(out)
+    return "utf-8?", data.decode("utf-8", "one-mark")
+
+
+codecs.register_error("one-mark", lambda e: ("?", e.end))
 
 
 def decoded(column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from codexmill.operators.catalog import attempt
+from codexmill.session import shared_dir
+
 
 def merge_progress(stream: DataFrame) -> DataFrame:
     """Accepted writes of (user_id, book_id, seq, base, updated_at, char_offset), state kept by key: the version and the refused count.
@@ -41,19 +45,27 @@ def throttle(stream: DataFrame, gap: int = 60, limit: int = 5) -> DataFrame:
     """(key, failures, blocked_until) after each attempt (key, t, ok): attempts while blocked do not count, a success clears, and so does a gap."""
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, 0)
+        own = tuple(state.get) if state.exists else (0, 0, 0, False)
         for b in batches:
             for r in b.sort_values("t").itertuples():
-                if n >= limit and r.t <= last + gap:
-                    continue
-                if r.ok or (n and r.t - last > gap):
-                    n = 0
-                if not r.ok:
-                    n, last = n + 1, int(r.t)
-        state.update((n, last))
+                own, _ = attempt(own, int(r.t), bool(r.ok), gap, limit)
+        state.update(own)
+        n, _, last, _ = own
         yield pd.DataFrame({"key": [key[0]], "failures": [n], "blocked_until": [last + gap if n >= limit else 0]})
 
-    return stream.groupBy("key").applyInPandasWithState(fold, "key long, failures long, blocked_until long", "n long, last long", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("key").applyInPandasWithState(fold, "key long, failures long, blocked_until long", "n long, first long, last long, open boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+def drain(stream: DataFrame, keys: list[str], values: list[str], name: str) -> DataFrame:
+    """Runs an aggregating stream over all that is there and gives each key's last values.
+
+    Updates go to files in the shared folder, batch by batch; nothing is held on the driver."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    run = stream.writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{path}/rows"))
+    run.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in stream.dtypes)}, _batch long").parquet(f"{path}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
 
 
 def windowed_activity(stream: DataFrame, time: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
