@@ -28,8 +28,8 @@ def garbled(text: str) -> bool:
     return text.count("�") * 100 > len(text.encode("utf-8", "replace"))
 
 
-# Byte pairs of characters that are frequent in GB 2312 (first level) and in Big5 (first level), with their full-width marks.
-_GB, _BIG5 = re.compile(rb"[\xb0-\xd7][\xa1-\xfe]|[\xa1\xa3][\xa1-\xfe]"), re.compile(rb"[\xa4-\xc6][\x40-\x7e\xa1-\xfe]|\xa1[\x40-\x7e\xa1-\xfe]")
+# Byte pairs of characters that are frequent in GB 2312 (first level) and in Big5 (first level), with marks and letters of their width.
+_GB, _BIG5 = re.compile(rb"[\xb0-\xd7][\xa1-\xfe]|[\xa1-\xa9][\xa1-\xfe]"), re.compile(rb"[\xa4-\xc6][\x40-\x7e\xa1-\xfe]|\xa1[\x40-\x7e\xa1-\xfe]")
 _FOUR = re.compile(rb"[\x81-\xfe][0-9][\x81-\xfe][0-9]")
 _PAIR, _HIGH = re.compile(rb"[\x81-\xfe][\x40-\x7e\x80-\xfe]"), re.compile(rb"[\x80-\xff]+")
 
