@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> DuckDB text).
-MODULES = ("plans.catalog", "plans.text", "plans.structure", "plans.ingest", "plans.relational", "plans.library")
+MODULES = ("plans.catalog", "plans.text", "plans.structure", "plans.ingest", "plans.relational", "plans.library", "plans.service")
 
 
 def _merged(attr: str) -> dict:
