@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,18 +24,27 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)\z", 1))
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The supported files at the top of a folder, dot files left out, with their fingerprints.
+def roots(value: str) -> list[str]:
+    """Folders of a list as the environment has it: apart by the system's separator, blanks off, each once."""
+    return list(dict.fromkeys(p for x in value.split(os.pathsep) if (p := x.strip())))
+
+
+def scan(spark: SparkSession, folder: str, paths: list[str] | None = None) -> DataFrame:
+    """The supported files at the top of a folder (or the ones named, and no others), dot files left out, with their fingerprints.
 
     binaryFile splits by file, so a file's bytes are read by one task and never reach the driver."""
-    files = spark.read.format("binaryFile").load(folder)
+    files = spark.read.format("binaryFile").load(folder if paths is None else paths)
     name = F.regexp_extract("path", r"([^/]+)\z", 1)
     ok = extension(F.col("path")).isin(*EXTENSIONS) & ~name.startswith(".")
     return files.where(ok).select("path", name.alias("file"), extension(F.col("path")).alias("format"), F.col("length").alias("size_bytes"), F.unix_timestamp("modificationTime").alias("file_mtime"), F.sha2(F.substring("content", 1, HEAD), 256).alias("file_hash"), "content")
 
 
-def ingest(files: DataFrame) -> DataFrame:
-    """One row for each file: encoding, metadata, text, chapters of EPUB files; an error instead where it cannot be read."""
+def ingest(files: DataFrame, converters: dict[str, Callable[[bytes], bytes]] | None = None) -> DataFrame:
+    """One row for each file: encoding, metadata, text, chapters of EPUB files; an error instead where it cannot be read.
+
+    `converters` has, for a format, a function from a file's bytes to those of an EPUB (an external converter, or optical
+    recognition for PDF files without a text layer; sources.convert makes one of a command). It is asked where the
+    format's own reader fails. If files have a column `sidecar` (JSON text), its chapters replace the found ones."""
     schema = "path string, file string, format string, size_bytes long, file_mtime long, file_hash string, encoding string, title string, author string, text string, chapters array<struct<title:string,level:int,char_offset:long>>, error string"
 
     def one(fmt: str, data: bytes) -> dict:
@@ -50,13 +60,24 @@ def ingest(files: DataFrame) -> DataFrame:
             return {"encoding": "utf-8", **{k: v for k, v in pdf.read(data).items() if k != "pages"}}
         return mobi.read(data)
 
+    def converted(fmt: str, data: bytes) -> dict:
+        try:
+            return one(fmt, data)
+        except Exception:
+            if fmt not in (converters or {}):
+                raise
+            return one("epub", converters[fmt](data))
+
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples():
                 row = {"path": r.path, "file": r.file, "format": r.format, "size_bytes": r.size_bytes, "file_mtime": r.file_mtime, "file_hash": r.file_hash, "encoding": None, "title": None, "author": None, "text": None, "chapters": None, "error": None}
                 try:
-                    row |= one(r.format, bytes(r.content))
+                    row |= converted(r.format, bytes(r.content))
+                    side = getattr(r, "sidecar", None)
+                    if side:
+                        row["chapters"] = [{"title": t, "level": lv, "char_offset": o} for t, lv, o in sidecar_chapters(json.loads(side), row["text"])]
                 except Exception as e:  # a file that cannot be read must not end the scan
                     row["error"] = f"{type(e).__name__}: {e}"[:200]
                 out.append(row)
@@ -65,6 +86,13 @@ def ingest(files: DataFrame) -> DataFrame:
     return files.mapInPandas(part, schema)
 
 
+def with_sidecars(files: DataFrame, folder: str) -> DataFrame:
+    """Files with the text of '<stem>.chapters.json' beside them, where there is one."""
+    side = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.chapters.json").load(folder)
+    side = side.select(F.regexp_replace("path", r"\.chapters\.json\z", "").alias("stem"), F.decode("content", "UTF-8").alias("sidecar"))
+    return files.withColumn("stem", F.regexp_replace("path", r"\.[^./]+\z", "")).join(side, "stem", "left").drop("stem")
+
+
 def with_metadata(rows: DataFrame) -> DataFrame:
     """Title and author from the file's own data, else from its name."""
     t, a = T.filename_meta(F.col("file"))

@@ -102,3 +102,47 @@ def read(raw: bytes) -> dict:
                     p += max(n, 8)
             author, title = seen.get(100, ""), seen.get(503, title)
     return {"title": title.strip(), "author": author.strip(), "encoding": encoding, "text": flatten(source)}
+
+
+def pack(data: bytes) -> bytes:
+    """Bytes as a PalmDOC record: a space with a letter in one byte, counted runs of what is no literal, else literals."""
+    out = bytearray()
+    i, n = 0, len(data)
+    while i < n:
+        c = data[i]
+        if c == 0x20 and i + 1 < n and 0x40 <= data[i + 1] < 0x80:
+            out.append(data[i + 1] ^ 0x80)
+            i += 2
+        elif c == 0 or 9 <= c < 0x80:
+            out.append(c)
+            i += 1
+        else:
+            j = i
+            while j < n and j - i < 8 and (1 <= data[j] <= 8 or data[j] >= 0x80):
+                j += 1
+            out.append(j - i)
+            out += data[i:j]
+            i = j
+    return bytes(out)
+
+
+def write(title: str, author: str, source: str, record: int = 4096) -> bytes:
+    """A book of one HTML source, compressed, with its metadata."""
+    body = source.encode("utf-8")
+    parts = [pack(body[i : i + record]) for i in range(0, len(body), record)]
+    fields = [(k, v.encode("utf-8")) for k, v in ((100, author), (503, title)) if v]
+    exth = b"EXTH" + struct.pack(">II", 12 + sum(8 + len(v) for _, v in fields), len(fields)) + b"".join(struct.pack(">II", k, 8 + len(v)) + v for k, v in fields)
+    name = title.encode("utf-8")
+    head = bytearray(16 + 232)
+    struct.pack_into(">HHIHHH", head, 0, PALMDOC, 0, len(body), len(parts), record, 0)
+    head[16:20] = b"MOBI"
+    struct.pack_into(">III", head, 20, 232, 2, UTF8)
+    struct.pack_into(">II", head, 84, len(head) + len(exth), len(name))
+    struct.pack_into(">I", head, 128, 0x40)
+    recs = [bytes(head) + exth + name, *parts]
+    at, offsets = 78 + 8 * len(recs), []
+    for r in recs:
+        offsets.append(at)
+        at += len(r)
+    top = b"book".ljust(32, b"\0") + bytes(28) + b"BOOKMOBI" + bytes(8) + struct.pack(">H", len(recs))
+    return top + b"".join(struct.pack(">II", o, i) for i, o in enumerate(offsets)) + b"".join(recs)

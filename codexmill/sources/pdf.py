@@ -189,3 +189,24 @@ def read(raw: bytes) -> dict:
         raise ValueError("no text layer")
     info = {k: (lambda m: _string(m.group(1)).decode("utf-16" if m.group(1)[1:3] == b"\xfe\xff" else "latin-1") if m else "")(re.search(rb"/%s\s*(\((?:\\.|[^\\()])*\))" % k.encode(), raw, re.S)) for k in ("Title", "Author")}
     return {"title": info["Title"].strip(), "author": info["Author"].strip(), "pages": len(pages), "text": text}
+
+
+def write(title: str, author: str, pages: list[list[str]]) -> bytes:
+    """A PDF of lines, page by page, with a text layer that maps back to Unicode."""
+    used = sorted({c for p in pages for s in p for c in s if ord(c) < 0x10000})
+    code = {c: i + 1 for i, c in enumerate(used)}
+    rows = "\n".join(f"<{i:04X}> <{ord(c):04X}>" for c, i in code.items())
+    to_unicode = f"{len(used)} beginbfchar\n{rows}\nendbfchar".encode()
+    info = lambda s: b"(" + b"".join(b"\\" + bytes([b]) if b in b"()\\" else bytes([b]) for b in (s.encode("latin-1") if s.isascii() else b"\xfe\xff" + s.encode("utf-16-be"))) + b")"
+    objs = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R >>", 4: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(to_unicode), to_unicode), 5: b"<< /Title %s /Author %s >>" % (info(title), info(author))}
+    kids = []
+    for p in pages:
+        k = len(objs) + 2
+        k = max(k, max(objs) + 1)
+        show = "\n".join(f"1 0 0 1 50 {800 - 15 * y} Tm <{''.join(f'{code[c]:04X}' for c in s if c in code)}> Tj" for y, s in enumerate(p) if s)
+        body = zlib.compress(f"BT /F1 10 Tf\n{show}\nET".encode())
+        objs[k] = b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(body), body)
+        objs[k + 1] = b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % k
+        kids.append(b"%d 0 R" % (k + 1))
+    objs[2] = b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(kids), len(kids))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, v) for k, v in sorted(objs.items())) + b"trailer << /Root 1 0 R /Info 5 0 R >>\n%%EOF"
