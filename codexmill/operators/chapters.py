@@ -5,6 +5,7 @@ All of it is windows and aggregates keyed by book; a book's lines are never gath
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -101,6 +102,18 @@ def detect(texts: DataFrame, key: str, text: str) -> DataFrame:
     return depth(first.unionByName(none), key)
 
 
+def by_pattern(texts: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """Chapters by one pattern of the caller's own (group 1, if there is one and it holds anything, is the title), all at level 0; a synthetic one where nothing matches."""
+    t = F.col("t")
+    rows = lines(texts, key, text).withColumn("t", T.btrim(F.col("line"))).where((t != "") & t.rlike(pattern))
+    has_group = re.compile(pattern).groups > 0
+    own = T.btrim(F.regexp_extract("t", pattern, 1)) if has_group else F.lit("")
+    found = rows.select(key, F.coalesce(F.nullif(own, F.lit("")), t).alias("title"), "offset")
+    none = texts.select(key).join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(SYNTHETIC).alias("title"), F.lit(0).cast("long").alias("offset"))
+    w = Window.partitionBy(key).orderBy("offset")
+    return found.unionByName(none).select(key, F.row_number().over(w).cast("long").alias("idx"), "title", F.lit(0).alias("level"), "offset")
+
+
 def depth(rows: DataFrame, key: str) -> DataFrame:
     """Ranks to levels: the number of wider headings that are still open, by the last places of ranks 0 and 1 before the row."""
     w = Window.partitionBy(key).orderBy("offset")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
 from codexmill.operators.catalog import READING, add_tags, remove_tags
+from codexmill.session import materialise
 
 # Lengths that notes and tags may have.
 NOTE, TAG = 500, 32
@@ -78,9 +81,21 @@ def batch(action: str, books: DataFrame, book_tags: DataFrame, ids: DataFrame, *
     return books, book_tags, failures
 
 
-def replace_children(rows: DataFrame, path: str, key: str = "book_id") -> None:
-    """Writes the rows of some books over their old ones; other books' partitions stay (dynamic overwrite)."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+BUCKETS = 64
+
+
+def replace_children(rows: DataFrame, path: str, key: str = "book_id", buckets: int = BUCKETS) -> None:
+    """Writes the rows of some books over their old ones. Books share `buckets` folders; only those that hold one of the books are written anew, each at once (dynamic overwrite)."""
+    spark = rows.sparkSession
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    try:
+        old = spark.read.parquet(path).select(new.columns)
+    except AnalysisException:  # the first time
+        old = new.where("false")
+    touched = new.select("bucket").distinct()
+    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti").select(new.columns)
+    full = materialise(kept.unionByName(new), "children")
+    full.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def touch(folders: DataFrame, folder: int, now: int) -> DataFrame:
@@ -88,17 +103,32 @@ def touch(folders: DataFrame, folder: int, now: int) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """The engine's functions in SQL: codex_fold, codex_normal, codex_flatten, codex_decode, and codex_lines as a table function."""
+    """The engine's functions in SQL: codex_fold and codex_normal (expressions of the engine itself), codex_flatten and codex_decode (Arrow batches), and codex_lines as a table function."""
     from pyspark.sql.functions import udtf
 
     from codexmill.sources.decode import decode
     from codexmill.sources.epub import EpubSource
     from codexmill.sources.html import flatten
 
-    fold = str.maketrans(*T.fold_map())
-    spark.udf.register("codex_fold", lambda s: None if s is None else s.translate(fold), "string")
-    spark.udf.register("codex_flatten", lambda s: None if s is None else flatten(s), "string")
-    spark.udf.register("codex_decode", lambda b: None if b is None else decode(bytes(b))[1], "string")
+    lit = lambda s: "r'" + s.replace("'", "\\'") + "'"
+    a, b = (x.replace("\\", "\\\\").replace("'", "\\'") for x in T.fold_map())
+    spark.sql(f"create or replace temporary function codex_fold(s string) returns string return translate(s, '{a}', '{b}')")
+    steps = [("[.。．·]{3,}|…{3,}", "……"), ("([！？~～—])\\1{2,}", "$1"), *[(f"(?<=\\p{{IsHan}}){h}", f) for h, f in ((",", "，"), (";", "；"), (":", "："), ("!", "！"), ("\\?", "？"))]]
+    steps += [(f"(?<=[\\p{{IsHan}}{T.TIGHT}]){T.WHITE_CLASS}+(?=\\p{{IsHan}})", ""), (f"{T.WHITE_CLASS}+", " "), ("^ | \\z", "")]
+    body = "s"
+    for pattern, to in steps:
+        body = f"regexp_replace({body}, {lit(pattern)}, {lit(to)})"
+    spark.sql(f"create or replace temporary function codex_normal(s string) returns string return {body}")
+
+    def flat(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else flatten(x))
+
+    def text(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else decode(bytes(x))[1])
+
+    for name, f in (("codex_flatten", flat), ("codex_decode", text)):
+        f.__annotations__ = {"s": pd.Series, "return": pd.Series}
+        spark.udf.register(name, F.pandas_udf(f, "string"))
 
     @udtf(returnType="line_no int, char_offset long, line string")
     class Lines:

@@ -77,6 +77,14 @@ def detected_metadata(spark, d):
     return M.resolve_metadata(found, files, "doc_id")
 
 
+OWN = r"^(?:Chapter|Kapitel|Chapitre) [0-9]+: (.*)$"
+
+
+def chapters_by_pattern(spark, d):
+    """UDF-01: one pattern of the caller's own."""
+    return C.by_pattern(_texts(spark, d), "book_id", "text", OWN)
+
+
 def number_forms(spark, d):
     """STRF-22 over every chapter number as headings write it, in digits and in Chinese numerals."""
     n = F.col("idx").cast("int")
@@ -86,7 +94,7 @@ def number_forms(spark, d):
     return rows.select("idx", "form", "title", T.chapter_number(F.col("title")).alias("number"))
 
 
-_N = [rule_matches, rule_scores, rule_selection, detected_chapters, chapter_levels, contents_runs, stripped_contents, chapter_numbers, conventions, formatted_texts, detected_metadata, number_forms]
+_N = [rule_matches, rule_scores, rule_selection, detected_chapters, chapter_levels, contents_runs, stripped_contents, chapter_numbers, conventions, formatted_texts, detected_metadata, number_forms, chapters_by_pattern]
 QUERIES = {f.__name__: f for f in _N}
 
 _W = T.WHITE.replace("'", "''")
@@ -112,6 +120,7 @@ _KR = f"{_SC}, ru as (select * from (values {_RULES}) v(rule_no, rank, trusted,
 _DC = f"{_KR}, gd as (select r.book_id, off, r.rule_no, title, rank from r join kr on kr.book_id = r.book_id and kr.rule_no = r.rule_no), lf as (select book_id, count(*) n from (select book_id, off, arg_min(rank, rule_no) rank from gd group by 1, 2) where rank = 2 group by 1), lo as (select book_id, off, rule_no, title, 2 rank from r where rule = 'loose' and book_id in (select book_id from r where rule = 'loose' group by 1 having count(*) >= 2) and book_id not in (select book_id from lf where n >= 3)), me as (select book_id, off, arg_min(title, rule_no) title, arg_min(rank, rule_no) rank from (select * from gd union all select * from lo) group by 1, 2), al as (select * from me union all select book_id, 0, '正文', 2 from epub_books where book_id not in (select book_id from me)), nx as (select *, row_number() over (partition by book_id order by off) idx from al), dl as (select *, coalesce(max(case when rank = 0 then idx end) over w, -1) l0, coalesce(max(case when rank = 1 then idx end) over w, -1) l1 from nx window w as (partition by book_id order by off rows between unbounded preceding and 1 preceding)), dc as (select book_id, idx, title, (case rank when 0 then 0 when 1 then (l0 >= 0)::int else (l0 >= 0)::int + (l1 > l0)::int end)::int as level, off from dl)"
 _WCS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in T.WHITE) + "]"
 SQL = {
+    "chapters_by_pattern": f"with l as (select book_id, generate_subscripts(string_split(flat_text, chr(10)), 1) - 1 line_no, unnest(string_split(flat_text, chr(10))) line from epub_books), o as (select *, coalesce(sum(length(line) + 1) over (partition by book_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint off, trim(line, '{_W}') t from l), m as (select book_id, off, coalesce(nullif(trim(regexp_extract(t, '{OWN}', 1), '{_W}'), ''), t) title from o where regexp_matches(t, '{OWN}') union all select book_id, 0, '正文' from epub_books where book_id not in (select book_id from o where regexp_matches(t, '{OWN}'))) select book_id, row_number() over (partition by book_id order by off) idx, title, 0 as level, off as \"offset\" from m",
     "rule_matches": f"with {_RM} select book_id, line_no, off as \"offset\", rule, title from r where rule <> 'loose'",
     "rule_scores": f"with {_SC} select book_id, rule_no, n, round(ratio, 6) ratio, round(score, 6) score from sc",
     "rule_selection": f"with {_KR} select * from kr",

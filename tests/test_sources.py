@@ -3,8 +3,11 @@
 import struct
 import zlib
 
+import random
+
 import pytest
 
+from codexmill.functions import text as T
 from codexmill.operators import catalog as C
 from codexmill.sources import epub, folder, mobi, pdf
 from codexmill.sources.decode import decode
@@ -130,7 +133,21 @@ def test_throttle(spark):
     rows = [(1, t, False) for t in (0, 10, 20, 30, 40)] + [(1, 200, False), (2, 0, False), (2, 5, True), (2, 9, False)]
     df = spark.createDataFrame(rows, "key long, t long, ok boolean")
     got = sorted(tuple(r) for r in C.throttle(df).collect())
-    assert got == [(1, 0, 40, 5, True), (1, 200, 200, 1, False), (2, 0, 5, 1, False), (2, 9, 9, 1, False)]
+    assert got == [(1, 0, 40, 5, True), (1, 200, 200, 1, False), (2, 0, 0, 1, False), (2, 9, 9, 1, False)]
+    rng = random.Random(7)
+    rows, want = [], []
+    for k in range(40):
+        t, state = 0, (0, 0, 0, False)
+        for _ in range(rng.randint(1, 60)):
+            t += rng.choice([1, 5, 20, 59, 60, 61, 200, 90_000])
+            ok = rng.random() < 0.15
+            rows.append((k, t, ok))
+            state, done = C.attempt(state, t, ok, 60, 5)  # the same that the stream's state takes
+            want += [(k, *done)] if done else []
+        want += [(k, state[1], state[2], state[0], state[0] >= 5)] if state[0] else []
+    got = C.throttle(spark.createDataFrame(rows, "key long, t long, ok boolean")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert any(r.blocked for r in got)
 
 
 def test_catalog_edges(spark):
@@ -178,4 +195,71 @@ def test_library(spark, tmp_path):
     assert sorted((x.book_id, x.title) for x in spark.read.parquet(str(tmp_path / "c")).collect()) == [(1, "a"), (2, "new")]
     L.register(spark)
     assert spark.sql("select codex_fold('ＡＢ') f, codex_flatten('<p>x') h").first()[0] == "ab"
+    for x in ("他说「好」 我走。。。", "  a   b!!!! ", "好！！！！ ok", "it's \\ x"):
+        one = spark.createDataFrame([(x,)], "s string")
+        one.createOrReplaceTempView("one")
+        assert spark.sql("select codex_normal(s) from one").first()[0] == one.select(T.normal_export(F.col("s"))).first()[0]
+    assert spark.sql("select codex_decode(encode('Grüße', 'UTF-16LE')) d").first().d is not None
     assert spark.sql("select * from codex_lines('a\nbc')").count() == 2
+
+
+def test_progress_versions(spark):
+    """A base of zero wins without a legacy version and gives way to one."""
+    rows = [("u", 1, 1, 0, None, 10, 5), ("u", 1, 2, 0, None, 20, 6), ("v", 1, 1, 0, None, 10, 5), ("v", 1, 2, 0, 9, 20, 6), ("w", 1, 1, None, None, 10, 5), ("w", 1, 2, None, 10, 20, 6)]
+    df = spark.createDataFrame(rows, "user_id string, book_id long, seq long, base long, legacy long, updated_at long, char_offset long")
+    assert {r.user_id: (r.version, r.refused) for r in C.merge_progress(df).collect()} == {"u": (20, 0), "v": (10, 1), "w": (20, 0)}
+
+
+def test_decode_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        decode((b"abc \xe4\xb8" + b"\xff\x81 ") * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 5
+    for text, name in (("这是一本关于河流和城门的书，没有人知道它从哪里来。" * 3, "gb18030"), ("這是一本關於河流和城門的書，沒有人知道它從哪裡來。" * 3, "big5"), ("Der Müller hörte die grüne Tür. " * 5, "cp1252")):
+        assert decode(text.encode(name)) == (name, text)
+
+
+def test_ingest_with_sidecars_and_converters(spark, tmp_path):
+    import json
+
+    from codexmill.sources import convert, epub, folder
+
+    (tmp_path / "a.txt").write_text("Start\n\nPart two begins", "utf-8")
+    (tmp_path / "a.chapters.json").write_text(json.dumps({"chapters": [{"title": "Two", "match": "Part two"}]}), "utf-8")
+    (tmp_path / "b.mobi").write_bytes(b"broken")
+    (tmp_path / "c.txt").write_text("other", "utf-8")
+    files = folder.with_sidecars(folder.scan(spark, str(tmp_path)), str(tmp_path))
+    book = epub.write("T", "A", [("One", 0, "text of the book")])
+    got = {r.file: r for r in folder.ingest(files, {"mobi": lambda data: book}).collect()}
+    assert [(c.title, c.char_offset) for c in got["a.txt"].chapters] == [("Two", 7)] and got["b.mobi"].error is None and "text of the book" in got["b.mobi"].text
+    assert [r.file for r in folder.scan(spark, "", [str(tmp_path / "c.txt")]).collect()] == ["c.txt"]
+    copy = convert.command(["cp", "{in}", "{out}"], ".x", ".y", cache=str(tmp_path / "cache"))
+    assert copy(b"data") == b"data" == copy(b"data") and len(list((tmp_path / "cache").iterdir())) == 1
+    with pytest.raises(Exception):
+        convert.command(["false"], ".x", ".y")(b"data")
+    with pytest.raises(Exception):
+        convert.command(["sleep", "5"], ".x", ".y", timeout=1)(b"data")
+    assert folder.roots(" /a : /b:/a::") == ["/a", "/b"]
+    convert.publish(str(tmp_path / "p" / "x"), b"1")
+    convert.publish(str(tmp_path / "p" / "x"), b"2")
+    assert (tmp_path / "p" / "x").read_bytes() == b"2" and len(list((tmp_path / "p").iterdir())) == 1
+    for i in (1, 2):
+        spark.range(i).write.parquet(str(tmp_path / f"w{i}"))
+        convert.publish_table(spark, str(tmp_path / f"w{i}"), str(tmp_path / "t"))
+        assert spark.read.parquet(str(tmp_path / "t")).count() == i
+
+
+def test_mobi_and_pdf_written(spark):
+    from codexmill.sources import mobi, pdf
+
+    rng = random.Random(3)
+    for n in (0, 1, 50, 5000):
+        data = bytes(rng.randrange(256) for _ in range(n)) + b" Ab \x01\x02" * (n // 10)
+        assert mobi.expand(mobi.pack(data)) == data
+    got = pdf.read(pdf.write("书 (a)", "Zoë", [[f"{i} 第{i}行 of the page"] for i in range(30)]))
+    assert (got["title"], got["author"], got["pages"]) == ("书 (a)", "Zoë", 30) and got["text"].split("\n\n")[29] == "29 第29行 of the page"

@@ -1,6 +1,9 @@
 """Text expressions, cleaning passes, chapters and formatting against expected values and brute force."""
 
+import hashlib
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,13 +21,13 @@ def one(spark, expr, value):
 
 @pytest.mark.parametrize(
     "raw, want",
-    [("等等。。。。", "等等……"), ("好！！！！", "好！"), ("好！！", "好！！"), ("他,说:好!", "他，说：好！"), ("汉 字 汉", "汉字汉"), ("a   b", "a b"), ("　x　", "x"), ("", ""), ("~~~~", "~")],
+    [("等等。。。。", "等等……"), ("好！！！！", "好！"), ("好！！", "好！！"), ("他,说:好!", "他，说：好！"), ("他说「好」 我走", "他说「好」我走"), ("“好” 我走", "“好” 我走"), ("【注】 我", "【注】 我"), ("》 书", "》书"), ("汉 字 汉", "汉字汉"), ("a   b", "a b"), ("　x　", "x"), ("", ""), ("~~~~", "~")],
 )
 def test_normal_export(spark, raw, want):
     assert one(spark, T.normal_export, raw) == want
 
 
-@pytest.mark.parametrize("title, want", [("第十二章 X", 12), ("第一百零三回", 103), ("第二十章", 20), ("Chapter 7: A", 7), ("【三】", 3), ("第一万二千章", 12000), ("第零章", None), ("Prologue", None), ("第十章", 10), ("12、开端", 12)])
+@pytest.mark.parametrize("title, want", [("第十二章 X", 12), ("第一百零三回", 103), ("第二十章", 20), ("Chapter 7: A", 7), ("【三】", 3), ("第一万二千章", 12000), ("第零章", None), ("Chapter 0", 0), ("十二万", 20010), ("百十", 100), ("CHAPTER 4", 4), ("第 【三", 3), ("1二", None), ("第一百零十章", 110), ("【 三】", None), ("Prologue", None), ("第十章", 10), ("12、开端", 12)])
 def test_chapter_number(spark, title, want):
     assert one(spark, T.chapter_number, title) == want
 
@@ -89,10 +92,12 @@ def test_passes(spark):
     assert live == ["他走了很远的路，才来到这里。"] * 6
     why = {r.dropped: r["count"] for r in rows.groupBy("dropped").count().collect()}
     assert why["title"] == 6 and why["edge"] >= 6 and why["note"] >= 6
-    s = K.stats(rows, "b").first()
-    assert s.chars_out == 14 * 6 and s.chapters == 6
+    s = K.stats(rows, "b", t, c).first()
+    assert s.chars_out == 14 * 6 and s.chapters == 6 and s.records == 6 and s.lost_chars == 0 and not s.generic_structure
     for r in rows.where("dropped = 'title'").collect():
         assert flat[r.offset :].startswith(r.text)
+    lead = K.paragraphs(spark.createDataFrame([(1, "a\n　　b")], "b long, text string"), "b", "text").collect()
+    assert [(r.text, r.offset) for r in lead] == [("a", 0), ("b", 2)], "a paragraph's offset is that of its line"
 
 
 def test_url_in_long_paragraph_is_cut(spark):
@@ -106,14 +111,20 @@ def test_records_and_jsonl(spark, tmp_path):
     rows, flat, t, c = cleaned(spark, [["第一章", "甲乙丙。"], ["第二章", "丁戊己�"]])
     meta = spark.createDataFrame([(1, "书", None)], "b long, book string, author string")
     r = K.records(rows, "b", t, c, meta)
-    got = r.orderBy("chapter").collect()
-    assert [x.id for x in got] == ["chapter-0001", "chapter-0002"] and all(len(x.content_hash) == 64 for x in got)
-    assert got[1].warnings == ["replacement_character"]
-    assert '"author"' not in K.to_jsonl(r).first().value
+    got = r.orderBy("chapter_index").collect()
+    h = hashlib.sha256(flat.encode()).hexdigest()
+    assert [x.id for x in got] == [f"sha256:{h}/chapter-0001", f"sha256:{h}/chapter-0002"]
+    assert got[0].cleaned_sha256 == hashlib.sha256("甲乙丙。".encode()).hexdigest() and got[0].source_sha256 == hashlib.sha256("第一章\n\n甲乙丙。\n\n".encode()).hexdigest()
+    assert got[0].warnings is None and got[1].warnings == ["replacement_character"]
+    js = json.loads(K.to_jsonl(r.where("chapter_index = 1")).first().value)
+    assert list(js) == ["schema_version", "id", "document_id", "chapter_id", "chapter_index", "title", "text", "metadata", "cleaning", "offset", "chars", "source_sha256", "cleaned_sha256"]
+    assert js["metadata"] == {"book": "书"} and "warnings" not in js["cleaning"]
+    anon = K.records(rows, "b", t, c, meta, anonymous=True).orderBy("chapter_index").first()
+    assert (anon.book, anon.author, anon.title) == (f"document-{h[:12]}", "", "chapter-0001")
     with pytest.raises(ValueError):
         K.write_corpus(r, str(tmp_path / "x"))
     assert not (tmp_path / "x").exists()
-    K.write_corpus(r.where("chapter = 1"), str(tmp_path / "y"))
+    K.write_corpus(r.where("chapter_index = 1"), str(tmp_path / "y"))
     assert spark.read.json(str(tmp_path / "y")).count() == 1
 
 
@@ -122,7 +133,22 @@ def test_chunks(spark):
     rows, *_ = cleaned(spark, [paras])
     ch = K.chunks(rows, "b", 300).orderBy("chunk").collect()
     assert "".join(r.text.replace("\n\n", "") for r in ch) == "".join(paras[1:])
-    assert [r.chars for r in ch][:2] == [250, 210] and all(r.chars <= 305 for r in ch)
+    assert [r.chars for r in ch][:2] == [252, 212] and all(r.chars == len(r.text) for r in ch)
+    rows, *_ = cleaned(spark, [["第一章", "This is a sentence! Is it? " * 30, "「好。」 他说！」" + "字" * 400 + "。尾"]])
+    got = [r.text for r in K.chunks(rows, "b", 300).orderBy("chunk").collect()]
+    assert got[0] == ("This is a sentence! Is it? " * 30).strip(), "ASCII marks end no sentence"
+    assert got[1:] == ["「好。」他说！」" + "字" * 400 + "。", "尾"]
+    n = K.packed(F.col("a"), 10)
+    for lens in ([3, 4, 5, 10, 1], [20, 1], [], [10, 10], [0, 11, 0]):
+        want, size = [], 0
+        for i, x in enumerate(lens):
+            if want and not (size > 0 and size + x > 10):
+                want[-1] = (want[-1][0], want[-1][1] + 1)
+            else:
+                want.append((i, 1))
+                size = 0
+            size += x
+        assert [tuple(r) for r in spark.createDataFrame([(lens,)], "a array<int>").select(n.alias("r")).first().r] == want
 
 
 def chapters_of(spark, text):
@@ -171,3 +197,25 @@ def test_metadata(spark):
     t = spark.createDataFrame([(1, "书名 by: Some One\nx"), (2, "长篇 作者：张三\ny"), (3, "nothing")], "k long, text string")
     got = {r.k: (r.title, r.author) for r in M.detect_metadata(K.lines(t, "k", "text"), "k").collect()}
     assert got == {1: ("书名", "Some One"), 2: ("长篇", "张三")}
+
+
+def test_heading_of_any_length(spark):
+    long = "第一部" + "很" * 200
+    assert C.matches(spark.createDataFrame([(1, "Chapter 1 " + " " * 300 + "x")], "b long, text string"), "b", "text", (C.Rule("own", 2, r"^(Chapter [0-9]+.*)\z"),)).count() == 1
+    assert chapters_of(spark, f"{long}\n正文") == [("正文", 0)], "the rules have their own bounds"
+
+
+def test_format_properties(spark):
+    """Texts of no convention stay; the others lose nothing but white space, tags and their own names."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    conv = {r.doc_id for r in M.conventions(K.lines(d, "doc_id", "text"), "doc_id").where("indented or terminated").collect()}
+    new = {r.doc_id: r.text for r in M.format_texts(d, "doc_id", "text").collect()}
+    assert conv and len(new) == d.count()
+    for r in d.collect():
+        if r.doc_id not in conv or r.text is None:
+            assert new[r.doc_id] == r.text
+        else:
+            t = new[r.doc_id]
+            assert t.endswith("\n") and "\n\n\n" not in t
+            bare = lambda s: "".join(c for c in re.sub("<[^<>\\r\\n]*>", "", s) if not c.isspace())
+            assert bare(t).replace("第", "") == bare(r.text).replace("第", ""), r.doc_id
