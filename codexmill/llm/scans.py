@@ -6,8 +6,9 @@ features (does its normal form come back at other page edges, is it the title, d
 stand at a page's edge, is it in capitals, what its end and the next line make together). The model starts from stated
 factors and is trained on the whole corpus by Viterbi counts. What a line's end makes with the next line (a word, a
 compound, neither) is told by the corpus' document frequencies. Misread words of body lines are told from rare ones by
-document frequencies of words and of adjacent Chinese characters, for stated confusions of letters. Paragraphs are then
-put together without headers, page numbers and breaks.
+document frequencies of words and of adjacent Chinese characters. Which letters are taken for which is learned from the
+corpus (`confusions`): the stated ones are where it starts from. Paragraphs are then put together without headers, page
+numbers and breaks.
 
 Defined results: null, empty and blank texts have no lines; line numbers count every line; a line may be a break and
 misread at once; headers and page numbers have no further kind; repeated rows of a book give one result.
@@ -34,15 +35,14 @@ STATES = ("body", "header", "number", "break")
 #: Weight, in lines, of the stated factors against the corpus' counts.
 PRIOR = 200.0
 
-# How scanned characters are misread (what is seen -> what was printed).
+# How scanned characters are often misread (what is seen -> what was printed); the corpus confirms, refutes and adds.
 CONFUSED = {
     "c": "e", "@": "aà", "f": "t", "l": "iIí", "5": "sS", "1": "lIi", "0": "oOóö", "b": "h", "6": "bB", "9": "gq", "8": "B", "I": "l", "i": "l", "$": "S", "3": "зЗ", "O": "0",
     "ri": "n", "cl": "d", "ii": "u", "rn": "m", "vv": "w", "li": "h", "nn": "m", "a": "а", "o": "о", "e": "е", "p": "р", "y": "у", "x": "х", "C": "С",
 }
 CONFUSED["c"] += "сé"
 MERGED = {"m": ["rn"], "d": ["cl"], "w": ["vv"]}
-_WITH_CYRILLIC = [(a, list(b)) for a, b in CONFUSED.items()] + list(MERGED.items())
-_WITHOUT = [(a, [c for c in b if not "\u0400" <= c < "\u0500"]) for a, b in _WITH_CYRILLIC]
+_STATED = [(a, list(b)) for a, b in CONFUSED.items()] + list(MERGED.items())
 _HAS_CYRILLIC = re.compile("[а-яА-Я]").search
 HAN_CONFUSED = {
     "丼": "井", "入": "人", "太": "大", "犬": "大", "八": "人", "己": "已", "巳": "已", "已": "己", "末": "未", "未": "末", "土": "士", "士": "土", "曰": "日", "囗": "口",
@@ -238,15 +238,61 @@ def vocabulary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     counts = Counter()
         yield _counted(counts, n)
 
-    got = materialise(rows.select("text").distinct().mapInPandas(part, "kind byte, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")), "word-counts")
+    got = materialise(rows.select("text").distinct().mapInPandas(part, "kind byte, word string, k long, n long").groupBy("kind", "word", "k").agg(F.sum("n").alias("n")), "word-counts")
     docs = int(got.where("kind = 1").agg(F.sum("n")).first()[0] or 0)
-    got = got.where((F.col("kind") == 0) & (F.col("n") >= docs * FLOOR)).toPandas().sort_values("k")
-    return got["k"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.int32)
+    words = got.where((F.col("kind") == 0) & (F.col("n") >= docs * FLOOR))
+    table = words.select("k", "n").toPandas().sort_values("k")
+    return (table["k"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int32)), words.select("word", "n")
 
 
 def _counted(counts: Counter, docs: int) -> pd.DataFrame:
     keys = np.fromiter(map(word_key, counts), np.int64, len(counts))
-    return pd.DataFrame({"kind": np.array([*[0] * len(keys), 1], dtype="int8"), "k": np.append(keys, 0), "n": np.append(np.fromiter(counts.values(), np.int64, len(counts)), docs)})
+    return pd.DataFrame({"kind": np.array([*[0] * len(keys), 1], dtype="int8"), "word": [*counts, ""], "k": np.append(keys, 0), "n": np.append(np.fromiter(counts.values(), np.int64, len(counts)), docs)})
+
+
+#: A word is common from this number of texts on, and its misread form must be so many times rarer.
+COMMON, RARER = 6, 6
+#: A confusion must be seen in so many different words, and in this share of the words that would show it if it came about evenly.
+LEAST_WORDS, EVEN = 8, 0.5
+
+
+def confusions(words: DataFrame) -> list[tuple[str, str]]:
+    """(seen, printed) of the confusions of one or two letters, by the counts of the corpus' words: those that it shows, and those of the stated ones that it is too small to refute.
+
+    A noisy channel: rare words are paired with common ones that differ in one place. What printers and scanners
+    confuse comes about at one rate wherever the letters stand, so among the common words with the printed letters as
+    many have a misread form as that rate lets expect; what grammar exchanges (endings, plurals) sits in few words.
+    Pairs meet by what is left of both words without the place, so a key has no more words than the alphabet has pairs;
+    what comes to the driver is bounded by the alphabet too."""
+    w = words.where(F.length("word").between(4, 30) & ~F.col("word").rlike("[\u2e80-\uffff]"))
+    at = w.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")).select("word", "n", "i", F.explode(F.array(F.lit(1), F.lit(2))).alias("g")).where(F.col("i") + F.col("g") - 1 <= F.length("word"))
+    at = at.select("word", "n", F.substring("word", F.col("i"), F.col("g")).alias("seg"), F.xxhash64(F.substring("word", F.lit(1), F.col("i") - 1), F.substring("word", F.col("i") + F.col("g"), F.length("word"))).alias("key"))
+    common = at.where(F.col("n") >= COMMON)
+    seen = at.select("key", F.col("seg").alias("seen"), F.col("n").alias("rare"))
+    met = common.join(seen, "key").where((F.col("seen") != F.col("seg")) & (F.length("seen") + F.length("seg") < 4) & (F.col("n") >= RARER * F.col("rare")))
+    found = met.groupBy("seen", F.col("seg").alias("printed")).agg(F.sum("rare").alias("n"), F.count_distinct("word").alias("words")).where(F.col("words") >= LEAST_WORDS).toPandas()
+    stated = [(a, c.casefold()) for a, b in _STATED for c in b]
+    if not len(found):
+        return stated
+    sizes = common.groupBy("seg", F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("count"), F.sum("n").alias("m"))
+    sizes = sizes.where(F.col("seg").isin(sorted({*found.printed, *(b for _, b in stated)}))).toPandas()
+
+    def expected(printed: str, rate: float) -> float:
+        own = sizes[sizes.seg == printed]
+        return float((own["count"] * -np.expm1(-rate * own.m / own["count"])).sum())
+
+    out = []
+    for r in found.sort_values(["seen", "printed"]).itertuples():
+        own = sizes[sizes.seg == r.printed]
+        rate = r.n / own.m.sum()
+        if r.words >= EVEN * expected(r.printed, rate) and any(c.isalpha() for c in r.printed):
+            out.append((r.seen, r.printed, float(rate)))
+    if not out:
+        return stated
+    usual = float(np.median([r for _, _, r in out]))
+    known = [(a, b) for a, b, r in out if r * 10 >= usual]
+    # a stated one that the corpus would show at the usual rate, and does not, is none here
+    return known + [x for x in stated if x not in known and expected(x[1], usual) < 2 * LEAST_WORDS]
 
 
 STATE_KINDS = {1: "header", 2: "page_number"}
@@ -256,8 +302,13 @@ _NEAR_NUMBER, _TO_NUMBER, _ODD = re.compile(r"\d*[lOI]\d+|\d+[lOI]\d*|\d+[lOI]+\
 class Reader:
     """Labels the lines of one text after another."""
 
-    def __init__(self, move: np.ndarray, emit: np.ndarray, words: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, move: np.ndarray, emit: np.ndarray, words: tuple[np.ndarray, np.ndarray], pairs: list[tuple[str, str]] | None = None):
         self.move, self.emit = move, emit
+        by_seen: dict[str, list[str]] = {}
+        for seen, printed in [(a, c) for a, b in _STATED for c in b] if pairs is None else pairs:
+            by_seen.setdefault(seen, []).append(printed)
+        self.with_cyrillic = list(by_seen.items())
+        self.without = [(a, [c for c in b if not "\u0400" <= c[0] < "\u0500"]) for a, b in self.with_cyrillic]
         self.keys, self.counts = words
         self.cache: dict[str, int] = {}
         self.known: dict[str, tuple] = {}
@@ -293,7 +344,7 @@ class Reader:
 
     def _readings(self, w: str) -> Iterator[str]:
         """What a word may have been before one misreading (or the same one several times)."""
-        for seen, printed in _WITH_CYRILLIC if _HAS_CYRILLIC(w) else _WITHOUT:
+        for seen, printed in self.with_cyrillic if _HAS_CYRILLIC(w) else self.without:
             i = w.find(seen)
             while i >= 0:
                 for p in printed:
@@ -460,7 +511,7 @@ def observed(rows: DataFrame, words) -> DataFrame:
     """The texts with the lines that are not blank and their symbols, written once for training and labelling."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*initial(), words.value)
+        reader = Reader(*initial(), *words.value)
         for b in batches:
             got = [observe(t, title, reader) for t, title in zip(b["text"], b["title"])]
             yield pd.DataFrame({"book_id": b["book_id"], "title": b["title"], "text": b["text"], "at": [g[0] for g in got], "symbols": [[symbol(f) for f in g[1]] for g in got]})
@@ -471,13 +522,14 @@ def observed(rows: DataFrame, words) -> DataFrame:
 def labelled(spark, sf_dir: str, make, schema: str) -> DataFrame:
     """make(book_id, text, cases, body) of every text, as rows of the schema."""
     rows = _rows(spark, sf_dir)
-    words = spark.sparkContext.broadcast(vocabulary(rows))
+    table, counted = vocabulary(rows)
+    words = spark.sparkContext.broadcast((table, confusions(counted)))
     seen = observed(rows, words)
     model = spark.sparkContext.broadcast(train(seen))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*model.value, words.value)
+        reader = Reader(*model.value, *words.value)
         for b in batches:
             out = [x for book, title, text, at, syms in zip(b["book_id"], b["title"], b["text"], b["at"], b["symbols"]) for x in make(book, text, *reader.label(text, title, (at, syms)))]
             yield pd.DataFrame(out, columns=names)

@@ -284,11 +284,33 @@ def test_scans():
 
 def test_copies_do_not_vouch_for_misreadings(spark):
     texts = [f"The line which {'abcdefghijklmnop'[i] * 5} goes on.\n" for i in range(12)] + ["The line whicb goes on.\n"] * 10
-    words = scans.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
+    words, _ = scans.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
     r = scans.Reader(*scans.initial(), words)
     assert r.df("whicb") == 1 and r.misread("whicb", Counter(whicb=1)) == "which"
 
 
+def test_confusions_are_learned(spark):
+    """Letters taken for others at one rate wherever they stand are found, whatever they are; endings are not."""
+    rng = random.Random(5)
+    stems = sorted({"".join(rng.choice("bdfghklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)})
+    counts = Counter()
+    for w in stems:
+        n = rng.randint(10, 400)
+        counts[w] += n
+        for seen, printed in (("q", "k"), ("hn", "m"), ("w", "va")):  # none of them is stated
+            at = [i for i in range(len(w)) if w.startswith(printed, i)]
+            if at and rng.random() < 1 - np.exp(-0.01 * n):
+                i = rng.choice(at)
+                counts[w[:i] + seen + w[i + len(printed) :]] += 1
+    for w in stems[:12]:
+        counts[w + "s"] += counts[w] // 8  # a few words with an ending
+    got = set(scans.confusions(spark.createDataFrame(list(counts.items()), "word string, n long")))
+    stated = {(a, c.casefold()) for a, b in scans._STATED for c in b}
+    assert got - stated == {("q", "k"), ("hn", "m"), ("w", "va")}
+    assert ("b", "h") in stated - got and ("vv", "w") in got & stated, "what would show and does not is refuted; what cannot show stays"
+    assert set(scans.confusions(spark.createDataFrame([], "word string, n long"))) == stated
+
+
 def test_rules_held_out():
     rng = np.random.default_rng(5)
     df = pd.DataFrame({f: rng.random(2000) for f in rules.FEATURES})
@@ -356,7 +378,8 @@ def test_p4_brute_force(spark):
     counts = Counter(w for t in set(d.text) for w in scans._words_of(t))
     keys = sorted((scans.word_key(w), n) for w, n in counts.items())
     words = np.array([k for k, _ in keys]), np.array([n for _, n in keys])
-    first = scans.Reader(*scans.initial(), words)
+    learned = scans.confusions(spark.createDataFrame(list(counts.items()), "word string, n long"))
+    first = scans.Reader(*scans.initial(), words, learned)
     n = len(scans.STATES)
     move, emit = (scans.PRIOR * x for x in scans.initial())
     for t, title in zip(d.text, d.title):
@@ -365,7 +388,7 @@ def test_p4_brute_force(spark):
         np.add.at(emit, (path, syms), 1)
         np.add.at(move, (path[:-1], path[1:]), 1)
     assert move.shape == (n, n)
-    r = scans.Reader(move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), words)
+    r = scans.Reader(move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), words, learned)
     got = {b: r.label(t, title) for b, t, title in zip(d.book_id, d.text, d.title)}
     assert sorted(_rows(spark, "p4_found")) == sorted({(b, i + 1, k) for b, (cases, _) in got.items() for i, k in cases})
     assert dict(_rows(spark, "p4_paragraphs")) == {b: scans.paragraphs(t, got[b][1]) for b, t in zip(d.book_id, d.text)}
