@@ -438,8 +438,10 @@ class _Candidates:
         text, known = self.text, self.model.parts
         wide = [_WIDE.search(text, i, j) is not None for i, j in runs]
         n = len(text)
+        number: dict[tuple[int, int], int] = {}  # of each part that some codec has to be tried on
+        tried: list[tuple[str, dict[int, list[int]]]] = []  # of each codec: its parts, with their runs
         for wrong in INVERSES:
-            todo: dict[tuple[int, int], list[int]] = {}
+            todo: dict[int, list[int]] = {}
             for k, (i, j) in enumerate(runs):
                 if wrong in ("gb18030", "big5") and not wide[k]:
                     continue  # two-byte codecs give Chinese characters, or kana and forms of their width
@@ -457,33 +459,50 @@ class _Candidates:
                                 for g, new, right in got:
                                     mine.append((g, x, y, new, wrong, right))
                                 continue
-                        todo.setdefault(part, []).append(k)
-            if todo:
-                for part, got in zip(todo, self._scored(list(todo), wrong)):
-                    x, y = part
-                    if y - x <= SHORT and x and y < n:
-                        if len(known) > MEMORY:
-                            known.clear()
-                        known[wrong, text[x - 1 : y + 1]] = got
-                    for k in todo[part]:
-                        out[k] += [(g, x, y, new, wrong, right) for g, new, right in got]
+                        todo.setdefault(number.setdefault(part, len(number)), []).append(k)
+            tried.append((wrong, todo))
+        if not number:
+            return out
+        spans = list(number)
+        self._measure(spans)
+        for wrong, todo in tried:
+            if not todo:
+                continue
+            for part, got in zip(todo, self._scored(spans, np.fromiter(todo, np.int64, len(todo)), wrong)):
+                x, y = spans[part]
+                if y - x <= SHORT and x and y < n:
+                    if len(known) > MEMORY:
+                        known.clear()
+                    known[wrong, text[x - 1 : y + 1]] = got
+                for k in todo[part]:
+                    out[k] += [(g, x, y, new, wrong, right) for g, new, right in got]
         return out
 
-    def _scored(self, spans: list[tuple[int, int]], wrong: str) -> list[tuple]:
-        """Of each span the accepted readings: (gain in bits, restored, right).
-
-        Single-byte codecs map characters to characters, so all spans are mapped and scored at once, and only those that
+    def _measure(self, spans: list[tuple[int, int]]) -> None:
+        """Code points of all parts with their neighbours, their mean scores and numbers of characters beyond ASCII: once for all codecs."""
+        text, n_text = self.text, len(self.text)
+        self.points = code_points("".join([(text[i - 1] if i else " ") + text[i:j] + (text[j] if j < n_text else " ") for i, j in spans]))
+        self.ends = np.cumsum([j - i + 2 for i, j in spans])
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        self.wide = self.points > 127
+        self.wide[self.starts] = False
+        self.wide[self.ends - 1] = False
+        self.n = np.add.reduceat(self.wide.astype(np.int64), self.starts)
+        self.old = _mean_scores(self.points, self.starts, self.ends, self.model)
+
+    def _scored(self, spans: list[tuple[int, int]], at: np.ndarray, wrong: str) -> list[tuple]:
+        """Of each part spans[k], k in at, the accepted readings: (gain in bits, restored, right).
+
+        Single-byte codecs map characters to characters, so all parts are mapped and scored at once, and only those that
         gain enough are looked at; of the others, what is valid is scored together."""
         text, n_text = self.text, len(self.text)
-        out: list[tuple] = [()] * len(spans)
-        joined = code_points("".join([(text[i - 1] if i else " ") + text[i:j] + (text[j] if j < n_text else " ") for i, j in spans]))
-        ends = np.cumsum([j - i + 2 for i, j in spans])
-        starts = np.concatenate([[0], ends[:-1]])
-        wide = joined > 127
-        wide[starts] = False
-        wide[ends - 1] = False
-        n = np.add.reduceat(wide.astype(np.int64), starts)
-        old = _mean_scores(joined, starts, ends, self.model)
+        out: list[tuple] = [()] * len(at)
+        sizes = self.ends[at] - self.starts[at]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        where = np.repeat(self.starts[at] - starts, sizes) + np.arange(int(ends[-1]))
+        joined, wide, n, old = self.points[where], self.wide[where], self.n[at], self.old[at]
+        spans = [spans[k] for k in at.tolist()]
         for right in INVERSES[wrong]:
             enough = n >= (2 if right in _SCRIPT else 1)
             if not enough.any():
