@@ -10,7 +10,7 @@ from codexmill.operators import library as L
 from codexmill.operators import service as S
 from codexmill.operators.skew import ranked
 from codexmill.plans.text import SQL as _TEXT_SQL
-from codexmill.plans.text import promo_clean_stats
+from codexmill.plans.text import corpus_records, promo_clean_stats
 from codexmill.session import table
 
 _PROMO_STATS = _TEXT_SQL["promo_clean_stats"]
@@ -140,7 +140,30 @@ def job_reports(spark, d):
     return C.paced(e.distinct())
 
 
-_N = [session_hashes, etags, scan_times, usernames, new_users, export_names, cover_titles, highlighted_titles, book_folders, folders_listed, folders_added, tags_replaced, selection, nearest_chapters, visible_chapters, uploaded_names, job_payloads, removed_shares, job_reports]
+def export_preview(spark, d):
+    """SNK-10, SRT-14: the first three records of the export of the first book that has chapters (the limit is the feature)."""
+    first = table(spark, d, "chapters").agg(F.min("book_id").alias("book_id"))
+    r = corpus_records(spark, d).join(F.broadcast(first), "book_id", "left_semi")
+    return r.orderBy("chapter_index").limit(3).select("id", "chapter_index", "title", "chars")
+
+
+def evolved_books(spark, d):
+    """DDL-01: an older table with the columns that came later."""
+    b = _books(spark, d).select("id", "title", "favorite")
+    return C.evolve(b, {"favorite": ("boolean", False), "language": ("string", "und"), "rating": ("long", 0), "note": ("string", None)})
+
+
+def users_deleted(spark, d):
+    """DML-08: a user goes with all their rows; the last administrator stays."""
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("user_id"), "c_custkey")
+    users = c.select("user_id").distinct().withColumn("role", F.when(F.col("user_id") == "BUILDING", "admin").otherwise("reader"))
+    kept, kids = C.delete_user("MACHINERY", users, {"marks": c})
+    kept, kids = C.delete_user("BUILDING", kept, kids)
+    n = kids["marks"].groupBy("user_id").agg(F.count("*").alias("marks"))
+    return kept.join(n, "user_id", "left").select("user_id", "role", F.coalesce("marks", F.lit(0)).alias("marks"))
+
+
+_N = [export_preview, evolved_books, users_deleted, session_hashes, etags, scan_times, usernames, new_users, export_names, cover_titles, highlighted_titles, book_folders, folders_listed, folders_added, tags_replaced, selection, nearest_chapters, visible_chapters, uploaded_names, job_payloads, removed_shares, job_reports]
 QUERIES = {f.__name__: f for f in _N}
 
 _W = T.WHITE.replace("'", "''")
@@ -148,6 +171,9 @@ _WC = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in T.WHITE) + "]"
 _B = "b as (select * from (select *, row_number() over (partition by id order by scanned_at desc, file_mtime desc, reading_status desc) rn from books) where rn = 1)"
 _T = "t as (select distinct id book_id, trim(x) as name from (select id, category x from b union all select id, format x from b) where x is not null and trim(x) <> '')"
 SQL = {
+    "export_preview": f"with x as ({_TEXT_SQL['corpus_records']}) select id, chapter_index, title, chars from x where book_id = (select min(book_id) from chapters) order by chapter_index limit 3",
+    "evolved_books": f"with {_B} select id, title, favorite, 'und' \"language\", 0::bigint rating, null::varchar note from b",
+    "users_deleted": "select c_mktsegment user_id, case when c_mktsegment = 'BUILDING' then 'admin' else 'reader' end as role, count(*) marks from customer where c_mktsegment <> 'MACHINERY' group by 1",
     "session_hashes": "select event_id, sha256('token-' || event_id) token_hash from events",
     "etags": f"with {_B} select id, '\"cover-' || id || '-' || scanned_at || '\"' cover, '\"content-' || id || '-' || scanned_at || '-' || id * 10 || '-5000\"' content from b",
     "scan_times": f"with {_B} select id, strftime(make_timestamp(scanned_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') \"at\" from b",
