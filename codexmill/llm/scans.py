@@ -64,12 +64,19 @@ _FRAME = re.compile(rf"^\s*{_DIGITISH}{{1,4}}\s{{2,}}|\s{{2,}}{_DIGITISH}{{1,4}}
 _FOLD = str.maketrans("0158@cfb69iI", "olsbaethhgll")
 
 
+_GAP, _HAS_NUMBER, _NO_LETTERS = re.compile(r"\s\s"), re.compile(r"[\d第]"), re.compile(r"[\W\d_]+")
+_NUMBERED = re.compile(r"第.{1,4}(?=[章回节卷])|(?<!\w)\d+(?!\w)")
+
+
 def normal(line: str) -> str:
     """Normal form of a possible header: page number off, misreadings and case folded, letters only."""
-    s = _FRAME.sub("", line.strip("\x0c").rstrip())
-    s = re.sub(r"第.{1,4}(?=[章回节卷])|(?<!\w)\d+(?!\w)", "", s)
+    s = line.strip("\x0c").rstrip()
+    if _GAP.search(s):
+        s = _FRAME.sub("", s)
+    if _HAS_NUMBER.search(s):
+        s = _NUMBERED.sub("", s)
     s = s.casefold().replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ii", "u").replace("ri", "n").translate(_FOLD)
-    return re.sub(r"[\W\d_]+", "", s)
+    return _NO_LETTERS.sub("", s)
 
 
 def _value(shape: str) -> int | None:
@@ -423,7 +430,7 @@ class Reader:
             own.update(w.casefold() for w in _TOKEN.findall(lines[i]))
         out = []
         flat = "".join(lines[i].strip(" \x0c\r　") for i in body)
-        pos = 0
+        pos, plain = 0, self.plain
         for k, i in enumerate(body):
             s = lines[i].strip("\x0c").rstrip()
             bare = lines[i].strip(" \x0c\r　")
@@ -440,7 +447,7 @@ class Reader:
                     joined = last + n.group().rstrip(HYPHENS).split("-")[0]
             begins_broken = bool(prev) and len(prev) > 1 and prev[-1] in HYPHENS and prev[-2].isalnum()
             for j, w in enumerate(tokens):
-                if _HAN.match(w) or (j == 0 and begins_broken) or (j == len(tokens) - 1 and s[-1:] in HYPHENS):
+                if w in plain or _HAN.match(w) or (j == 0 and begins_broken) or (j == len(tokens) - 1 and s[-1:] in HYPHENS):
                     continue
                 v = self.misread(w, own)
                 if v is not None:
