@@ -18,19 +18,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from codexmill.session import materialise, texts
+from codexmill.session import materialise, scratch, texts
 
 
-#: Words in less than this share of the texts count as unseen (among up to 262,144 texts none is left out). What is broadcast, 12 bytes a
-#: word, so stops growing with the corpus.
-FLOOR = 2.0**-18
+#: Words whose counts are broadcast at most (12 bytes each). The counts of more lie sorted in files of the shared folder and are looked up there.
+WORDS_MAX = 4_000_000
+#: Of those files: words in one (about), words read at a time, and the first bits of a key by which most unseen words are told without reading (a bit each, 16 MB).
+FILE_WORDS, BLOCK, FILTER_BITS = 8_000_000, 256, 27
+_COUNT = np.dtype([("k", "<i8"), ("n", "<i8")])
 STATES = ("body", "header", "number", "break")
 #: Weight, in lines, of the stated factors against the corpus' counts.
 PRIOR = 200.0
@@ -230,36 +235,112 @@ def _words_of(text: str) -> set[str]:
     return out
 
 
-def vocabulary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, document frequencies) of words over all distinct texts: copies do not vouch for their own errors. Words below FLOOR stay on the executors."""
+class Stored:
+    """Document frequencies by key in sorted files. parts: (path, words, least key, greatest key) of each file, in order; bits: which beginnings of keys there are."""
+
+    def __init__(self, parts: list[tuple[str, int, int, int]], bits: bytes):
+        self.parts, self.bits = parts, bits
+        self.least = [p[2] for p in parts]
+        self.files: dict = {}
+
+    def __reduce__(self):
+        return Stored, (self.parts, self.bits)
+
+    def get(self, k: int) -> int:
+        """The frequency of a key, or 0. Keys are hashes, so where one lies follows from its value: one or two blocks are read."""
+        at = (k + 2**63) >> (64 - FILTER_BITS)
+        if not self.bits[at >> 3] >> (at & 7) & 1:
+            return 0
+        i = bisect_right(self.least, k) - 1
+        if i < 0 or k > self.parts[i][3]:
+            return 0
+        path, hi, a, b = self.parts[i]
+        lo = 0
+        while lo < hi:
+            guess = lo + (k - a) * (hi - lo) // (b - a + 1)
+            start = max(lo, min(guess - BLOCK // 2, hi - BLOCK))
+            stop = min(hi, start + BLOCK)
+            block = np.frombuffer(self._file(path).read_at((stop - start) * _COUNT.itemsize, start * _COUNT.itemsize), _COUNT)
+            first, last = int(block["k"][0]), int(block["k"][-1])
+            if k < first:
+                hi, b = start, first
+            elif k > last:
+                lo, a = stop, last
+            else:
+                j = int(np.searchsorted(block["k"], k))
+                return int(block["n"][j]) if int(block["k"][j]) == k else 0
+        return 0
+
+    def _file(self, path: str):
+        f = self.files.get(path)
+        if f is None:
+            if len(self.files) >= 100:
+                self.files.clear()
+            fs, name = FileSystem.from_uri(path)
+            f = self.files[path] = fs.open_input_file(name)
+        return f
+
+
+def stored(words: DataFrame, size: int) -> Stored:
+    """The counts (k, n) of `size` words in files of the shared folder; a row for each file and the bits of its keys come to the driver."""
+    folder = scratch(words.sparkSession, "word-files")
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, name = FileSystem.from_uri(folder)
+        fs.create_dir(name, recursive=True)
+        file = uuid.uuid4().hex  # one for each attempt of a task
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        n, least, most = 0, 0, 0
+        with fs.open_output_stream(f"{name}/{file}", buffer_size=1 << 20) as f:
+            for b in batches:
+                if len(b):
+                    rows = np.empty(len(b), _COUNT)
+                    rows["k"], rows["n"] = b["k"], b["n"]
+                    f.write(rows.tobytes())
+                    at = (rows["k"].astype(np.uint64) ^ np.uint64(2**63)) >> np.uint64(64 - FILTER_BITS)
+                    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+                    least, most, n = int(rows["k"][0]) if not n else least, int(rows["k"][-1]), n + len(b)
+        if n:
+            low, high = ((k + 2**63) >> (67 - FILTER_BITS) for k in (least, most))
+            yield pd.DataFrame({"path": [f"{folder}/{file}"], "n": [n], "least": [least], "most": [most], "bits": [bits[low : high + 1].tobytes()]})
+
+    files = words.select("k", "n").repartitionByRange(-(-size // FILE_WORDS), "k").sortWithinPartitions("k").mapInPandas(part, "path string, n long, least long, most long, bits binary").collect()
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in files:
+        low = (r.least + 2**63) >> (67 - FILTER_BITS)
+        bits[low : low + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
+    return Stored(sorted(((r.path, r.n, r.least, r.most) for r in files), key=lambda p: p[2]), bits.tobytes())
+
+
+def vocabulary(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray] | Stored, DataFrame]:
+    """Document frequencies of all words by key, in memory or stored, and (word, n) of each, over all distinct texts: copies do not vouch for their own errors."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
-        n = 0
         for b in batches:
             for text in b["text"]:
-                n += 1
                 counts.update(_words_of(text))
                 if len(counts) > 2_000_000:
-                    yield _counted(counts, 0)
+                    yield _counted(counts)
                     counts = Counter()
-        yield _counted(counts, n)
+        yield _counted(counts)
 
-    got = materialise(rows.select("text").distinct().mapInPandas(part, "kind byte, word string, k long, n long").groupBy("kind", "word", "k").agg(F.sum("n").alias("n")), "word-counts")
-    docs = int(got.where("kind = 1").agg(F.sum("n")).first()[0] or 0)
-    words = got.where((F.col("kind") == 0) & (F.col("n") >= docs * FLOOR))
-    table = words.select("k", "n").toPandas().sort_values("k")
-    return (table["k"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int32)), words.select("word", "n")
+    got = materialise(rows.select("text").distinct().mapInPandas(part, "word string, k long, n long").groupBy("word", "k").agg(F.sum("n").alias("n")), "word-counts")
+    words = got.select("word", "n")
+    size = got.count()
+    if size > WORDS_MAX:
+        return stored(got, size), words
+    table = got.select("k", "n").toPandas().sort_values("k")
+    return (table["k"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int32)), words
 
 
-def _counted(counts: Counter, docs: int) -> pd.DataFrame:
-    keys = np.fromiter(map(word_key, counts), np.int64, len(counts))
-    return pd.DataFrame({"kind": np.array([*[0] * len(keys), 1], dtype="int8"), "word": [*counts, ""], "k": np.append(keys, 0), "n": np.append(np.fromiter(counts.values(), np.int64, len(counts)), docs)})
+def _counted(counts: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"word": list(counts), "k": np.fromiter(map(word_key, counts), np.int64, len(counts)), "n": np.fromiter(counts.values(), np.int64, len(counts))})
 
 
 #: A word is common from this number of texts on, and its misread form must be so many times rarer.
 COMMON, RARER = 6, 6
-#: A confusion must be seen in so many different words, and in this share of the words that would show it if it came about evenly.
+#: A confusion must be seen in so many different words, and these must hold this share of what all words hold that would show it if it came about evenly.
 LEAST_WORDS, EVEN = 8, 0.5
 
 
@@ -267,8 +348,10 @@ def confusions(words: DataFrame) -> list[tuple[str, str]]:
     """(seen, printed) of the confusions of one or two letters, by the counts of the corpus' words: those that it shows, and those of the stated ones that it is too small to refute.
 
     A noisy channel: rare words are paired with common ones that differ in one place. What printers and scanners
-    confuse comes about at one rate wherever the letters stand, so among the common words with the printed letters as
-    many have a misread form as that rate lets expect; what grammar exchanges (endings, plurals) sits in few words.
+    confuse comes about at one rate wherever the letters stand, so the common words that have a misread form hold as
+    much of the printed letters as that rate lets expect; what grammar exchanges (endings, plurals) sits in few words.
+    Words weigh by their frequency: in a large corpus most words are rare names and misread forms, which would all be
+    expected to have misread forms too; their number grows with the corpus, their share of its letters does not.
     Pairs meet by what is left of both words without the place, so a key has no more words than the alphabet has pairs;
     what comes to the driver is bounded by the alphabet too."""
     w = words.where(F.length("word").between(4, 30) & ~F.col("word").rlike("[\u2e80-\uffff]"))
@@ -277,29 +360,31 @@ def confusions(words: DataFrame) -> list[tuple[str, str]]:
     common = at.where(F.col("n") >= COMMON)
     seen = at.select("key", F.col("seg").alias("seen"), F.col("n").alias("rare"))
     met = common.join(seen, "key").where((F.col("seen") != F.col("seg")) & (F.length("seen") + F.length("seg") < 4) & (F.col("n") >= RARER * F.col("rare")))
-    found = met.groupBy("seen", F.col("seg").alias("printed")).agg(F.sum("rare").alias("n"), F.count_distinct("word").alias("words")).where(F.col("words") >= LEAST_WORDS).toPandas()
     stated = [(a, c.casefold()) for a, b in _STATED for c in b]
+    pairs = met.groupBy("seen", F.col("seg").alias("printed")).agg(F.sum("rare").alias("n"), F.sum("n").alias("m"), F.count_distinct("word").alias("words"))
+    found = pairs.where((F.col("words") >= LEAST_WORDS) | F.concat("seen", F.lit(" "), "printed").isin([" ".join(x) for x in stated])).toPandas()
     if not len(found):
         return stated
     sizes = common.groupBy("seg", F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("count"), F.sum("n").alias("m"))
     sizes = sizes.where(F.col("seg").isin(sorted({*found.printed, *(b for _, b in stated)}))).toPandas()
 
-    def expected(printed: str, rate: float) -> float:
+    def expected(printed: str, rate: float, of: str) -> float:
         own = sizes[sizes.seg == printed]
-        return float((own["count"] * -np.expm1(-rate * own.m / own["count"])).sum())
+        return float((own[of] * -np.expm1(-rate * own.m / own["count"])).sum())
 
-    out = []
+    out, rates = [], {}
     for r in found.sort_values(["seen", "printed"]).itertuples():
-        own = sizes[sizes.seg == r.printed]
-        rate = r.n / own.m.sum()
-        if r.words >= EVEN * expected(r.printed, rate) and any(c.isalpha() for c in r.printed):
-            out.append((r.seen, r.printed, float(rate)))
+        rate = rates[r.seen, r.printed] = float(r.n / sizes[sizes.seg == r.printed].m.sum())
+        if r.words >= LEAST_WORDS and r.m >= EVEN * expected(r.printed, rate, "m") and any(c.isalpha() for c in r.printed):
+            out.append((rate, int(r.n), (r.seen, r.printed)))
     if not out:
         return stated
-    usual = float(np.median([r for _, _, r in out]))
-    known = [(a, b) for a, b, r in out if r * 10 >= usual]
-    # a stated one that the corpus would show at the usual rate, and does not, is none here
-    return known + [x for x in stated if x not in known and expected(x[1], usual) < 2 * LEAST_WORDS]
+    # the usual rate is that of the median misread word: of confusions, those of misread forms again would be most
+    shown = np.cumsum([n for _, n, _ in sorted(out)])
+    usual = sorted(out)[int(np.searchsorted(shown, shown[-1] / 2))][0]
+    known = [x for rate, _, x in out if rate * 10 >= usual or x in stated]
+    # a stated one that the corpus would show at the usual rate, and does not, in whatever words, is none here
+    return known + [x for x in stated if x not in known and (rates.get(x, 0) * 10 >= usual or expected(x[1], usual, "count") < 2 * LEAST_WORDS)]
 
 
 STATE_KINDS = {1: "header", 2: "page_number"}
@@ -309,14 +394,15 @@ _NEAR_NUMBER, _TO_NUMBER, _ODD = re.compile(r"\d*[lOI]\d+|\d+[lOI]\d*|\d+[lOI]+\
 class Reader:
     """Labels the lines of one text after another."""
 
-    def __init__(self, move: np.ndarray, emit: np.ndarray, words: tuple[np.ndarray, np.ndarray], pairs: list[tuple[str, str]] | None = None):
+    def __init__(self, move: np.ndarray, emit: np.ndarray, words: tuple[np.ndarray, np.ndarray] | Stored, pairs: list[tuple[str, str]] | None = None):
         self.move, self.emit = move, emit
         by_seen: dict[str, list[str]] = {}
         for seen, printed in [(a, c) for a, b in _STATED for c in b] if pairs is None else pairs:
             by_seen.setdefault(seen, []).append(printed)
         self.with_cyrillic = list(by_seen.items())
         self.without = [(a, [c for c in b if not "\u0400" <= c[0] < "\u0500"]) for a, b in self.with_cyrillic]
-        self.keys, self.counts = words
+        self.stored = words if isinstance(words, Stored) else None
+        self.keys, self.counts = (None, None) if self.stored else words
         self.cache: dict[str, int] = {}
         self.known: dict[str, tuple] = {}
         #: Words that no text has another reading of, whatever their own text says.
@@ -329,8 +415,12 @@ class Reader:
             if len(self.cache) > 300_000:
                 self.cache.clear()
             k = word_key(word)
-            i = int(np.searchsorted(self.keys, k))
-            got = self.cache[word] = int(self.counts[i]) if i < len(self.keys) and int(self.keys[i]) == k else 0
+            if self.stored:
+                got = self.stored.get(k)
+            else:
+                i = int(np.searchsorted(self.keys, k))
+                got = int(self.counts[i]) if i < len(self.keys) and int(self.keys[i]) == k else 0
+            self.cache[word] = got
         return got
 
     def ending(self, s: str, following: str | None) -> int:

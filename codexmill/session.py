@@ -71,8 +71,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The full path of a new folder in the shared folder, for files of another form (not made yet): a URI, or a plain path of the local or a mounted file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _WRITTEN.append(full)
+    return full.removeprefix("file:")
+
+
 def release(spark: SparkSession) -> int:
-    """Deletes what materialise has written; call it when the results built on it have been read. Gives the number of folders."""
+    """Deletes what materialise has written and folders of scratch; call it when the results built on it have been read. Gives the number of folders."""
     jvm, n = spark._jvm, 0
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())

@@ -289,6 +289,35 @@ def test_copies_do_not_vouch_for_misreadings(spark):
     assert r.df("whicb") == 1 and r.misread("whicb", Counter(whicb=1)) == "which"
 
 
+def test_rare_words_of_many_texts_count(spark):
+    """A word in 7 of 1,900,000 texts tells a misread one, as it does in a small corpus."""
+    texts = spark.range(1_900_000).select(F.concat(F.lit("a"), F.expr("id % 1400"), F.lit(" b"), F.expr("id div 1400")).alias("text"))
+    rare = spark.createDataFrame([(f"the lanthorn {i}",) for i in range(7)] + [("the lantborn",)], "text string")
+    words, counted = scans.vocabulary(texts.union(rare))
+    r = scans.Reader(*scans.initial(), words)
+    assert r.df("lanthorn") == 7 and r.df("the") == 8 and r.misread("lantborn", Counter(lantborn=1)) == "lanthorn"
+    assert {(w, n) for w, n in counted.where("word like 'lant%'").collect()} == {("lanthorn", 7), ("lantborn", 1)}
+
+
+def test_words_too_many_to_broadcast(spark, monkeypatch):
+    """Counts looked up in files are the counts, of unseen words too, and the found lines are the same."""
+    want = {name: sorted(_rows(spark, name)) for name in ("p4_found", "p4_paragraphs")}
+    texts = set(_table("pdf_texts", SF.replace("0.001", "0.01")).text.dropna())
+    counts = Counter(w for t in texts for w in scans._words_of(t))
+    monkeypatch.setattr(scans, "WORDS_MAX", 10)
+    monkeypatch.setattr(scans, "FILE_WORDS", 1000)
+    words, _ = scans.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert sum(p[1] for p in words.parts) == len(counts) and len(words.parts) > 2
+    r = scans.Reader(*scans.initial(), words)
+    assert all(r.df(w) == n for w, n in counts.items())
+    unfiltered = scans.Stored(words.parts, b"\xff" * len(words.bits))
+    keys = {scans.word_key(w) for w in counts}
+    unseen = [k for p in words.parts for k in (p[2] - 1, p[2] + 1, p[3] - 1, p[3] + 1, (p[2] + p[3]) // 2) if k not in keys] + [scans.word_key(w + "~") for w in counts]
+    assert all(s.get(k) == 0 for s in (words, unfiltered) for k in [*unseen, -(2**63), 2**63 - 1])
+    assert {name: sorted(_rows(spark, name)) for name in want} == want
+    assert scans.vocabulary(spark.createDataFrame([], "text string"))[0][0].size == 0
+
+
 def test_confusions_are_learned(spark):
     """Letters taken for others at one rate wherever they stand are found, whatever they are; endings are not."""
     rng = random.Random(5)
@@ -311,6 +340,24 @@ def test_confusions_are_learned(spark):
     assert set(scans.confusions(spark.createDataFrame([], "word string, n long"))) == stated
 
 
+def test_confusions_of_a_large_corpus(spark):
+    """Where every word that is ever misread has all its misread forms, names and those forms do not make the confusions uneven; a stated one seen in few words stays."""
+    rng = random.Random(6)
+    word = lambda syllables, vowels: "".join(rng.choice("bdfghklmnprstvz") + rng.choice(vowels) for _ in range(syllables))
+    shown = [("q", "k"), ("hn", "m"), ("c", "e"), ("l", "i"), ("f", "t"), ("0", "o")]
+    stems = sorted({word(3, "aeiou") for _ in range(300)}) + ["zazurna", "vavorna"]
+    counts = Counter({w: rng.randint(20_000, 2_000_000) for w in stems})
+    for w in sorted({word(5, "aeiou") for _ in range(1500)} | {word(3, "a") + "rn" + word(1, "a") for _ in range(40)}):
+        counts[w] = rng.randint(1_000, 4_000)  # names, which none misreads
+    for w in stems:
+        for seen, printed in [*shown, ("m", "rn")]:
+            for i in (i for i in range(len(w)) if w.startswith(printed, i)):
+                counts[w[:i] + seen + w[i + len(printed) :]] += counts[w] // 400
+    got = set(scans.confusions(spark.createDataFrame(list(counts.items()), "word string, n long")))
+    stated = {(a, c.casefold()) for a, b in scans._STATED for c in b}
+    assert {*shown, ("m", "rn")} <= got and got - stated == {("q", "k"), ("hn", "m")} and ("b", "h") not in got
+
+
 def test_rules_held_out():
     rng = np.random.default_rng(5)
     df = pd.DataFrame({f: rng.random(2000) for f in rules.FEATURES})
